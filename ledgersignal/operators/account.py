@@ -26,51 +26,78 @@ def _share(condition: Column, n: Column) -> Column:
     return F.count_if(condition) / n
 
 
+def _core() -> dict[str, Column]:
+    a = F.abs("amount")
+    c = S.cents(a)
+    return {
+        "txn_count": F.count(F.lit(1)),
+        "total_volume": _money(F.sum(c)),
+        "amt_mean": F.sum(c) / F.count(c) / 100,
+        "amt_std": F.stddev_samp(a),
+        "amt_max": F.max(a),
+    }
+
+
+def _flow() -> dict[str, Column]:
+    c = S.cents(F.abs("amount"))
+    side = lambda t: F.coalesce(_money(F.sum(F.when(F.col("txn_type") == t, c))), F.lit(0.0))
+    return {"credit_volume": side("C"), "debit_volume": side("D")}
+
+
+def _behaviour() -> dict[str, Column]:
+    a, n = F.abs("amount"), F.count(F.lit(1))
+    flags = {
+        ("near_threshold_count", "near_threshold_pct"): S.near_threshold(a),
+        ("round_count", "round_amount_pct"): S.is_round_amount(a),
+        ("small_count", "life_ratio"): S.is_small(a),
+        ("night_count", "night_txn_pct"): S.is_night(F.hour("ts")),
+    }
+    out = {}
+    for (count, share), flag in flags.items():
+        out[count], out[share] = F.count_if(flag), _share(flag, n)
+    return out
+
+
+def _refined() -> dict[str, Column]:
+    a, n = F.abs("amount"), F.count(F.lit(1))
+    return {
+        "struct_48_50_pct": _share(S.struct_band_48_50(a), n),
+        "struct_45_50_pct": _share(S.struct_band_45_50(a), n),
+        "weekend_pct": _share(S.is_weekend("ts"), n),
+        "large_round_pct": _share(S.is_large_round(a), n),
+        "exact_round_pct": _share(S.is_exact_round(a), n),
+        "month_boundary_pct": _share(S.is_month_boundary(F.dayofmonth("ts")), n),
+        "max_single_txn_pct": S.safe_ratio(F.max(a), _money(F.sum(S.cents(a)))),
+        "reversal_ratio": _share(F.col("amount") < 0, n),
+    }
+
+
+PROFILE_PARTS = {"core": _core, "flow": _flow, "behaviour": _behaviour, "refined": _refined}
+
+
+def account_profile(txn: DataFrame, parts: Sequence[str] = tuple(PROFILE_PARTS)) -> DataFrame:
+    """Any of the count, volume and share groups in one aggregate over one scan."""
+    return txn.groupBy(A).agg(*[c.alias(name) for part in parts for name, c in PROFILE_PARTS[part]().items()])
+
+
 def core_stats(txn: DataFrame) -> DataFrame:
     """Count, volume, mean, sample std and maximum of absolute amounts."""
-    t = txn.select(A, F.abs("amount").alias("a")).withColumn("c", S.cents("a"))
-    return t.groupBy(A).agg(
-        F.count(F.lit(1)).alias("txn_count"),
-        _money(F.sum("c")).alias("total_volume"),
-        (F.sum("c") / F.count("c") / 100).alias("amt_mean"),
-        F.stddev_samp("a").alias("amt_std"),
-        F.max("a").alias("amt_max"),
-    )
+    return account_profile(txn, ["core"])
 
 
 def flow_split(txn: DataFrame) -> DataFrame:
-    c = S.cents(F.abs("amount"))
-    side = lambda t: F.coalesce(_money(F.sum(F.when(F.col("txn_type") == t, c))), F.lit(0.0))
-    return txn.groupBy(A).agg(side("C").alias("credit_volume"), side("D").alias("debit_volume"))
+    """Credit and debit volume, 0 when there is none."""
+    return account_profile(txn, ["flow"])
 
 
 def behaviour_counts(txn: DataFrame) -> DataFrame:
     """Structuring, round, small and night counts with their shares of all transactions."""
-    a, hour = F.abs("amount"), F.hour("ts")
-    flags = {
-        "near_threshold": S.near_threshold(a),
-        "round": S.is_round_amount(a),
-        "small": S.is_small(a),
-        "night": S.is_night(hour),
-    }
-    counts = txn.groupBy(A).agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(f).alias(f"{k}_count") for k, f in flags.items()])
-    shares = {"near_threshold_pct": "near_threshold", "round_amount_pct": "round", "life_ratio": "small", "night_txn_pct": "night"}
-    return counts.withColumns({name: F.col(f"{k}_count") / F.col("_n") for name, k in shares.items()}).drop("_n")
+    return account_profile(txn, ["behaviour"])
 
 
 def refined_counts(txn: DataFrame) -> DataFrame:
     """Narrow structuring bands, weekend, round and month-boundary shares, reversals."""
-    a, n = F.abs("amount"), F.count(F.lit(1))
-    return txn.groupBy(A).agg(
-        _share(S.struct_band_48_50(a), n).alias("struct_48_50_pct"),
-        _share(S.struct_band_45_50(a), n).alias("struct_45_50_pct"),
-        _share(S.is_weekend("ts"), n).alias("weekend_pct"),
-        _share(S.is_large_round(a), n).alias("large_round_pct"),
-        _share(S.is_exact_round(a), n).alias("exact_round_pct"),
-        _share(S.is_month_boundary(F.dayofmonth("ts")), n).alias("month_boundary_pct"),
-        S.safe_ratio(F.max(a), _money(F.sum(S.cents(a)))).alias("max_single_txn_pct"),
-        _share(F.col("amount") < 0, n).alias("reversal_ratio"),
-    )
+    return account_profile(txn, ["refined"])
 
 
 def distinct_counts(txn: DataFrame, approximate: bool = False) -> DataFrame:

@@ -31,7 +31,7 @@ def _smoothed(pos: str | Column, n: str | Column, alpha: float, prior: Column) -
 def _apply(rows: DataFrame, stats: DataFrame, key: str, name: str, value, prior: Column, extra: tuple[str, ...] = ()) -> DataFrame:
     # Every key is as frequent in `rows` as in `rows` itself: count there, so hot keys are known.
     frequency = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    joined = lookup_by_key(rows, frequency.join(stats, key, "left"), key)
+    joined = lookup_by_key(rows, stats, key, counts=frequency)
     return joined.withColumn("_mu", prior).withColumn(name, value()).drop("_mu", "_pos", "_cnt", *extra)
 
 

@@ -9,8 +9,8 @@
   slices that are sorted in different tasks; the few rows at slice borders are then fixed up.
 * ``next_match`` finds the next later row that satisfies a condition, with the same slicing.
 
-When no key is hot the plan is the ordinary one: AQE drops a branch whose broadcast list is empty, and
-the ordered operators do not add the branch at all.
+The hot keys are looked up first (one count over the key column); when there are none, the plan is
+the ordinary one.
 """
 
 from __future__ import annotations
@@ -32,6 +32,13 @@ def hot_keys(counts: DataFrame, n: str = "n", min_rows: int = MIN_HOT_ROWS, max_
     return counts.filter((F.col(n) > min_rows) & (F.col(n) > share))
 
 
+def fetch_hot(counts: DataFrame, keys: Sequence[str], n: str = "n", min_rows: int = MIN_HOT_ROWS, max_hot: int = MAX_HOT_KEYS) -> DataFrame | None:
+    """The hot keys as a literal table, or None. Fewer than ``max_hot`` rows reach the driver."""
+    hot = hot_keys(counts, n, min_rows, max_hot).select(*keys).distinct()
+    rows = hot.collect()
+    return counts.sparkSession.createDataFrame(rows, hot.schema) if rows else None
+
+
 def lookup_by_key(
     rows: DataFrame,
     per_key: DataFrame,
@@ -40,17 +47,21 @@ def lookup_by_key(
     how: str = "left",
     min_rows: int = MIN_HOT_ROWS,
     max_hot: int = MAX_HOT_KEYS,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``rows`` to ``per_key``, where ``per_key.n`` is the number of rows of each key.
 
-    ``n`` is dropped from the result. Rows with a NULL key keep NULLs under ``left``.
+    ``counts`` may give (key, n) from a cheaper source than ``per_key``. ``n`` is dropped from the
+    result. Rows with a NULL key keep NULLs under ``left``. Without hot keys this is one plain join.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    hot = hot_keys(per_key, n, min_rows, max_hot).drop(n)
-    hot_list = hot.select(*keys).distinct()
-    hot_part = rows.join(F.broadcast(hot), keys, "inner")
-    cold_rows = rows.join(F.broadcast(hot_list), keys, "left_anti")
-    cold_part = cold_rows.join(per_key.drop(n), keys, how)
+    hot = fetch_hot(per_key if counts is None else counts, keys, n, min_rows, max_hot)
+    values = per_key.drop(n)
+    if hot is None:
+        return rows.join(values, keys, how)
+    hot_values = values.join(F.broadcast(hot), keys, "left_semi")
+    hot_part = rows.join(F.broadcast(hot_values), keys, "inner")
+    cold_part = rows.join(F.broadcast(hot), keys, "left_anti").join(values, keys, how)
     return hot_part.unionByName(cold_part)
 
 

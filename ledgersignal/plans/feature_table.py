@@ -11,6 +11,7 @@ from ledgersignal.operators import account as AC
 from ledgersignal.operators import derived as DE
 from ledgersignal.operators import encode as EN
 from ledgersignal.operators import sequence as SQ
+from ledgersignal.session import cut_lineage
 from ledgersignal.sources import adapters as AD
 
 A = "account_id"
@@ -35,7 +36,7 @@ def encoded_labels(labels: DataFrame) -> DataFrame:
     """Branch rates: out-of-fold for training rows, all training rows for the others."""
     train = EN.stratified_folds(labels.filter(~F.col("is_test")), 5)
     test = labels.filter(F.col("is_test"))
-    oof = EN.target_encode_oof(train, test, "branch_code", "is_mule", "fold", name="branch_mule_rate_oof")
+    oof = cut_lineage(EN.target_encode_oof(train, test, "branch_code", "is_mule", "fold", name="branch_mule_rate_oof"))
     return EN.target_encode(train, oof, "branch_code", "is_mule", name="branch_mule_rate").select(A, "branch_mule_rate_oof", "branch_mule_rate")
 
 
@@ -50,9 +51,6 @@ def feature_groups(spark: SparkSession, sf_dir: str, wanted: Sequence[str]) -> l
         return SQ.trigram_features(counts, SQ.trigram_enrichment(counts, labels), accounts)
 
     builders = {
-        "core": lambda: AC.core_stats(txn),
-        "flow": lambda: AC.flow_split(txn),
-        "behaviour": lambda: AC.behaviour_counts(txn),
         "distinct": lambda: AC.distinct_counts(AD.lineitem_ledger(spark, sf_dir, mcc=True)),
         "gaps": lambda: SQ.gap_stats(SQ.gaps(txn)),
         "dwell": lambda: AC.median_dwell(SQ.dwell_pairs(txn)),
@@ -64,7 +62,9 @@ def feature_groups(spark: SparkSession, sf_dir: str, wanted: Sequence[str]) -> l
         "flags": lambda: AC.account_flags(accounts),
         "encode": lambda: encoded_labels(labels),
     }
-    return [builders[g]() for g in wanted]
+    profile = [g for g in wanted if g in AC.PROFILE_PARTS]
+    grouped = [AC.account_profile(txn, profile)] if profile else []
+    return grouped + [builders[g]() for g in wanted if g in builders]
 
 
 def features(spark: SparkSession, sf_dir: str, groups: Sequence[str] = ALL_GROUPS) -> DataFrame:
@@ -72,9 +72,14 @@ def features(spark: SparkSession, sf_dir: str, groups: Sequence[str] = ALL_GROUP
     return assemble_features(universe, feature_groups(spark, sf_dir, groups))
 
 
+def stored_features(spark: SparkSession, sf_dir: str, groups: Sequence[str] = ALL_GROUPS) -> DataFrame:
+    """The feature table written once to the shared folder, for steps that read it several times."""
+    return cut_lineage(features(spark, sf_dir, groups))
+
+
 def signal_table(spark: SparkSession, sf_dir: str, extra: Sequence[str] = ()) -> DataFrame:
     """Features with the twelve signals and their summary; thresholds from training rows only."""
     groups = [g for g in ALL_GROUPS if g in SIGNAL_GROUPS or g in extra]
-    feat = features(spark, sf_dir, groups)
+    feat = stored_features(spark, sf_dir, groups)
     flagged = DE.signals(feat, DE.signal_thresholds(feat.filter(~F.col("is_test"))))
     return DE.signal_summary(flagged)

@@ -10,7 +10,7 @@ from ledgersignal.operators import ranking as RK
 from ledgersignal.operators import sequence as SQ
 from ledgersignal.operators import windows as WI
 from ledgersignal.plans import oracle_parts as O
-from ledgersignal.plans.feature_table import features
+from ledgersignal.plans.feature_table import features, stored_features
 from ledgersignal.plans.registry import query
 from ledgersignal.sources import adapters as AD
 from ledgersignal.sources import readers as RD
@@ -118,7 +118,7 @@ def _(spark, sf):
   SELECT account_id, coalesce(residual_ratio, (SELECT quantile_cont(residual_ratio, 0.5) FROM feat WHERE NOT is_test)) AS residual_ratio,
          coalesce(median_dwell_hours, (SELECT quantile_cont(median_dwell_hours, 0.5) FROM feat WHERE NOT is_test)) AS median_dwell_hours FROM feat""", *O.feature_ctes("dwell", "residual")))
 def _(spark, sf):
-    feat = features(spark, sf, ("dwell", "residual"))
+    feat = stored_features(spark, sf, ("dwell", "residual"))
     return RK.impute_median(feat, feat.filter(~F.col("is_test")), ["residual_ratio", "median_dwell_hours"])
 
 
@@ -445,7 +445,7 @@ def _(spark, sf):
 @query("rank_pct", i="account_id", d="amt_std_rank gap_cv_rank degree_centrality_rank", sql=W("""
   SELECT account_id, """ + ", ".join(f"coalesce(CASE WHEN {c} IS NOT NULL THEN (rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2) / count({c}) OVER () END, 0.5) AS {c}_rank" for c in ("amt_std", "gap_cv", "degree_centrality")) + " FROM feat", *O.feature_ctes("core", "gaps", "distinct")))
 def _(spark, sf):
-    feat = features(spark, sf, ("core", "gaps", "distinct"))
+    feat = stored_features(spark, sf, ("core", "gaps", "distinct"))
     return RK.rank_columns(feat, A, {c: F.col(c) for c in ("amt_std", "gap_cv", "degree_centrality")})
 
 

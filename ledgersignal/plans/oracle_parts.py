@@ -186,7 +186,7 @@ def feature_ctes(*groups: str) -> list[str]:
 
 SIGNAL_THRESHOLDS = """thr AS (
   SELECT quantile_cont(near_threshold_pct, 0.9) AS q90_near, quantile_cont(round_amount_pct, 0.9) AS q90_round, quantile_cont(total_volume, 0.75) AS q75_vol,
-         quantile_cont(branch_mule_rate_oof, 0.9) AS q90_branch, quantile_cont(total_volume / greatest(abs(balance_mean), 1), 0.9) AS q90_vtob,
+         quantile_cont(branch_mule_rate_oof, 0.9) AS q90_branch, quantile_cont(total_volume / CASE WHEN balance_mean IS NOT NULL THEN greatest(abs(balance_mean), 1) END, 0.9) AS q90_vtob,
          quantile_cont(coalesce(geo_spread_lat, 0) + coalesce(geo_spread_lon, 0), 0.9) AS q90_geo
   FROM feat WHERE NOT is_test)"""
 
@@ -198,7 +198,7 @@ SIGNALS = """sig AS (
     CAST(coalesce(days_to_first_large < 30 AND total_volume > q75_vol, false) AS INT) AS sig_new_highvol,
     CAST(coalesce(round_amount_pct > q90_round, false) AS INT) AS sig_round,
     CAST(coalesce(has_mobile_update = 1, false) AS INT) AS sig_post_mobile,
-    CAST(coalesce(total_volume / greatest(abs(balance_mean), 1) > q90_vtob, false) AS INT) AS sig_income_mismatch,
+    CAST(coalesce(total_volume / CASE WHEN balance_mean IS NOT NULL THEN greatest(abs(balance_mean), 1) END > q90_vtob, false) AS INT) AS sig_income_mismatch,
     CAST(coalesce(branch_mule_rate_oof > q90_branch, false) AS INT) AS sig_branch_cluster,
     CAST(coalesce(residual_ratio < 0.01, false) AS INT) AS sig_residual,
     CAST(coalesce(coalesce(geo_spread_lat, 0) + coalesce(geo_spread_lon, 0) > q90_geo, false) AS INT) AS sig_geo,

@@ -43,9 +43,13 @@ def lineitem_ledger(spark: SparkSession, sf_dir: str, mcc: bool = False) -> Data
 
 def event_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User events as transactions; the numeric property ``k`` is the counterparty account."""
+    return event_rows(table(spark, sf_dir, "events"))
+
+
+def event_rows(events: DataFrame) -> DataFrame:
+    """Event rows (batch or streaming) in the operator schema."""
     return (
-        table(spark, sf_dir, "events")
-        .select(
+        events.select(
             F.col("user_id").alias("account_id"),
             F.col("event_id").alias("txn_id"),
             "ts",

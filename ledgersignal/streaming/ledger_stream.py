@@ -40,36 +40,47 @@ def stream_core_stats(txn: DataFrame) -> DataFrame:
     )
 
 
+def event_time(txn: DataFrame) -> DataFrame:
+    """Event time as a TIMESTAMP, which watermarks need; wall-clock values are read as UTC."""
+    if dict(txn.dtypes)["ts"] == "timestamp":
+        return txn
+    return txn.withColumn("ts", F.timestamp_micros(S.micros("ts")))
+
+
+def _day_no(ts: str):
+    return F.floor(F.unix_micros(ts) / 86_400_000_000).cast("bigint")
+
+
 def _volume(grouped) -> DataFrame:
     return grouped.agg(F.sum(S.cents(F.abs("amount"))).alias("v"), F.count(F.lit(1)).alias("n"))
 
 
 def stream_daily_volume(txn: DataFrame, delay: str = "1 day") -> DataFrame:
     """Tumbling day windows, emitted once the watermark has passed them."""
-    out = _volume(txn.withWatermark("ts", delay).groupBy(A, F.window("ts", "1 day")))
-    return out.select(A, F.unix_date(F.to_date("window.start")).cast("bigint").alias("day_no"), "v", "n")
+    out = _volume(event_time(txn).withWatermark("ts", delay).groupBy(A, F.window("ts", "1 day")))
+    return out.select(A, _day_no("window.start").alias("day_no"), "v", "n")
 
 
 def stream_velocity(txn: DataFrame, width: str = "7 days", slide: str = "1 day", delay: str = "1 day") -> DataFrame:
     """Sliding windows of volume and count."""
-    out = _volume(txn.withWatermark("ts", delay).groupBy(A, F.window("ts", width, slide)))
-    return out.select(A, F.unix_date(F.to_date("window.start")).cast("bigint").alias("start_day"), "v", "n")
+    out = _volume(event_time(txn).withWatermark("ts", delay).groupBy(A, F.window("ts", width, slide)))
+    return out.select(A, _day_no("window.start").alias("start_day"), "v", "n")
 
 
 def stream_sessions(txn: DataFrame, gap: str = "12 hours", delay: str = "1 day") -> DataFrame:
     """Bursts of activity separated by at least ``gap``."""
-    out = _volume(txn.withWatermark("ts", delay).groupBy(A, F.session_window("ts", gap)))
-    return out.select(A, S.micros("session_window.start").alias("session_start_us"), S.micros("session_window.end").alias("session_end_us"), "v", "n")
+    out = _volume(event_time(txn).withWatermark("ts", delay).groupBy(A, F.session_window("ts", gap)))
+    return out.select(A, F.unix_micros("session_window.start").alias("session_start_us"), F.unix_micros("session_window.end").alias("session_end_us"), "v", "n")
 
 
 def _pair_batch(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Carry the last large row of an account between micro-batches and pair credit -> debit."""
     rows = pd.concat(list(chunks)).sort_values(["us", "txn_id"], kind="stable")
-    prev_us, prev_credit = rows["us"].shift(), (rows["txn_type"] == "C").shift()
+    prev_us, prev_type = rows["us"].shift(), rows["txn_type"].shift()
     if state.exists:
         us, credit = state.get
-        prev_us.iloc[0], prev_credit.iloc[0] = us, credit
-    hit = (rows["txn_type"] == "D") & prev_credit.fillna(False).astype(bool)
+        prev_us.iloc[0], prev_type.iloc[0] = us, "C" if credit else "D"
+    hit = (rows["txn_type"] == "D") & (prev_type == "C")
     last = rows.iloc[-1]
     state.update((int(last["us"]), bool(last["txn_type"] == "C")))
     if hit.any():
