@@ -103,20 +103,23 @@ def refined_counts(txn: DataFrame) -> DataFrame:
 def distinct_counts(txn: DataFrame, approximate: bool = False) -> DataFrame:
     """Distinct counterparties (all, credit, debit), MCCs, channels and active days.
 
-    Exact counts de-duplicate (account, value) pairs inside the map tasks; ``approximate`` switches
-    to mergeable sketches when the pairs themselves are too many.
+    The three counterparty counts share one de-duplication by (account, counterparty), done inside
+    the map tasks first. ``approximate`` switches to mergeable sketches when the pairs themselves
+    are too many.
     """
     cp = F.col("counterparty_id")
-    families = {
-        "degree_centrality": cp,
-        "credit_cp_n": F.when(F.col("txn_type") == "C", cp),
-        "debit_cp_n": F.when(F.col("txn_type") == "D", cp),
-        "mcc_nunique": F.col("mcc_code"),
-        "channel_diversity": F.col("channel"),
-        "active_days": F.to_date("ts"),
-    }
-    count = F.approx_count_distinct if approximate else F.count_distinct
-    return txn.groupBy(A).agg(*[count(c).alias(name) for name, c in families.items()])
+    credit, debit = F.col("txn_type") == "C", F.col("txn_type") == "D"
+    others = {"mcc_nunique": F.col("mcc_code"), "channel_diversity": F.col("channel"), "active_days": F.to_date("ts")}
+    if approximate:
+        families = {"degree_centrality": cp, "credit_cp_n": F.when(credit, cp), "debit_cp_n": F.when(debit, cp), **others}
+        return txn.groupBy(A).agg(*[F.approx_count_distinct(c).alias(name) for name, c in families.items()])
+    seen = txn.groupBy(A, "counterparty_id").agg(F.max(credit).alias("_c"), F.max(debit).alias("_d"))
+    known = cp.isNotNull()
+    counterparties = seen.groupBy(A).agg(
+        F.count_if(known).alias("degree_centrality"), F.count_if(known & F.col("_c")).alias("credit_cp_n"), F.count_if(known & F.col("_d")).alias("debit_cp_n")
+    )
+    rest = txn.groupBy(A).agg(*[F.count_distinct(c).alias(name) for name, c in others.items()])
+    return counterparties.join(rest, A)
 
 
 def fan_ratio(features: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgersignal.operators.skew import lookup_by_key
+from ledgersignal.operators.skew import fetch_hot, lookup_by_key
 from ledgersignal.session import cut_lineage
 
 
@@ -75,14 +75,34 @@ def ordinal_rank(df: DataFrame, order: Sequence[str | Column], name: str = "rank
     return placed.withColumn(name, F.col("before__one") + 1).drop("_one", "before__one")
 
 
+def _placed_by_group(counted: DataFrame, by: list[str]) -> DataFrame:
+    """Running counts within many groups: one window per ordinary group, ranges for hot groups."""
+    group = [*by, "name"]
+    ordered = Window.partitionBy(*group).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+
+    def windowed(df: DataFrame) -> DataFrame:
+        return df.withColumns({"before_n": F.coalesce(F.sum("n").over(ordered), F.lit(0)), "_size": F.sum("n").over(Window.partitionBy(*group))})
+
+    hot = fetch_hot(counted.groupBy(*by).agg(F.count(F.lit(1)).alias("n")), by)
+    if hot is None:
+        return windowed(counted)
+    large = counted.join(F.broadcast(hot), by, "left_semi")
+    sizes = large.groupBy(*group).agg(F.sum("n").alias("_size"))
+    ranged = running_totals(large, group, ["value"], ["n"]).join(sizes, group)
+    return windowed(counted.join(F.broadcast(hot), by, "left_anti")).unionByName(ranged)
+
+
 def exact_quantiles(df: DataFrame, columns: dict[str, Column], qs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Linear-interpolation quantiles per (by, column): (by..., name, q, quantile)."""
     by = list(by)
     group = [*by, "name"]
     long = melt(df, by, columns).filter(F.col("value").isNotNull() & ~F.isnan("value"))
     counted = long.groupBy(*group, "value").agg(F.count(F.lit(1)).alias("n"))
-    sizes = counted.groupBy(*group).agg(F.sum("n").alias("_size"))
-    placed = running_totals(counted, group, ["value"], ["n"]).join(sizes, group)
+    if by:
+        placed = _placed_by_group(counted, by)
+    else:
+        sizes = counted.groupBy(*group).agg(F.sum("n").alias("_size"))
+        placed = running_totals(counted, group, ["value"], ["n"]).join(sizes, group)
 
     def value_at(position: Column) -> Column:
         return F.max(F.when((F.col("before_n") <= position) & (position < F.col("before_n") + F.col("n")), F.col("value")))

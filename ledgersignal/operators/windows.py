@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ledgersignal.functions.scalars import total_of
 from ledgersignal.operators.ranking import attach_row, exact_quantiles
+from ledgersignal.session import cut_lineage
 
 A = "account_id"
 START = Window.unboundedPreceding
@@ -43,6 +44,26 @@ def densest(daily: DataFrame, days: int, name: str, value: str = "v") -> DataFra
     return marked.withColumn(name, picked).drop("_wv", "_we")
 
 
+def best_windows(daily: DataFrame, scales: Sequence[int], value: str = "v") -> DataFrame:
+    """One row per account: totals and, per scale, the densest window b<days> (vol, start, end).
+
+    All scales share one ordered pass and one aggregate; the account key needs no further shuffle.
+    """
+    scales = sorted(set(scales))
+    before = F.coalesce(F.sum(value).over(_by_day().rangeBetween(START, -1)), F.lit(0))
+    sums = {f"_v{w}": F.sum(value).over(_by_day().rangeBetween(START, w)) for w in scales}
+    ends = {f"_e{w}": F.max("day_no").over(_by_day().rangeBetween(START, w)) for w in scales}
+    marked = daily.withColumns({"_before": before, **sums, **ends})
+
+    def best(w: int) -> Column:
+        top = F.max(F.struct((F.col(f"_v{w}") - F.col("_before")).alias("vol"), (-F.col("day_no")).alias("neg"), F.col(f"_e{w}").alias("end")))
+        return F.struct(top["vol"].alias("vol"), (-top["neg"]).alias("start"), top["end"].alias("end")).alias(f"b{w}")
+
+    return marked.groupBy(A).agg(
+        F.sum(value).alias("total"), F.count(F.lit(1)).alias("n_days"), F.min("day_no").alias("first_day"), F.max("day_no").alias("last_day"), *[best(w) for w in scales]
+    )
+
+
 def _totals(daily: DataFrame, min_days: int, value: str = "v") -> DataFrame:
     """Account totals on every row; accounts below the day rule or without volume are dropped."""
     out = daily.withColumns(
@@ -78,17 +99,24 @@ def window_minmax(txn: DataFrame) -> DataFrame:
 def rolling_z(daily: DataFrame, lookback: int, name: str = "z", value: str = "v") -> DataFrame:
     """Deviation from the previous ``lookback`` active days, 0 before there are that many.
 
-    Mean and population variance come from exact integer sums, so a flat history gives exactly 0.
+    Mean and population variance come from differences of exact running sums, so the cost does not
+    depend on the look-back and a flat history gives exactly 0.
     """
-    frame = _by_day().rowsBetween(-lookback, -1)
     wide = F.col(value).cast("decimal(19,0)")
-    s = F.sum(wide).over(frame)
-    q = F.sum((wide * wide).cast("decimal(38,0)")).over(frame)
+    so_far = _by_day().rowsBetween(START, -1)
+    running = daily.withColumns(
+        {
+            "_s": F.coalesce(F.sum(value).over(so_far), F.lit(0)),
+            "_q": F.coalesce(F.sum((wide * wide).cast("decimal(28,0)")).over(so_far), F.lit(0)).cast("decimal(38,0)"),
+        }
+    )
+    older = running.withColumns({"_s0": F.lag("_s", lookback).over(_by_day()), "_q0": F.lag("_q", lookback).over(_by_day())})
+    s = F.col("_s") - F.col("_s0")
+    exact = s.cast("decimal(19,0)")
     n = F.lit(lookback).cast("decimal(10,0)")
-    variance = ((n * q).cast("decimal(38,0)") - (s * s).cast("decimal(38,0)")).cast("double")
-    full = F.row_number().over(_by_day()) > lookback
-    z = (F.lit(float(lookback)) * F.col(value) - s.cast("double")) / F.sqrt(variance)
-    return daily.withColumn(name, F.when(full & (variance > 0), z).otherwise(F.lit(0.0)))
+    variance = ((n * (F.col("_q") - F.col("_q0"))).cast("decimal(38,0)") - (exact * exact).cast("decimal(38,0)")).cast("double")
+    z = (F.lit(lookback) * F.col(value) - s).cast("double") / F.sqrt(variance)
+    return older.withColumn(name, F.when(variance > 0, z).otherwise(F.lit(0.0))).drop("_s", "_q", "_s0", "_q0")
 
 
 def window_two_pass_z(
@@ -210,11 +238,8 @@ def window_multiscale(
     Without a qualifying scale the whole series is used, or the densest ``fallback`` days.
     ``ordered_trim`` keeps the bounds when the trimmed end would not lie after the trimmed start.
     """
-    base = _totals(daily, min_days)
-    for w in scales:
-        base = densest(base, w, f"b{w}")
-    if fallback and fallback not in scales:
-        base = densest(base, fallback, f"b{fallback}")
+    used = [*scales, fallback] if fallback else list(scales)
+    base = best_windows(daily, used).filter((F.col("n_days") >= min_days) & (F.col("total") > 0))
 
     def choice(b: str, w: int) -> Column:
         return F.struct(F.col(f"{b}.start").alias("start"), F.col(f"{b}.end").alias("end"), F.lit(w).cast("bigint").alias("scale"), F.col(f"{b}.vol").alias("vol"))
@@ -222,7 +247,8 @@ def window_multiscale(
     whole = F.struct(F.col("first_day").alias("start"), F.col("last_day").alias("end"), F.lit(None).cast("bigint").alias("scale"), F.col("total").alias("vol"))
     other = choice(f"b{fallback}", fallback) if fallback else whole
     chosen = F.coalesce(*[F.when(100 * F.col(f"b{w}.vol") >= coverage * F.col("total"), choice(f"b{w}", w)) for w in scales], other)
-    inside = base.withColumn("c", chosen).filter(F.col("day_no").between(F.col("c.start"), F.col("c.end")))
+    bounds = base.select(A, chosen.alias("c"), "total", "n_days")
+    inside = daily.select(A, "day_no", "v").join(bounds, A).filter(F.col("day_no").between(F.col("c.start"), F.col("c.end")))
     found = _cumulative(inside).groupBy(A).agg(
         _quantile_day(trim[0]).alias("_ts"),
         _quantile_day(trim[1]).alias("_te"),
@@ -278,13 +304,12 @@ def window_smoothed_v10(
     expand: int = 3,
 ) -> DataFrame:
     """Densest windows on a smoothed calendar series, careful trim, widened by a few days."""
-    base = rolling_mean(dense_calendar(_totals(daily, 2).select(A, "day_no", "v")))
-    base = base.withColumns({"stotal": F.sum("smooth").over(_account()), "first_day": F.min("day_no").over(_account()), "last_day": F.max("day_no").over(_account())})
-    for w in sorted({*scales, fallback}):
-        base = densest(base, w, f"b{w}", "smooth")
+    enough = _totals(daily, 2).select(A, "day_no", "v")
+    base = best_windows(rolling_mean(dense_calendar(enough)), [*scales, fallback], "smooth")
     bounds = lambda w: F.struct(F.col(f"b{w}.start").alias("start"), F.col(f"b{w}.end").alias("end"))
-    chosen = F.coalesce(*[F.when(100 * F.col(f"b{w}.vol") >= coverage * F.col("stotal"), bounds(w)) for w in scales], bounds(fallback))
-    inside = base.withColumn("c", chosen).filter(F.col("day_no").between(F.col("c.start"), F.col("c.end")))
+    chosen = F.coalesce(*[F.when(100 * F.col(f"b{w}.vol") >= coverage * F.col("total"), bounds(w)) for w in scales], bounds(fallback))
+    # Silent days add nothing to running shares, so the trim reads the active days only.
+    inside = enough.join(base.select(A, chosen.alias("c")), A).filter(F.col("day_no").between(F.col("c.start"), F.col("c.end")))
     found = _cumulative(inside).groupBy(A).agg(
         _quantile_day(trim[0]).alias("_ts"), _quantile_day(trim[1]).alias("_te"), F.count_if(F.col("v") > 0).alias("_active"), F.max("c").alias("c"), F.max("tot").alias("_tot")
     )
@@ -335,7 +360,7 @@ def gate(scores: DataFrame, threshold: float | Column, factor: float = 1.0, scor
 def window_widths(windows: DataFrame, qs: Sequence[float] = (0.25, 0.5, 0.75, 0.9)) -> DataFrame:
     """Distribution of window widths in days as one row."""
     width = F.col("end_day") - F.col("start_day")
-    rows = windows.select(width.cast("double").alias("w"))
+    rows = cut_lineage(windows.select(width.cast("double").alias("w")))
     counts = rows.agg(
         F.count("w").alias("n_windows"),
         F.avg("w").alias("mean_width"),

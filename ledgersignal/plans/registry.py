@@ -1,7 +1,8 @@
 """Named queries over the given tables, each with the SQL that must give the same rows.
 
 A query is declared with its output columns by kind, so both sides get the same names and types:
-``i`` whole numbers (BIGINT), ``d`` decimals (DOUBLE, rounded to six places), ``s`` text.
+``i`` whole numbers (BIGINT), ``d`` decimals (DOUBLE, rounded to six places), ``s`` text. Decimals go
+through an exact decimal with two more places, so that both engines round halves alike.
 """
 
 from __future__ import annotations
@@ -37,7 +38,8 @@ def _spark_column(name: str, kind: str):
     if kind == "i":
         return c.cast("bigint").alias(name)
     if kind == "d":
-        return (F.round(c.cast("double"), DIGITS) + F.lit(0.0)).alias(name)
+        exact = c.cast("double").try_cast(f"decimal(38,{DIGITS + 2})")
+        return (F.round(exact, DIGITS).cast("double") + F.lit(0.0)).alias(name)
     return c.cast("string").alias(name)
 
 
@@ -45,7 +47,8 @@ def _sql_column(name: str, kind: str) -> str:
     if kind == "i":
         return f"CAST({name} AS BIGINT) AS {name}"
     if kind == "d":
-        return f"round(CAST({name} AS DOUBLE), {DIGITS}) + 0.0 AS {name}"
+        exact = f"TRY_CAST(CAST({name} AS DOUBLE) AS DECIMAL(38, {DIGITS + 2}))"
+        return f"CAST(round({exact}, {DIGITS}) AS DOUBLE) + 0.0 AS {name}"
     return f"CAST({name} AS VARCHAR) AS {name}"
 
 
