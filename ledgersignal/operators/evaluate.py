@@ -56,7 +56,7 @@ def threshold_table(df: DataFrame, grid: Sequence[float], score: str = "score",
     above = lambda k: F.coalesce((F.col(score) > F.try_element_at(literal, F.col("_g") + F.lit(k))).cast("int"), F.lit(0))
     placed = df.select(score, y).withColumn("_g", guess).withColumn("passed", F.col("_g") + above(1) + above(2) + above(3))
     counts = placed.groupBy("passed").agg(F.sum(y).alias("pos"), F.sum(1 - F.col(y)).alias("neg"))
-    frame = df.sparkSession.createDataFrame([(i + 1, t) for i, t in enumerate(points)], "passed int, threshold double")
+    frame = df.sparkSession.range(1, g + 1).select(F.col("id").cast("int").alias("passed"), F.element_at(literal, F.col("id").cast("int")).alias("threshold"))
     # The windows below run over the grid, whose length is a parameter, not over the rows.
     rows = frame.join(counts, "passed", "left").fillna(0, subset=["pos", "neg"])
     onward = Window.orderBy(F.col("passed").desc()).rowsBetween(Window.unboundedPreceding, 0)
