@@ -2,7 +2,8 @@
 
 Iterative operators keep the adjacency partitioned by source between rounds, so that only the small
 per-node state moves. Edges of hub nodes are held apart: their per-node state is at most
-``MAX_HOT_KEYS`` rows and is broadcast to them. State is checkpointed between rounds.
+``MAX_HOT_KEYS`` rows and is broadcast to them (or joined by salt where a node has several state
+rows). State is checkpointed between rounds.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ledgersignal.functions.scalars import cents
 from ledgersignal.operators.ranking import ordinal_rank
-from ledgersignal.operators.skew import MAX_HOT_KEYS, MIN_HOT_ROWS, hot_keys, lookup_by_key
+from ledgersignal.operators.skew import MAX_HOT_KEYS, MIN_HOT_ROWS, hot_keys, lookup_by_key, salted_join
 from ledgersignal.session import cut_lineage
 
 A = "account_id"
@@ -52,20 +53,24 @@ class Neighbourhood:
         adjacency = cut_lineage(adjacency)
         self.adjacency = adjacency
         hot = hot_keys(adjacency.groupBy("src").agg(F.count(F.lit(1)).alias("n")), "n", min_rows, max_hot).select("src")
-        hubs = hot.collect()  # fewer than max_hot rows by construction
+        hubs = hot.collect()  # at most max_hot rows
         self.hubs = adjacency.sparkSession.createDataFrame(hubs, hot.schema) if hubs else None
         cold = adjacency if self.hubs is None else adjacency.join(F.broadcast(self.hubs), "src", "left_anti")
         self.cold = cold.repartition("src").persist(StorageLevel.MEMORY_AND_DISK)
         self.hot = None if self.hubs is None else adjacency.join(F.broadcast(self.hubs), "src", "left_semi")
 
-    def join(self, state: DataFrame) -> DataFrame:
-        """Edges with the state columns of their source (``state.node`` = ``src``)."""
+    def join(self, state: DataFrame, one_row: bool = True) -> DataFrame:
+        """Edges with the state columns of their source (``state.node`` = ``src``).
+
+        ``one_row`` says that a node has one state row, so that the state of the hubs is small.
+        """
         keyed = state.withColumnRenamed("node", "src")
         out = self.cold.join(keyed, "src")
-        if self.hubs is not None:
-            small = keyed.join(F.broadcast(self.hubs), "src", "left_semi")
-            out = out.unionByName(self.hot.join(F.broadcast(small), "src"))
-        return out
+        if self.hubs is None:
+            return out
+        of_hubs = keyed.join(F.broadcast(self.hubs), "src", "left_semi")
+        joined = self.hot.join(F.broadcast(of_hubs), "src") if one_row else salted_join(self.hot, of_hubs, ["src"])
+        return out.unionByName(joined)
 
     def nodes(self) -> DataFrame:
         return self.adjacency.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("degree"), F.sum("w").alias("strength"))
@@ -115,7 +120,7 @@ def clustering(edges: DataFrame, **hot) -> DataFrame:
     left = lists.select("src", F.explode("out").alias("dst"), "out")
     indegree = oriented.groupBy("dst").agg(F.count(F.lit(1)).alias("n"))
     right = indegree.join(lists.select(F.col("src").alias("dst"), F.col("out").alias("out2")), "dst")
-    closed = lookup_by_key(left, right, "dst", how="inner", **hot).withColumn("third", F.explode(F.array_intersect("out", "out2")))
+    closed = lookup_by_key(left, right, "dst", how="inner", small=False, **hot).withColumn("third", F.explode(F.array_intersect("out", "out2")))
     corners = closed.select(F.explode(F.array("src", "dst", "third")).alias("node"))
     triangles = corners.groupBy("node").agg(F.count(F.lit(1)).alias("triangles"))
     out = deg.join(triangles, "node", "left").fillna(0, subset=["triangles"])
@@ -196,7 +201,7 @@ def betweenness_sampled(edges: DataFrame, k: int = 500, seed: int = 42, **hot) -
     frontier = cut_lineage(sources.select(F.col("node").alias("source"), "node", F.lit(1.0).alias("sigma")))
     seen, levels = frontier.select("source", "node"), [frontier]
     while True:
-        reached = graph.join(frontier).groupBy("source", F.col("dst").alias("node")).agg(F.sum("sigma").alias("sigma"))
+        reached = graph.join(frontier, one_row=False).groupBy("source", F.col("dst").alias("node")).agg(F.sum("sigma").alias("sigma"))
         frontier = cut_lineage(reached.join(seen, ["source", "node"], "left_anti"))
         if frontier.isEmpty():
             break
@@ -206,7 +211,7 @@ def betweenness_sampled(edges: DataFrame, k: int = 500, seed: int = 42, **hot) -
     scored = []
     for depth in range(len(levels) - 1, 0, -1):
         scored.append(delta.select("source", "node", "delta"))
-        sent = graph.join(delta.select("source", "node", ((1 + F.col("delta")) / F.col("sigma")).alias("part")))
+        sent = graph.join(delta.select("source", "node", ((1 + F.col("delta")) / F.col("sigma")).alias("part")), one_row=False)
         arrived = sent.groupBy("source", F.col("dst").alias("node")).agg(F.sum("part").alias("part"))
         upper = levels[depth - 1].join(arrived, ["source", "node"], "left")
         delta = cut_lineage(upper.select("source", "node", "sigma", (F.col("sigma") * F.coalesce("part", F.lit(0.0))).alias("delta")))
@@ -247,7 +252,7 @@ def _union_sizes(pairs: DataFrame, members: DataFrame, name: str, hot: dict) ->
     bucket, bit = F.bitmap_bucket_number("_i"), F.bitmap_bit_position("_i")
     maps = position.groupBy("dst", bucket.alias("_b")).agg(F.bitmap_construct_agg(bit).alias("_bits"))
     fan = pairs.groupBy("dst").agg(F.count(F.lit(1)).alias("n"))
-    merged = lookup_by_key(pairs, maps.join(fan, "dst"), "dst", how="inner", **hot).groupBy("src", "_b").agg(F.bitmap_or_agg("_bits").alias("_bits"))
+    merged = lookup_by_key(pairs, maps, "dst", how="inner", counts=fan, small=False, **hot).groupBy("src", "_b").agg(F.bitmap_or_agg("_bits").alias("_bits"))
     return merged.groupBy("src").agg(F.sum(F.bitmap_count("_bits")).alias(name))
 
 

@@ -53,7 +53,7 @@ def average_ranks(df: DataFrame, key: str, columns: dict[str, Column], pct: bool
     placed = running_totals(counted, ["name"], ["value"], ["n"])
     rank = F.col("before_n") + (F.col("n") + 1) / 2
     if pct:
-        sizes = counted.groupBy("name").agg(F.sum("n").alias("_size"))
+        sizes = placed.groupBy("name").agg(F.sum("n").alias("_size"))
         placed, rank = placed.join(sizes, "name"), rank / F.col("_size")
     table = placed.select("name", "value", "n", rank.alias("rank"))
     return lookup_by_key(long, table, ["name", "value"], how="inner").select(key, "name", "rank")
@@ -78,6 +78,7 @@ def ordinal_rank(df: DataFrame, order: Sequence[str | Column], name: str = "rank
 def _placed_by_group(counted: DataFrame, by: list[str]) -> DataFrame:
     """Running counts within many groups: one window per ordinary group, ranges for hot groups."""
     group = [*by, "name"]
+    counted = cut_lineage(counted)  # read twice below
     ordered = Window.partitionBy(*group).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
 
     def windowed(df: DataFrame) -> DataFrame:
@@ -101,8 +102,8 @@ def exact_quantiles(df: DataFrame, columns: dict[str, Column], qs: Sequence[floa
     if by:
         placed = _placed_by_group(counted, by)
     else:
-        sizes = counted.groupBy(*group).agg(F.sum("n").alias("_size"))
-        placed = running_totals(counted, group, ["value"], ["n"]).join(sizes, group)
+        placed = running_totals(counted, group, ["value"], ["n"])
+        placed = placed.join(placed.groupBy(*group).agg(F.sum("n").alias("_size")), group)
 
     def value_at(position: Column) -> Column:
         return F.max(F.when((F.col("before_n") <= position) & (position < F.col("before_n") + F.col("n")), F.col("value")))

@@ -131,6 +131,13 @@ def auc_weighted_blend(df: DataFrame, columns: Sequence[str], y: str = "is_mule"
     return blend(df, auc_weights(aucs), name)
 
 
+def better_blend(df: DataFrame, fixed: dict[str, float], y: str = "is_mule", name: str = "blend") -> DataFrame:
+    """The fixed or the AUC-weighted blend, whichever has the higher AUC (fixed wins ties)."""
+    both = auc_weighted_blend(blend(df, fixed, "_fixed"), list(fixed), y, "_auto")
+    a, b = (evaluate.auc(both, c, y).first()["auc"] for c in ("_fixed", "_auto"))
+    return both.withColumn(name, F.col("_auto") if b > a else F.col("_fixed")).drop("_fixed", "_auto")
+
+
 def rank_average(df: DataFrame, columns: Sequence[str], name: str = "rank_average") -> DataFrame:
     """Mean of average-tie ranks divided by its maximum."""
     ranks = rank_columns(df, A, {c: F.col(c) for c in columns}, fill=None, pct=False)

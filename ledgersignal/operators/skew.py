@@ -1,8 +1,7 @@
 """Building blocks that keep one hot key from landing in one task.
 
-* ``hot_keys`` lists the keys that hold more than a fixed share of all rows. Because each of them
-  holds more than ``1/max_hot`` of the rows, there are fewer than ``max_hot`` of them, so the list
-  may always be broadcast.
+* ``hot_keys`` lists the most frequent keys, at most ``max_hot`` of them, so the list may always be
+  broadcast. Every key that holds more than ``1/max_hot`` of the rows is in it.
 * ``lookup_by_key`` joins rows to a per-key table: hot keys by broadcast, all others by an ordinary
   join whose strategy AQE picks from measured sizes.
 * ``with_neighbours`` is lag/lead over an ordered account sequence. A hot account is cut into time
@@ -16,6 +15,7 @@ the ordinary one.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,18 +27,32 @@ MAX_HOT_KEYS = 10_000
 
 
 def hot_keys(counts: DataFrame, n: str = "n", min_rows: int = MIN_HOT_ROWS, max_hot: int = MAX_HOT_KEYS) -> DataFrame:
-    """Keys of a (key, n) table whose count exceeds both the floor and the share."""
-    share = counts.agg(F.sum(n) / max_hot).scalar()
-    return counts.filter((F.col(n) > min_rows) & (F.col(n) > share))
+    """The most frequent keys of a (key, n) table, at most ``max_hot`` of them.
+
+    A key outside the list has at most ``1/max_hot`` of all rows (or ``min_rows``), which an ordinary
+    task can take; such keys go the ordinary way, so the limit drops nothing.
+    """
+    return counts.filter(F.col(n) > min_rows).orderBy(F.col(n).desc()).limit(max_hot)
 
 
 def fetch_hot(counts: DataFrame, keys: Sequence[str], n: str = "n", min_rows: int = MIN_HOT_ROWS, max_hot: int = MAX_HOT_KEYS) -> DataFrame | None:
-    """The hot keys as a literal table, or None. Fewer than ``max_hot`` rows reach the driver."""
-    hot = hot_keys(counts, n, min_rows, max_hot).select(*keys).distinct()
+    """The hot keys as a literal table, or None. At most ``max_hot`` rows reach the driver."""
+    hot = hot_keys(counts, n, min_rows, max_hot).select(*keys)
     rows = hot.collect()
     return counts.sparkSession.createDataFrame(rows, hot.schema) if rows else None
 
 
+def salted_join(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], salts: int = 64) -> DataFrame:
+    """Inner join on few but very frequent keys: rows are spread over salts, ``per_key`` repeated.
+
+    Used for hot keys whose right side has many rows and may therefore not be broadcast.
+    """
+    others = [c for c in rows.columns if c not in keys]
+    spread = rows.withColumn("_salt", F.pmod(F.xxhash64(*(others or keys)), F.lit(salts)).cast("int"))
+    repeated = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return spread.join(repeated, [*keys, "_salt"]).drop("_salt")
+
+
 def lookup_by_key(
     rows: DataFrame,
     per_key: DataFrame,
@@ -48,11 +62,14 @@ def lookup_by_key(
     min_rows: int = MIN_HOT_ROWS,
     max_hot: int = MAX_HOT_KEYS,
     counts: DataFrame | None = None,
+    small: bool = True,
 ) -> DataFrame:
     """Join ``rows`` to ``per_key``, where ``per_key.n`` is the number of rows of each key.
 
     ``counts`` may give (key, n) from a cheaper source than ``per_key``. ``n`` is dropped from the
     result. Rows with a NULL key keep NULLs under ``left``. Without hot keys this is one plain join.
+    ``small`` says that a key has one short row in ``per_key``, so that the rows of the hot keys may
+    be broadcast (at most ``max_hot``); otherwise they are joined by salt (``how`` = inner).
     """
     keys = [key] if isinstance(key, str) else list(key)
     hot = fetch_hot(per_key if counts is None else counts, keys, n, min_rows, max_hot)
@@ -60,15 +77,28 @@ def lookup_by_key(
     if hot is None:
         return rows.join(values, keys, how)
     hot_values = values.join(F.broadcast(hot), keys, "left_semi")
-    hot_part = rows.join(F.broadcast(hot_values), keys, "inner")
+    if small:
+        hot_part = rows.join(F.broadcast(hot_values), keys, "inner")
+    else:
+        hot_part = salted_join(rows.join(F.broadcast(hot), keys, "left_semi"), hot_values, keys)
     cold_part = rows.join(F.broadcast(hot), keys, "left_anti").join(values, keys, how)
     return hot_part.unionByName(cold_part)
 
 
-def hot_accounts(txn: DataFrame, key: str, ts: str, min_rows: int = MIN_HOT_ROWS, max_hot: int = MAX_HOT_KEYS) -> DataFrame | None:
-    """Hot accounts with time span and slice count (oversplit against bursts), or None.
+@dataclass(frozen=True)
+class HotAccounts:
+    """Hot accounts of a ledger with time span and slice count; ``table`` is None without any.
+
+    May be shared by all operators over the same ledger, filtered or not.
+    """
+
+    table: DataFrame | None
+
+
+def hot_accounts(txn: DataFrame, key: str = "account_id", ts: str = "ts", min_rows: int = MIN_HOT_ROWS, max_hot: int = MAX_HOT_KEYS) -> HotAccounts:
+    """Find hot accounts. Slices are oversplit (eight per ``min_rows`` rows) against bursts.
 
-    Fewer than ``max_hot`` rows by construction, so they are fetched once and reused by every branch
+    At most ``max_hot`` rows, so they are fetched once and reused by every branch
     instead of counting the ledger again in each of them.
     """
     us = micros(ts)
@@ -77,17 +107,16 @@ def hot_accounts(txn: DataFrame, key: str, ts: str, min_rows: int = MIN_HOT_ROWS
     hot = hot_keys(spans, "n", min_rows, max_hot)
     table = hot.select(key, "_t0", (F.col("_t1") - F.col("_t0") + 1).alias("_span"), slices.alias("_slices"))
     rows = table.collect()
-    return txn.sparkSession.createDataFrame(rows, table.schema) if rows else None
+    return HotAccounts(txn.sparkSession.createDataFrame(rows, table.schema) if rows else None)
 
 
-def split_hot(txn: DataFrame, key: str, ts: str, min_rows: int, max_hot: int) -> tuple[DataFrame, DataFrame | None]:
+def split_hot(txn: DataFrame, key: str, ts: str, hot: HotAccounts) -> tuple[DataFrame, DataFrame | None]:
     """(rows of ordinary accounts, rows of hot accounts with a ``_slice`` number or None)."""
-    hot = hot_accounts(txn, key, ts, min_rows, max_hot)
-    if hot is None:
+    if hot.table is None:
         return txn, None
-    cold = txn.join(F.broadcast(hot.select(key)), key, "left_anti")
+    cold = txn.join(F.broadcast(hot.table.select(key)), key, "left_anti")
     sliced = (
-        txn.join(F.broadcast(hot), key)
+        txn.join(F.broadcast(hot.table), key)
         .withColumn("_slice", F.floor((micros(ts) - F.col("_t0")) / F.col("_span") * F.col("_slices")).cast("bigint"))
         .drop("_t0", "_span", "_slices")
     )
@@ -99,6 +128,7 @@ def with_neighbours(
     shifts: dict[str, tuple[Column | str, int]],
     key: str = "account_id",
     order: Sequence[str] = ("ts", "txn_id"),
+    hot: HotAccounts | None = None,
     min_rows: int = MIN_HOT_ROWS,
     max_hot: int = MAX_HOT_KEYS,
 ) -> DataFrame:
@@ -111,18 +141,18 @@ def with_neighbours(
     def window(*keys):
         return Window.partitionBy(*keys).orderBy(*order)
 
-    cold, hot = split_hot(txn, key, order[0], min_rows, max_hot)
+    cold, sliced = split_hot(txn, key, order[0], hot or hot_accounts(txn, key, order[0], min_rows, max_hot))
     result = cold.withColumns(shifted(window(key)))
-    if hot is None:
+    if sliced is None:
         return result
 
     per_slice = window(key, "_slice")
-    marked = hot.withColumns({"_rn": F.row_number().over(per_slice), "_more": F.lead(F.lit(1), reach).over(per_slice)})
+    marked = sliced.withColumns({"_rn": F.row_number().over(per_slice), "_more": F.lead(F.lit(1), reach).over(per_slice)})
     settled = (F.col("_rn") > reach) & F.col("_more").isNotNull()
     inner = marked.withColumns(shifted(per_slice)).filter(settled)
     # Rows near a slice end are ordered again across slices. They form runs of at most 4*reach rows
     # per slice, so this second sort is small however large the account is.
-    wide = _borders(hot, per_slice, reach)
+    wide = _borders(sliced, per_slice, reach)
     border = wide.withColumns(shifted(window(key))).filter(F.col("_border"))
     helper = ["_slice", "_rn", "_more", "_border"]
     return result.unionByName(inner.drop(*helper)).unionByName(border.drop(*helper))
@@ -149,6 +179,7 @@ def next_match(
     name: str,
     key: str = "account_id",
     order: Sequence[str] = ("ts", "txn_id"),
+    hot: HotAccounts | None = None,
     min_rows: int = MIN_HOT_ROWS,
     max_hot: int = MAX_HOT_KEYS,
 ) -> DataFrame:
@@ -162,16 +193,16 @@ def next_match(
     def window(*keys):
         return Window.partitionBy(*keys).orderBy(*descending).rowsBetween(Window.unboundedPreceding, -1)
 
-    cold, hot = split_hot(txn, key, order[0], min_rows, max_hot)
+    cold, sliced = split_hot(txn, key, order[0], hot or hot_accounts(txn, key, order[0], min_rows, max_hot))
     result = cold.withColumn(name, F.last(hit, ignorenulls=True).over(window(key)))
-    if hot is None:
+    if sliced is None:
         return result
 
     order_struct = F.struct(*order)
-    firsts = hot.filter(condition).groupBy(key, "_slice").agg(F.min_by(value, order_struct).alias("_first"))
-    every = hot.select(key, "_slice").distinct().join(firsts, [key, "_slice"], "left")
+    firsts = sliced.filter(condition).groupBy(key, "_slice").agg(F.min_by(value, order_struct).alias("_first"))
+    every = sliced.select(key, "_slice").distinct().join(firsts, [key, "_slice"], "left")
     slices_after = Window.partitionBy(key).orderBy(F.col("_slice").desc()).rowsBetween(Window.unboundedPreceding, -1)
     carried = every.withColumn("_carry", F.last("_first", ignorenulls=True).over(slices_after)).drop("_first")
-    inside = hot.withColumn(name, F.last(hit, ignorenulls=True).over(window(key, "_slice")))
+    inside = sliced.withColumn(name, F.last(hit, ignorenulls=True).over(window(key, "_slice")))
     fixed = inside.join(carried, [key, "_slice"], "left").withColumn(name, F.coalesce(name, "_carry")).drop("_carry", "_slice")
     return result.unionByName(fixed)

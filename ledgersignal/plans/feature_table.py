@@ -11,6 +11,7 @@ from ledgersignal.operators import account as AC
 from ledgersignal.operators import derived as DE
 from ledgersignal.operators import encode as EN
 from ledgersignal.operators import sequence as SQ
+from ledgersignal.operators.skew import hot_accounts
 from ledgersignal.session import cut_lineage
 from ledgersignal.sources import adapters as AD
 
@@ -46,14 +47,17 @@ def feature_groups(spark: SparkSession, sf_dir: str, wanted: Sequence[str]) -> l
     labels = AD.labels(spark, sf_dir)
     side = AD.side_ledger(spark, sf_dir)
 
+    ordered = {"gaps", "dwell", "trigrams"} & set(wanted)
+    hot = hot_accounts(txn) if ordered else None
+
     def trigrams():
-        counts = SQ.trigram_counts(SQ.trigrams(txn))
+        counts = SQ.trigram_counts(SQ.trigrams(txn, hot=hot))
         return SQ.trigram_features(counts, SQ.trigram_enrichment(counts, labels), accounts)
 
     builders = {
         "distinct": lambda: AC.distinct_counts(AD.lineitem_ledger(spark, sf_dir, mcc=True)),
-        "gaps": lambda: SQ.gap_stats(SQ.gaps(txn)),
-        "dwell": lambda: AC.median_dwell(SQ.dwell_pairs(txn)),
+        "gaps": lambda: SQ.gap_stats(SQ.gaps(txn, hot=hot)),
+        "dwell": lambda: AC.median_dwell(SQ.dwell_pairs(txn, hot=hot)),
         "life": lambda: AC.first_large(txn, accounts),
         "trigrams": trigrams,
         "balance": lambda: AC.balance_dynamics(side),
