@@ -72,7 +72,11 @@ def _refined() -> dict[str, Column]:
     }
 
 
-PROFILE_PARTS = {"core": _core, "flow": _flow, "behaviour": _behaviour, "refined": _refined}
+def _first_large() -> dict[str, Column]:
+    return {"first_large_ts": F.min(F.when(S.is_large(F.abs("amount")), F.col("ts")))}
+
+
+PROFILE_PARTS = {"core": _core, "flow": _flow, "behaviour": _behaviour, "refined": _refined, "first_large": _first_large}
 
 
 def account_profile(txn: DataFrame, parts: Sequence[str] = tuple(PROFILE_PARTS)) -> DataFrame:
@@ -147,9 +151,14 @@ def mcc_entropy(txn: DataFrame) -> DataFrame:
 def first_large(txn: DataFrame, accounts: DataFrame, limit: float = S.LARGE_AMOUNT) -> DataFrame:
     """First timestamp above the limit and whole days between opening and it."""
     first = txn.filter(S.is_large(F.abs("amount"), limit)).groupBy(A).agg(F.min("ts").alias("first_large_ts"))
-    opened = accounts.select(A, F.col("opening_date").cast("timestamp_ntz").alias("_open"))
-    days = F.floor(F.timestamp_diff("SECOND", F.col("_open"), F.col("first_large_ts")) / 86400)
-    return opened.join(first, A, "left").withColumn("days_to_first_large", days).drop("_open")
+    joined = accounts.select(A, "opening_date").join(first, A, "left")
+    return joined.withColumn("days_to_first_large", days_to_first_large()).drop("opening_date")
+
+
+def days_to_first_large() -> Column:
+    """Whole days from ``opening_date`` to ``first_large_ts``."""
+    seconds = F.timestamp_diff("SECOND", F.col("opening_date").cast("timestamp_ntz"), F.col("first_large_ts").cast("timestamp_ntz"))
+    return F.floor(seconds / 86400)
 
 
 def median_dwell(pairs: DataFrame) -> DataFrame:
@@ -300,8 +309,12 @@ def balance_dynamics(side: DataFrame, order: Sequence[str] = ("ts", "transaction
 def residual(accounts: DataFrame, volumes: DataFrame, tiny: float = 0.001) -> DataFrame:
     """Resting balance relative to the volume moved through the account."""
     joined = accounts.select(A, "daily_avg_balance").join(volumes.select(A, "total_volume"), A, "left")
-    ratio = S.safe_ratio(F.abs("daily_avg_balance"), "total_volume")
-    return joined.select(A, ratio.alias("residual_ratio")).withColumn("is_tiny_residual", F.coalesce((F.col("residual_ratio") < tiny).cast("int"), F.lit(0)))
+    return joined.select(A, residual_ratio().alias("residual_ratio")).withColumn("is_tiny_residual", F.coalesce((F.col("residual_ratio") < tiny).cast("int"), F.lit(0)))
+
+
+def residual_ratio() -> Column:
+    """Resting balance over moved volume, from ``daily_avg_balance`` and ``total_volume``."""
+    return S.safe_ratio(F.abs("daily_avg_balance"), "total_volume")
 
 
 def account_flags(accounts: DataFrame) -> DataFrame:

@@ -28,23 +28,24 @@ def _smoothed(pos: str | Column, n: str | Column, alpha: float, prior: Column) -
     return (F.coalesce(pos, F.lit(0)) + alpha * prior) / (F.coalesce(n, F.lit(0)) + alpha)
 
 
-def _apply(rows: DataFrame, stats: DataFrame, key: str, name: str, value, prior: Column, extra: tuple[str, ...] = ()) -> DataFrame:
+def _apply(rows: DataFrame, stats: DataFrame, key: str, name: str, value, prior: Column, extra: tuple[str, ...] = (), more: dict[str, Column] | None = None) -> DataFrame:
     # Every key is as frequent in `rows` as in `rows` itself: count there, so hot keys are known.
     frequency = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     joined = lookup_by_key(rows, stats, key, counts=frequency)
-    return joined.withColumn("_mu", prior).withColumn(name, value()).drop("_mu", "_pos", "_cnt", *extra)
+    return joined.withColumn("_mu", prior).withColumns({name: value(), **(more or {})}).drop("_mu", "_pos", "_cnt", *extra)
 
 
 def target_encode_oof(
-    train: DataFrame, rows: DataFrame | None, key: str, y: str, fold: str, alpha: float = 10, name: str = "rate_oof"
+    train: DataFrame, rows: DataFrame | None, key: str, y: str, fold: str, alpha: float = 10, name: str = "rate_oof", full_name: str | None = None
 ) -> DataFrame:
-    """Rate from the other folds only. ``rows`` without labels use all training rows.
+    """Rate from the other folds only; ``rows`` have no fold and use all training rows.
 
     One aggregate by (key, fold) serves every fold: the own fold's sums are subtracted.
+    ``full_name`` adds the rate that does not leave the own fold out.
     """
     prior = _prior(train, y)
-    keyed = train.filter(F.col(key).isNotNull())
-    per_fold = keyed.groupBy(key, fold).agg(F.sum(y).alias("_fpos"), F.count(y).alias("_fcnt"))
+    per_fold = train.filter(F.col(key).isNotNull()).groupBy(key, fold).agg(F.sum(y).alias("_fpos"), F.count(y).alias("_fcnt"))
+    # One entry per fold, so this list is as long as the number of folds.
     folds = F.map_from_entries(F.collect_list(F.struct(F.col(fold), F.struct("_fpos", "_fcnt"))))
     stats = per_fold.groupBy(key).agg(F.sum("_fpos").alias("_pos"), F.sum("_fcnt").alias("_cnt"), folds.alias("_folds"))
 
@@ -54,11 +55,9 @@ def target_encode_oof(
     def leave_out() -> Column:
         return _smoothed(F.coalesce(F.col("_pos"), F.lit(0)) - own("_fpos"), F.coalesce(F.col("_cnt"), F.lit(0)) - own("_fcnt"), alpha, F.col("_mu"))
 
-    encoded = _apply(train, stats, key, name, leave_out, prior, ("_folds",))
-    if rows is None:
-        return encoded
-    test = _apply(rows, stats.drop("_folds"), key, name, lambda: _smoothed("_pos", "_cnt", alpha, F.col("_mu")), prior)
-    return encoded.drop(fold).unionByName(test, allowMissingColumns=True)
+    every = train if rows is None else train.unionByName(rows, allowMissingColumns=True)
+    full = {full_name: _smoothed("_pos", "_cnt", alpha, F.col("_mu"))} if full_name else {}
+    return _apply(every, stats, key, name, leave_out, prior, ("_folds",), full)
 
 
 def target_encode_expanding(train: DataFrame, key: str, y: str, bucket: str, folds: int, alpha: float = 10, name: str = "rate_time") -> DataFrame:

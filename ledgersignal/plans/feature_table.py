@@ -37,8 +37,8 @@ def encoded_labels(labels: DataFrame) -> DataFrame:
     """Branch rates: out-of-fold for training rows, all training rows for the others."""
     train = EN.stratified_folds(labels.filter(~F.col("is_test")), 5)
     test = labels.filter(F.col("is_test"))
-    oof = cut_lineage(EN.target_encode_oof(train, test, "branch_code", "is_mule", "fold", name="branch_mule_rate_oof"))
-    return EN.target_encode(train, oof, "branch_code", "is_mule", name="branch_mule_rate").select(A, "branch_mule_rate_oof", "branch_mule_rate")
+    encoded = EN.target_encode_oof(train, test, "branch_code", "is_mule", "fold", name="branch_mule_rate_oof", full_name="branch_mule_rate")
+    return encoded.select(A, "branch_mule_rate_oof", "branch_mule_rate")
 
 
 def feature_groups(spark: SparkSession, sf_dir: str, wanted: Sequence[str]) -> list[DataFrame]:
@@ -58,17 +58,28 @@ def feature_groups(spark: SparkSession, sf_dir: str, wanted: Sequence[str]) -> l
         "distinct": lambda: AC.distinct_counts(AD.lineitem_ledger(spark, sf_dir, mcc=True)),
         "gaps": lambda: SQ.gap_stats(SQ.gaps(txn, hot=hot)),
         "dwell": lambda: AC.median_dwell(SQ.dwell_pairs(txn, hot=hot)),
-        "life": lambda: AC.first_large(txn, accounts),
         "trigrams": trigrams,
         "balance": lambda: AC.balance_dynamics(side),
         "geo": lambda: AC.geo_spread(side),
-        "residual": lambda: AC.residual(accounts, AC.core_stats(txn)),
         "flags": lambda: AC.account_flags(accounts),
         "encode": lambda: encoded_labels(labels),
     }
-    profile = [g for g in wanted if g in AC.PROFILE_PARTS]
-    grouped = [AC.account_profile(txn, profile)] if profile else []
-    return grouped + [builders[g]() for g in wanted if g in builders]
+    return [*profile_group(txn, accounts, wanted), *[builders[g]() for g in wanted if g in builders]]
+
+
+def profile_group(txn: DataFrame, accounts: DataFrame, wanted: Sequence[str]) -> list[DataFrame]:
+    """Counts, volumes, first large amount and resting balance from a single scan of the ledger."""
+    derived = {"life": ("first_large", "opening_date"), "residual": ("core", "daily_avg_balance")}
+    parts = [p for p in AC.PROFILE_PARTS if p in wanted or any(p == derived[g][0] for g in derived if g in wanted)]
+    if not parts:
+        return []
+    group = AC.account_profile(txn, parts)
+    extra = [g for g in derived if g in wanted]
+    if extra:
+        group = accounts.select(A, *[derived[g][1] for g in extra]).join(group, A, "left")
+        values = {"life": ("days_to_first_large", AC.days_to_first_large), "residual": ("residual_ratio", AC.residual_ratio)}
+        group = group.withColumns({values[g][0]: values[g][1]() for g in extra}).drop(*[derived[g][1] for g in extra])
+    return [group]
 
 
 def features(spark: SparkSession, sf_dir: str, groups: Sequence[str] = ALL_GROUPS) -> DataFrame:
