@@ -11,6 +11,7 @@ from ledgersignal.operators import scoring as SC
 from ledgersignal.operators import windows as WI
 from ledgersignal.operators import encode as EN
 from ledgersignal.plans import oracle_parts as O
+from ledgersignal.plans.bank_features import score_and_locate
 from ledgersignal.plans.feature_table import features, signal_table, stored_features
 from ledgersignal.plans.ledger_queries import DAILY_L
 from ledgersignal.plans.registry import query
@@ -251,3 +252,9 @@ def _(spark, sf):
 def _(spark, sf):
     data = SC.vectorised(model_table(spark, sf), MODEL_FEATURES)
     return SC.seed_average(data, [SC.estimators(seed=s, trees=5)["forest"] for s in (42, 99, 123)], 3)
+
+
+@query("score_and_locate", i="account_id", d="score", s="suspicious_start suspicious_end")
+def _(spark, sf):
+    table = model_table(spark, sf).withColumn("is_mule", F.when(~F.col("is_test"), F.col("is_mule")))
+    return score_and_locate(table, AD.lineitem_ledger(spark, sf), SC.estimators(trees=10)["forest"], MODEL_FEATURES, 3, scales=(365, 720, 1440))

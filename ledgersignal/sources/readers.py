@@ -37,16 +37,45 @@ LEDGER_SCHEMA = T.StructType(
 )
 
 
-def read_dims(spark: SparkSession, path: str, names: Sequence[str] | None = None) -> dict[str, DataFrame]:
-    """The static tables by name; nothing is read before a query asks for it."""
-    return {n: spark.read.parquet(f"{path}/{DIM_FILES[n]}") for n in (names or DIM_FILES)}
+SIDE_LEDGER_SCHEMA = (
+    "transaction_id string, ip_address string, latitude double, longitude double, balance_after_transaction double, "
+    "transaction_sub_type string, part_transaction_type string"
+)
+
+DIM_SCHEMAS = {
+    "customers": "customer_id string, date_of_birth string, relationship_start_date string, aadhaar_available string",
+    "accounts": "account_id string, branch_code string, account_opening_date string, freeze_date string, unfreeze_date string, "
+    "last_mobile_update_date string, last_kyc_date string, account_status string, avg_balance double, daily_avg_balance double, "
+    "monthly_avg_balance double, quarterly_avg_balance double",
+    "linkage": "customer_id string, account_id string",
+    "labels": "account_id string, is_mule int, mule_flag_date string, alert_reason string",
+    "test_accounts": "account_id string",
+    "demographics": "customer_id string, joint_account_flag string, nri_flag string, gender string, phone_number string, address string, "
+    "address_last_update_date string, passbook_last_update_date string",
+    "accounts_additional": "account_id string, scheme_code string",
+    "branch": "branch_code string, branch_type string, branch_employee_count string, branch_turnover string, branch_asset_size string",
+}
+
+
+def read_dims(spark: SparkSession, path: str, names: Sequence[str] | None = None, typed: bool = True) -> dict[str, DataFrame]:
+    """The static tables by name, with fixed schemas so that no file is opened to infer one.
+
+    ``typed=False`` takes the types from the files, for tables stored with other types.
+    """
+
+    def read(name: str) -> DataFrame:
+        schema = DIM_SCHEMAS.get(name) if typed else None
+        reader = spark.read.schema(schema) if schema else spark.read
+        return reader.parquet(f"{path}/{DIM_FILES[name]}")
+
+    return {n: read(n) for n in (names or DIM_FILES)}
 
 
 def read_ledger(
     spark: SparkSession,
     path: str,
     columns: Sequence[str] | None = None,
-    schema: T.StructType | None = None,
+    schema: T.StructType | str | None = None,
     table: str = "transactions",
 ) -> DataFrame:
     """All ``batch-*`` folders of a ledger as one scan; ``columns`` prunes the parquet read."""

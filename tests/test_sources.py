@@ -25,7 +25,7 @@ def test_batch_folders_are_one_ledger(spark, scratch):
 
 def test_dims_by_name(spark, scratch):
     spark.createDataFrame([("a", "2024-01-05"), ("b", "none")], "account_id string, opened string").write.parquet(f"{scratch}/accounts.parquet")
-    dims = RD.read_dims(spark, scratch, ["accounts"])
+    dims = RD.read_dims(spark, scratch, ["accounts"], typed=False)
     got = {r[0]: r[1] for r in RD.parse_dates(dims["accounts"], ["opened"]).collect()}
     assert got == {"a": dt.date(2024, 1, 5), "b": None}
 
