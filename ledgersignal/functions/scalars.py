@@ -157,10 +157,6 @@ def rounded_location(lat: Column | str, lon: Column | str, digits: int = 3) -> C
     return F.when(lat.isNotNull() & lon.isNotNull(), F.struct(F.bround(lat, digits), F.bround(lon, digits)))
 
 
-def all_of(conditions: Iterable[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
-
-
 def total_of(columns: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a + b, columns)
 

@@ -160,7 +160,7 @@ def _(spark, sf):
     return SC.screen_red_herrings(three_scores(spark, sf).withColumn("k", AD.hash_bucket(A, "sig", 6)), "m1", low=0.45, moderate=0.6, n_signals="k")
 
 
-@query("soft_weights", i="account_id", d="sample_weight", sql=W("SELECT account_id, CASE WHEN (is_mule = 1 AND m1 >= 0.02 AND m1 < 0.1) OR (is_mule = 0 AND m1 > 0.8) OR (is_mule = 0 AND m1 < 0) THEN 0.3 ELSE 1 END AS sample_weight FROM three", O.SCORES, THREE))
+@query("soft_weights", i="account_id", d="sample_weight", sql=W("SELECT account_id, CASE WHEN (is_mule = 1 AND m1 >= 0.02 AND m1 < 0.1) OR (is_mule = 0 AND m1 > 0.8) THEN 0.3 ELSE 1 END AS sample_weight FROM three", O.SCORES, THREE))
 def _(spark, sf):
     return SC.soft_weights(three_scores(spark, sf), "v2", "m1")
 

@@ -223,7 +223,8 @@ def test_auc_and_thresholds_by_hand(spark):
     table = {round(r["threshold"], 3): r for r in EV.threshold_table(df, EV.grid_points(0.1, 0.95, 0.05)).collect()}
     for t, r in table.items():
         assert r["tp"] == sum(s > t and y for s, y in SCORES) and r["fp"] == sum(s > t and not y for s, y in SCORES)
-    assert one(EV.confusion(df, 0.5)) | {} == one(EV.confusion(df, 0.5))
+    cm = one(EV.confusion(df, 0.5))
+    assert (cm["tp"], cm["fp"], cm["fn"], cm["tn"]) == (2, 1, 2, 3) and cm["precision"] == pytest.approx(2 / 3) and cm["f2"] == pytest.approx(10 / 19)
     assert [r["tp"] + r["fp"] for r in EV.pr_curve(df).orderBy(F.desc("threshold")).collect()] == [1, 3, 6, 7, 8]
     hist = RE.score_histogram(df, 4).orderBy("bin").collect()
     assert [r["n_rows"] for r in hist] == [2, 0, 3, 3]
@@ -244,7 +245,7 @@ def test_oof_ignores_own_fold(spark):
 
     def rates(data):
         df = spark.createDataFrame(data, schema)
-        return {r["account_id"]: r["rate_oof"] - 10 * 0 for r in EN.target_encode_oof(df, None, "key", "y", "fold", alpha=0.0).collect()}
+        return {r["account_id"]: r["rate_oof"] for r in EN.target_encode_oof(df, None, "key", "y", "fold", alpha=0.0).collect()}
 
     before, after = rates(rows), rates(flip)
     own = [a for a, k, _, f in rows if k == "k1" and f == 7 % 3]
