@@ -64,3 +64,11 @@ def test_learned_dampen_is_skipped_without_both_classes(spark, table):
 
 def test_best_candidate(spark, table):
     assert SC.best_by_auc(table, ["z", "x"]) == "x"
+
+
+def test_better_blend_keeps_the_higher_auc(spark, table):
+    df = SC.better_blend(table, {"x": 0.1, "z": 0.9})
+    best = EV.auc(df, "blend").first()["auc"]
+    fixed = EV.auc(SC.blend(table, {"x": 0.1, "z": 0.9}), "blend").first()["auc"]
+    auto = EV.auc(SC.auc_weighted_blend(table, ["x", "z"]), "blend").first()["auc"]
+    assert best == pytest.approx(max(fixed, auto))
