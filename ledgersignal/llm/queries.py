@@ -7,10 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgersignal.llm import curriculum, hash_tree, sketches
+from ledgersignal.llm import assignments, curriculum, diagonals, hash_tree, sketches, toxicity, trie_counts
 from ledgersignal.llm.common import read
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op4_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = trie_counts.count_tokens(read(spark, sf_dir, "documents"), trie_counts.default_model(spark))
+    return counted.select("doc_id", "n_pretokens", "n_tokens", F.round("log_score", 6).alias("log_score"))
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assignments.find_secrets(read(spark, sf_dir, "documents"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = curriculum.by_position(curriculum.mix(read(spark, sf_dir, "documents")))
     return placed.select(
@@ -22,6 +35,10 @@ def op8_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_tree.shard_documents(read(spark, sf_dir, "documents"))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagonals.find_items(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = sketches.fingerprint_documents(read(spark, sf_dir, "documents"))
     own, edited, following = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
@@ -76,8 +93,12 @@ FROM parts
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op4_trie_token_counts": op4_trie_token_counts,
+    "op5_secrets": op5_secrets,
     "op7_mix_sources": op7_mix_sources,
     "op8_hash_tree_shards": op8_hash_tree_shards,
+    "op9_decontaminate": op9_decontaminate,
     "op10_fingerprints": op10_fingerprints,
 }
 
