@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgersignal.llm import assignments, curriculum, diagonals, hash_tree, sketches, toxicity, trie_counts
+from ledgersignal.llm import assignments, curriculum, diagonals, hash_tree, sentence_spans, sketches, toxicity, trie_counts
 from ledgersignal.llm.common import read
 
 
@@ -24,6 +24,10 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assignments.find_secrets(read(spark, sf_dir, "documents"))
 
 
+def op6_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_spans.dedup_spans(read(spark, sf_dir, "documents"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = curriculum.by_position(curriculum.mix(read(spark, sf_dir, "documents")))
     return placed.select(
@@ -96,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op4_trie_token_counts": op4_trie_token_counts,
     "op5_secrets": op5_secrets,
+    "op6_sentence_spans": op6_sentence_spans,
     "op7_mix_sources": op7_mix_sources,
     "op8_hash_tree_shards": op8_hash_tree_shards,
     "op9_decontaminate": op9_decontaminate,
