@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ledgersignal.llm.common import text_key, whole_text
 from ledgersignal.operators.ranking import ordinal_rank
+from ledgersignal.session import cut_lineage
 
 K = 128
 SHINGLE = 5
@@ -89,15 +90,17 @@ def fingerprint_documents(docs: DataFrame, k: int = K, words: int = SHINGLE) ->
     rows = docs.select("doc_id", whole_text().alias("text")).withColumn(
         "_key", text_key(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.col("text")))
     )
-    heads = rows.groupBy("_key").agg(F.any_value("doc_id").alias("doc_id"), F.any_value(F.length("text").cast("long")).alias("n"))
+    counted = [F.any_value("doc_id").alias("doc_id"), F.any_value(F.length("text").cast("long")).alias("n"), F.count(F.lit(1)).alias("_rows")]
+    heads = cut_lineage(rows.groupBy("_key").agg(*counted))
     ranked = ordinal_rank(heads, [F.col("doc_id").desc_nulls_last(), F.col("_key")], "_rank")
-    count = F.lit(heads.count())
-    asks = ranked.select(F.col("_key").alias("_to"), F.floor(F.col("n") / 2).cast("int").alias("_take"), (F.pmod("_rank", count) + 1).alias("_next"))
+    half = F.floor(F.col("n") / 2).cast("int")
+    asks = ranked.select(F.col("_key").alias("_to"), "doc_id", "_rows", half.alias("_take"), (F.pmod("_rank", F.lit(heads.count())) + 1).alias("_next"))
     asks = asks.join(ranked.select(F.col("_rank").alias("_next"), "_key"), "_next").drop("_next")
 
-    texts = rows.groupBy("_key").agg(F.any_value("doc_id").alias("doc_id"), F.any_value("text").alias("text"), F.count(F.lit(1)).alias("_rows"))
-    given = with_sketch(texts.select("_key", "text").join(asks, "_key"), "text", "next_sketch", k, words).select(
-        F.col("_to").alias("_key"), F.left("text", F.col("_take")).alias("_piece"), "next_sketch"
+    # Both uses of this table need the same columns, so that they share its shuffle.
+    texts = rows.groupBy("_key").agg(F.any_value("text").alias("text"))
+    given = with_sketch(texts.join(asks, "_key"), "text", "next_sketch", k, words).select(
+        F.col("_to").alias("_key"), "doc_id", "_rows", F.left("text", F.col("_take")).alias("_piece"), "next_sketch"
     )
     both = texts.join(given, "_key").withColumn("n_chars", F.length("text").cast("long"))
     kept = F.left("text", (F.col("n_chars") - F.floor(F.col("n_chars") / 2)).cast("int"))
