@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgersignal.llm import assignments, curriculum, diagonals, hash_tree, sentence_spans, sketches, suffix_cover, toxicity, trie_counts
+from ledgersignal.llm import assignments, chosen_path, curriculum, diagonals, hash_tree, sentence_spans, sketches, suffix_cover, toxicity, trie_counts
 from ledgersignal.llm.common import read
 
 
@@ -19,6 +19,10 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_cover.remove_repeats(read(spark, sf_dir, "documents"))
 
 
+def op3_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.join_documents(read(spark, sf_dir, "documents"))
+
+
 def op4_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = trie_counts.count_tokens(read(spark, sf_dir, "documents"), trie_counts.default_model(spark))
     return counted.select("doc_id", "n_pretokens", "n_tokens", F.round("log_score", 6).alias("log_score"))
@@ -103,6 +107,7 @@ FROM parts
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_chosen_path": op3_chosen_path,
     "op4_trie_token_counts": op4_trie_token_counts,
     "op5_secrets": op5_secrets,
     "op6_sentence_spans": op6_sentence_spans,
