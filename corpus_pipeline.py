@@ -1,27 +1,67 @@
-"""From raw documents to shards, stage by stage."""
+"""From raw documents to shards: reject toxic texts, keep one of near duplicates, take out texts that hold
+benchmark items, mix the sources, and deal the documents to shards.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns they got.
+A stage works on what its predecessor wrote.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgersignal.llm import hash_tree
+from ledgersignal.llm import chosen_path, curriculum, diagonals, hash_tree, toxicity
+from ledgersignal.session import ensure_checkpoint_dir
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below the rejection score; labels come from ``sf_dir``."""
+    return toxicity.keep_civil(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of texts linked by the similarity of their shingle sets."""
+    return chosen_path.keep_one(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item; items come from ``sf_dir``."""
+    return diagonals.keep_uncontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's target asks, in the order of training."""
+    return curriculum.take(docs)
+
+
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with the shard they go to."""
     return hash_tree.place(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("shard", shard)]
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", reject_toxic),
+    ("near duplicates", drop_near_duplicates),
+    ("decontamination", decontaminate),
+    ("mixing", mix_sources),
+    ("sharding", shard),
+]
 
+#: The first stage is a fitted model, so SQL cannot give the rows; tests compare every stage with brute force.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``. Between stages documents are written to the folder in spark.checkpoint.dir."""
+    folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for number, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if number < len(STAGES) - 1:
+            docs.write.parquet(f"{folder}/{number}")
+            docs = spark.read.parquet(f"{folder}/{number}")
     return docs

@@ -108,3 +108,26 @@ def by_position(mixed: DataFrame) -> DataFrame:
 def passes(mixed: DataFrame) -> DataFrame:
     """One row per pass over a document, range-sorted by training position."""
     return mixed.withColumn("position", F.explode("positions")).drop("positions").orderBy("position", "doc_id")
+
+
+def take(docs: DataFrame, **settings) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, range-sorted by training position.
+
+    A document appears once for every pass that takes at least half of its words; documents without words and
+    those not taken are left out. Rows equal in id and text appear equally often, by their mean. All columns
+    stay as they are.
+    """
+    planned = mix(docs, **settings)
+    passes_taken = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0)
+    grouped = planned.groupBy(F.col("doc_id").alias("_mix_id"), F.col("_text").alias("_mix_text")).agg(
+        F.round(F.avg(passes_taken)).cast("int").alias("_mix_passes"), F.any_value("positions").alias("_mix_positions")
+    )
+    # Of rows that are equal in all, one's positions serve for all.
+    wanted = cut_lineage(grouped.filter(F.col("_mix_passes") > 0))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_mix_row")
+    keyed = docs.select(row, F.col("doc_id").alias("_mix_own_id"), text_key(whole_text()).alias("_mix_text"))
+    joined = keyed.join(wanted, F.col("_mix_own_id").eqNullSafe(F.col("_mix_id")) & (keyed["_mix_text"] == wanted["_mix_text"]))
+    number = F.explode(F.sequence(F.lit(1), F.col("_mix_passes"))).alias("_mix_number")
+    spread = joined.select("_mix_row", "_mix_positions", number)
+    place = F.coalesce(F.try_element_at("_mix_positions", F.col("_mix_number")), F.lit(1.0))
+    return spread.orderBy(place, F.col("_mix_row.doc_id")).select("_mix_row.*")
