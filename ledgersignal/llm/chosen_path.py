@@ -26,7 +26,7 @@ from ledgersignal.llm.common import text_key, walk_groups, whole_text
 from ledgersignal.operators.network import connected_components
 from ledgersignal.session import cut_lineage
 
-SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.999
+SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.9999
 RATE, DEPTH, LIMIT = 2.0, 3, 200
 #: Blocks of a node have at most so many sets, and texts of about so many characters.
 BLOCK_SETS, BLOCK_CHARS = 2_000, 12_000_000
