@@ -2,8 +2,8 @@
 
 Features are densities of lexicon terms, their nearness to second-person words, capitals, punctuation and
 obfuscation rates. Besides a fixed lexicon one is learned: words and word beginnings that mark toxic rows
-among labelled rows. Labelled training rows are divided by a hash into a part for the lexicon, one for the
-trees and one for the calibration.
+among labelled rows. Labelled training rows are divided by a hash into two halves, each of which is described
+by the lexicon learned from the other, to fit the trees, and a part for the calibration.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -25,7 +26,7 @@ from ledgersignal.session import cut_lineage
 #: Labelled rows used for fitting at most, taken by a hash of the id.
 FIT_ROWS = 20_000
 #: Learned lexicon: terms at most, toxic rows that hold a term at least, log odds at least.
-LEARNED_TERMS, TERM_ROWS, TERM_ODDS = 3_000, 4, 2.0
+LEARNED_TERMS, TERM_ROWS, TERM_ODDS = 3_000, 4, 2.5
 TREES, DEPTH = 30, 4
 REJECT = 0.7
 NEAR_WORDS = 4
@@ -50,9 +51,9 @@ FEATURES = (
 )
 
 
-def terms_of(word: str) -> tuple[str, ...]:
-    """What the learned lexicon is looked up by: the word and its beginnings of four and five letters."""
-    return (word, word[:4] + "~", word[:5] + "~") if len(word) > 5 else (word, word[:4] + "~") if len(word) > 4 else (word,)
+def terms_of(word: str) -> list[str]:
+    """What the learned lexicon is looked up by: the word and its beginnings of four to seven letters."""
+    return [word, *(word[:n] + "~" for n in range(4, min(8, len(word))))]
 
 
 def features(text: str, learned: dict[str, float]) -> list[float]:
@@ -67,7 +68,7 @@ def features(text: str, learned: dict[str, float]) -> list[float]:
         low = word.lower()
         if low in YOU:
             you_at.append(i)
-        weight = max(get(low, 0.0), get(low[:4] + "~", 0.0), get(low[:5] + "~", 0.0)) if len(low) > 4 else get(low, 0.0)
+        weight = max([get(t, 0.0) for t in terms_of(low)])
         bad = low in INSULTS
         if not word.isalpha() and word and INSIDE.search(word):
             odd += 1
@@ -137,10 +138,15 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Callabl
     marks = cut_lineage(marks.filter(unit < share))
     rows = cut_lineage(docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id"))  # at most about fit_rows rows
     part = F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(20))
-    learned = learned_lexicon(rows.filter(part < 9))
-    table = cut_lineage(rows.select("toxic", part.alias("part"), feature_column(F.col("text"), learned).alias("x")).withColumn("x", array_to_vector("x")))
-    classes = {(r["own"], r["toxic"]): r["n"] for r in table.groupBy((F.col("part") < 9).cast("int").alias("own"), "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if min(classes.get((0, c), 0) for c in (0, 1)) < 2:
+    rows = rows.withColumn("part", part)
+    halves = F.col("part") < 8, F.col("part").between(8, 15)
+    learned = learned_lexicon(rows.filter("part < 16"))
+    # Rows are described by a lexicon they have no part in: each half by that of the other half.
+    described = [(halves[0], learned_lexicon(rows.filter(halves[1]))), (halves[1], learned_lexicon(rows.filter(halves[0]))), (F.col("part") > 15, learned)]
+    tables = [rows.filter(own).select("toxic", "part", feature_column(F.col("text"), lexicon).alias("x")) for own, lexicon in described]
+    table = cut_lineage(reduce(DataFrame.unionAll, tables).withColumn("x", array_to_vector("x")))
+    classes = {r["toxic"]: r["n"] for r in table.groupBy("toxic").agg(F.count_if(F.col("part") < 16).alias("n")).collect()}
+    if min(classes.get(c, 0) for c in (0, 1)) < 2:
 
         def by_lexicon(df: DataFrame) -> DataFrame:
             density = F.element_at(feature_column(F.col("text"), {}), 1)
@@ -150,14 +156,14 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Callabl
     settings = {"labelCol": "toxic", "featuresCol": "x", "maxIter": TREES, "maxDepth": DEPTH, "stepSize": 0.2, "seed": 7, "checkpointInterval": -1}
     # Calibration needs rows the trees have not seen; with few rows of a class all of them serve for both.
     enough = table.filter((F.col("part") >= 16) & (F.col("toxic") == 1)).limit(20).count() == 20
-    trees_rows = table.filter(F.col("part").between(9, 15) if enough else F.col("part") >= 9)
+    trees_rows = table.filter(F.col("part") < (16 if enough else 20))
     trees = GBTClassifier(**settings).fit(trees_rows.coalesce(4))
 
     def raw(df: DataFrame) -> DataFrame:
         scored = trees.transform(df).withColumn("_raw", F.round(vector_to_array("probability")[1], 3))
         return scored.drop("rawPrediction", "probability", "prediction")
 
-    steps = raw(table.filter(F.col("part") >= (16 if enough else 9)))
+    steps = raw(table.filter(F.col("part") >= (16 if enough else 0)))
     curve = IsotonicRegression(featuresCol="_raw", labelCol="label", weightCol="w").fit(
         steps.groupBy("_raw").agg(F.avg("toxic").alias("label"), F.count(F.lit(1)).cast("double").alias("w"))  # at most 1,001 points
     )
