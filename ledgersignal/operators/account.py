@@ -215,9 +215,9 @@ def mcc_global_stats(txn: DataFrame) -> DataFrame:
     )
 
 
-def mcc_anomaly(txn: DataFrame, stats: DataFrame) -> DataFrame:
+def mcc_anomaly(txn: DataFrame, stats: DataFrame, **hot) -> DataFrame:
     """Per-account maximum, mean and tail share of the amount's z-score within its category."""
-    rows = lookup_by_key(txn.select(A, "mcc_code", F.abs("amount").alias("a")), stats, "mcc_code")
+    rows = lookup_by_key(txn.select(A, "mcc_code", F.abs("amount").alias("a")), stats, "mcc_code", **hot)
     z = F.coalesce((F.col("a") - F.col("mcc_mean")) / F.greatest(F.col("mcc_std"), F.lit(1.0)), F.lit(0.0))
     return rows.select(A, z.alias("z")).groupBy(A).agg(
         F.max("z").alias("mcc_zscore_max"),
@@ -240,13 +240,13 @@ def salary_regularity(txn: DataFrame) -> DataFrame:
     )
 
 
-def share_counts(dim: DataFrame, columns: dict[str, Sequence[str]], key: str = A) -> DataFrame:
+def share_counts(dim: DataFrame, columns: dict[str, Sequence[str]], key: str = A, **hot) -> DataFrame:
     """How many rows share each row's value (phone, address); missing values stay missing."""
     out = dim
     for name, parts in columns.items():
         parts = list(parts)
         counts = dim.dropna(subset=parts).groupBy(*parts).agg(F.count(F.lit(1)).alias("n"))
-        out = lookup_by_key(out, counts.withColumn(name, F.col("n")), parts)
+        out = lookup_by_key(out, counts.withColumn(name, F.col("n")), parts, **hot)
     return out.select(key, *columns)
 
 
@@ -355,12 +355,12 @@ def balance_ratios(accounts: DataFrame, ages: DataFrame, volumes: DataFrame) ->
     )
 
 
-def branch_profile(accounts: DataFrame, branch: DataFrame) -> DataFrame:
+def branch_profile(accounts: DataFrame, branch: DataFrame, **hot) -> DataFrame:
     """Branch type flags and size columns (numeric text is parsed) by branch code."""
     sizes = ["branch_employee_count", "branch_turnover", "branch_asset_size"]
     numeric = branch.select("branch_code", "branch_type", *[F.col(c).try_cast("double").alias(c) for c in sizes])
     per_branch = accounts.groupBy("branch_code").agg(F.count(F.lit(1)).alias("n"))
-    joined = lookup_by_key(accounts.select(A, "branch_code"), numeric.join(per_branch, "branch_code"), "branch_code")
+    joined = lookup_by_key(accounts.select(A, "branch_code"), numeric, "branch_code", counts=per_branch, **hot)
     return joined.select(A, S.flag_eq("branch_type", "urban").alias("is_urban"), S.flag_eq("branch_type", "rural").alias("is_rural"), *sizes)
 
 

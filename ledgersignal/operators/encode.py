@@ -16,11 +16,11 @@ def _prior(train: DataFrame, y: str) -> Column:
     return train.agg(F.avg(y)).scalar()
 
 
-def target_encode(train: DataFrame, rows: DataFrame, key: str, y: str, alpha: float = 10, name: str = "rate") -> DataFrame:
+def target_encode(train: DataFrame, rows: DataFrame, key: str, y: str, alpha: float = 10, name: str = "rate", **hot) -> DataFrame:
     """Smoothed positive rate per key from all training rows; unseen keys get the prior."""
     prior = _prior(train, y)
     stats = train.filter(F.col(key).isNotNull()).groupBy(key).agg(F.sum(y).alias("_pos"), F.count(y).alias("_cnt"))
-    return _apply(rows, stats, key, name, lambda: _smoothed("_pos", "_cnt", alpha, F.col("_mu")), prior)
+    return _apply(rows, stats, key, name, lambda: _smoothed("_pos", "_cnt", alpha, F.col("_mu")), prior, hot=hot)
 
 
 def _smoothed(pos: str | Column, n: str | Column, alpha: float, prior: Column) -> Column:
@@ -28,15 +28,15 @@ def _smoothed(pos: str | Column, n: str | Column, alpha: float, prior: Column) -
     return (F.coalesce(pos, F.lit(0)) + alpha * prior) / (F.coalesce(n, F.lit(0)) + alpha)
 
 
-def _apply(rows: DataFrame, stats: DataFrame, key: str, name: str, value, prior: Column, extra: tuple[str, ...] = (), more: dict[str, Column] | None = None) -> DataFrame:
+def _apply(rows: DataFrame, stats: DataFrame, key: str, name: str, value, prior: Column, extra: tuple[str, ...] = (), more: dict[str, Column] | None = None, hot: dict | None = None) -> DataFrame:
     # Every key is as frequent in `rows` as in `rows` itself: count there, so hot keys are known.
     frequency = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    joined = lookup_by_key(rows, stats, key, counts=frequency)
+    joined = lookup_by_key(rows, stats, key, counts=frequency, **(hot or {}))
     return joined.withColumn("_mu", prior).withColumns({name: value(), **(more or {})}).drop("_mu", "_pos", "_cnt", *extra)
 
 
 def target_encode_oof(
-    train: DataFrame, rows: DataFrame | None, key: str, y: str, fold: str, alpha: float = 10, name: str = "rate_oof", full_name: str | None = None
+    train: DataFrame, rows: DataFrame | None, key: str, y: str, fold: str, alpha: float = 10, name: str = "rate_oof", full_name: str | None = None, **hot
 ) -> DataFrame:
     """Rate from the other folds only; ``rows`` have no fold and use all training rows.
 
@@ -57,17 +57,17 @@ def target_encode_oof(
 
     every = train if rows is None else train.unionByName(rows, allowMissingColumns=True)
     full = {full_name: _smoothed("_pos", "_cnt", alpha, F.col("_mu"))} if full_name else {}
-    return _apply(every, stats, key, name, leave_out, prior, ("_folds",), full)
+    return _apply(every, stats, key, name, leave_out, prior, ("_folds",), full, hot)
 
 
-def target_encode_expanding(train: DataFrame, key: str, y: str, bucket: str, folds: int, alpha: float = 10, name: str = "rate_time") -> DataFrame:
+def target_encode_expanding(train: DataFrame, key: str, y: str, bucket: str, folds: int, alpha: float = 10, name: str = "rate_time", **hot) -> DataFrame:
     """Rate from strictly earlier time buckets; the first bucket and the remainder get the prior."""
     prior = _prior(train, y)
     earlier = Window.partitionBy(key).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     # At most folds + 2 buckets per key, whatever the number of accounts behind a key.
     per = train.groupBy(key, bucket).agg(F.sum(y).alias("_p"), F.count(y).alias("_c"), F.count(F.lit(1)).alias("n"))
     stats = per.select(key, bucket, "n", F.sum("_p").over(earlier).alias("_pos"), F.sum("_c").over(earlier).alias("_cnt"))
-    joined = lookup_by_key(train, stats, [key, bucket]).withColumn("_mu", prior)
+    joined = lookup_by_key(train, stats, [key, bucket], **hot).withColumn("_mu", prior)
     used = F.col(bucket).between(1, folds)
     return joined.withColumn(name, F.when(used, _smoothed("_pos", "_cnt", alpha, F.col("_mu"))).otherwise(F.col("_mu"))).drop("_mu", "_pos", "_cnt")
 

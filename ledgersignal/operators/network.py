@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ledgersignal.functions.scalars import cents
 from ledgersignal.operators.ranking import ordinal_rank
-from ledgersignal.operators.skew import MAX_HOT_KEYS, MIN_HOT_ROWS, hot_keys, lookup_by_key, salted_join
+from ledgersignal.operators.skew import MAX_HOT_KEYS, MIN_HOT_ROWS, fetch_hot, lookup_by_key, salted_join
 from ledgersignal.session import cut_lineage
 
 A = "account_id"
@@ -32,7 +32,10 @@ def build_edges(txn: DataFrame, signed: bool = False) -> DataFrame:
 
 
 def undirected(edges: DataFrame) -> DataFrame:
-    """Both directions of every edge without self loops; parallel edges are added up."""
+    """Both directions of every edge without self loops; parallel edges are added up.
+
+    A node that has only a self loop is no part of the result; operators that count all nodes add it.
+    """
     pairs = (
         edges.filter(F.col("src") != F.col("dst"))
         .groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
@@ -52,9 +55,7 @@ class Neighbourhood:
     def __init__(self, adjacency: DataFrame, min_rows: int = MIN_HOT_ROWS, max_hot: int = MAX_HOT_KEYS):
         adjacency = cut_lineage(adjacency)
         self.adjacency = adjacency
-        hot = hot_keys(adjacency.groupBy("src").agg(F.count(F.lit(1)).alias("n")), "n", min_rows, max_hot).select("src")
-        hubs = hot.collect()  # at most max_hot rows
-        self.hubs = adjacency.sparkSession.createDataFrame(hubs, hot.schema) if hubs else None
+        self.hubs = fetch_hot(adjacency.groupBy("src").agg(F.count(F.lit(1)).alias("n")), ["src"], "n", min_rows, max_hot)
         cold = adjacency if self.hubs is None else adjacency.join(F.broadcast(self.hubs), "src", "left_anti")
         self.cold = cold.repartition("src").persist(StorageLevel.MEMORY_AND_DISK)
         self.hot = None if self.hubs is None else adjacency.join(F.broadcast(self.hubs), "src", "left_semi")
@@ -81,9 +82,14 @@ class Neighbourhood:
         return done
 
 
-def pagerank(edges: DataFrame, alpha: float = 0.85, max_iter: int = 50, tol: float | None = 1e-4, cut_every: int = 5, **hot) -> DataFrame:
-    """Weighted PageRank on the undirected graph; stops when the L1 change is below n * tol."""
-    graph = Neighbourhood(undirected(edges), **hot)
+def pagerank(edges: DataFrame, alpha: float = 0.85, max_iter: int = 500, tol: float | None = 1e-4, cut_every: int = 5, **hot) -> DataFrame:
+    """Weighted PageRank on the undirected graph; stops when the L1 change is below n * tol.
+
+    Self loops count once in a node's strength, so a node with nothing else keeps its share. Ranks that have
+    not settled after ``max_iter`` rounds are an error; ``tol=None`` asks for exactly ``max_iter`` rounds.
+    """
+    loops = edges.filter(F.col("src") == F.col("dst")).groupBy("src", "dst").agg(F.sum("txn_count").alias("w"))
+    graph = Neighbourhood(undirected(edges).unionByName(loops), **hot)
     nodes = cut_lineage(graph.nodes())
     n = nodes.count()
     ranks = nodes.select("node", "strength", F.lit(1.0 / n).alias("rank"))
@@ -100,6 +106,10 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, max_iter: int = 50, tol: flo
         ranks = new
         if change < n * tol:
             break
+    else:
+        if tol is not None:
+            graph.cold.unpersist()
+            raise RuntimeError(f"ranks still change after {max_iter} rounds; raise max_iter or tol, or pass tol=None for fixed rounds")
     return graph.finish(ranks.select("node", F.col("rank").alias("pagerank")))
 
 
@@ -107,8 +117,8 @@ def clustering(edges: DataFrame, **hot) -> DataFrame:
     """Local clustering coefficient: (node, degree, triangles, clustering).
 
     Every edge points from the smaller to the larger (degree, id), which keeps each out-list below
-    sqrt(2 * edges) entries. Third corners come from intersecting two out-lists, so wedges are never
-    shuffled.
+    sqrt(2 * edges) entries. Third corners come from intersecting two out-lists. Each list travels once per
+    out-edge, so the shuffled volume is the sum of squared out-degrees, at most edges * sqrt(2 * edges).
     """
     adj = cut_lineage(undirected(edges).select("src", "dst"))
     deg = adj.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
@@ -141,7 +151,8 @@ def connected_components(edges: DataFrame, **hot) -> DataFrame:
     second step joins through a per-label table.
     """
     graph = Neighbourhood(undirected(edges), **hot)
-    labels = cut_lineage(graph.nodes().select("node", F.col("node").alias("component")))
+    alone = edges.filter(F.col("src") == F.col("dst")).select(F.col("src").alias("node"))
+    labels = cut_lineage(graph.nodes().select("node").unionByName(alone).distinct().select("node", F.col("node").alias("component")))
     while True:
         offered = graph.join(labels).groupBy(F.col("dst").alias("node")).agg(F.min("component").alias("_m"))
         hooked = cut_lineage(labels.join(offered, "node", "left").select("node", F.least("component", "_m").alias("new"), F.col("component").alias("old")))
@@ -157,9 +168,12 @@ def connected_components(edges: DataFrame, **hot) -> DataFrame:
     return graph.finish(lookup_by_key(labels, sizes.withColumn("component_size", F.col("n")), "component", **hot))
 
 
-def communities(edges: DataFrame, rounds: int = 10, **hot) -> DataFrame:
+def communities(edges: DataFrame, rounds: int | None = None, most: int = 100, **hot) -> DataFrame:
     """Label-propagation communities: heaviest neighbouring label, then the smallest one.
 
+    Runs until no label changes; if that takes more than ``most`` rounds, it fails instead of returning labels
+    that still move. ``rounds`` asks for a fixed number of rounds.
+
     All nodes change at once; each also votes for its own label with its total weight halved, which
     stops two-coloured parts from swapping labels forever.
     """
@@ -167,10 +181,17 @@ def communities(edges: DataFrame, rounds: int = 10, **hot) -> DataFrame:
     nodes = cut_lineage(graph.nodes())
     labels = nodes.select("node", F.col("node").alias("label"))
     own = nodes.select("node", F.floor(F.col("strength") / 2).alias("_own"))
-    for _ in range(rounds):
+    for _ in range(most if rounds is None else rounds):
         votes = graph.join(labels).select(F.col("dst").alias("node"), "label", "w").unionByName(labels.join(own, "node").select("node", "label", F.col("_own").alias("w")))
         tally = votes.groupBy("node", "label").agg(F.sum("w").alias("w"))
-        labels = cut_lineage(tally.groupBy("node").agg(F.min_by("label", F.struct(-F.col("w"), "label")).alias("label")))
+        new = cut_lineage(tally.groupBy("node").agg(F.min_by("label", F.struct(-F.col("w"), "label")).alias("label")))
+        same = rounds is None and new.join(labels.withColumnRenamed("label", "_old"), "node").filter(F.col("label") != F.col("_old")).isEmpty()
+        labels = new
+        if same:
+            break
+    else:
+        if rounds is None:
+            raise RuntimeError(f"labels still change after {most} rounds")
     sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     out = lookup_by_key(labels, sizes.withColumn("community_size", F.col("n")), "label", **hot)
     return graph.finish(out.withColumnRenamed("label", "community_id"))

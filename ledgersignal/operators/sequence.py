@@ -119,23 +119,27 @@ def build_vocab(txn: DataFrame, column: str) -> DataFrame:
     return ordinal_rank(values, [column], "_r").select(column, (F.col("_r") + 1).alias("idx"))
 
 
-def encode(df: DataFrame, column: str, vocab: DataFrame, name: str) -> DataFrame:
-    return df.join(vocab.withColumnRenamed("idx", name), column, "left").withColumn(name, F.coalesce(F.col(name), F.lit(1)))
+def encode(df: DataFrame, column: str, vocab: DataFrame, name: str, most: int = 1_000_000) -> DataFrame:
+    """Indexes by a vocabulary, which is broadcast if it has at most ``most`` counted entries."""
+    table = vocab.withColumnRenamed("idx", name)
+    table = F.broadcast(table) if table.limit(most + 1).count() <= most else table
+    return df.join(table, column, "left").withColumn(name, F.coalesce(F.col(name), F.lit(1)))
 
 
-def tail_rows(txn: DataFrame, n: int = 200, mcc_vocab: DataFrame | None = None, channel_vocab: DataFrame | None = None, **hot) -> DataFrame:
+def tail_rows(txn: DataFrame, n: int = 200, mcc_vocab: DataFrame | None = None, channel_vocab: DataFrame | None = None) -> DataFrame:
     """The latest n transactions of each account with model inputs and a position (1 = oldest kept).
 
-    Time deltas are taken before truncation. The row limit is applied inside every map task first
-    (window group limit), so a hot account never travels whole.
+    Time deltas are those of the whole ledger: one row more than wanted is kept for the oldest delta. The
+    row limit is applied inside every map task first (window group limit), so a task sends at most n + 1
+    rows of an account and a hot account never travels whole.
     """
-    rows = with_neighbours(txn, {"prev_ts": ("ts", 1)}, **hot)
-    delta = F.coalesce((S.micros("ts") - S.micros("prev_ts")) / 3.6e9, F.lit(0.0))
-    rows = rows.select(
-        A, *ORDER, "mcc_code", "channel", S.log_amount("amount").alias("log_amt"), F.when(F.col("txn_type") == "C", 1).otherwise(-1).alias("dir"), delta.alias("time_delta")
-    )
     latest = Window.partitionBy(A).orderBy(*[F.col(c).desc() for c in ORDER])
-    kept = rows.withColumn("_rn", F.row_number().over(latest)).filter(F.col("_rn") <= n)
+    columns = txn.select(
+        A, *ORDER, "mcc_code", "channel", S.log_amount("amount").alias("log_amt"), F.when(F.col("txn_type") == "C", 1).otherwise(-1).alias("dir")
+    )
+    rows = columns.withColumn("_rn", F.row_number().over(latest)).filter(F.col("_rn") <= n + 1)
+    delta = (S.micros("ts") - S.micros(F.lead("ts").over(latest))) / 3.6e9
+    kept = rows.withColumn("time_delta", F.coalesce(delta, F.lit(0.0))).filter(F.col("_rn") <= n)
     for column, vocab, name in (("mcc_code", mcc_vocab, "mcc_idx"), ("channel", channel_vocab, "chan_idx")):
         kept = encode(kept, column, vocab, name) if vocab is not None else kept.withColumn(name, F.lit(1).cast("bigint"))
     length = F.count(F.lit(1)).over(Window.partitionBy(A))

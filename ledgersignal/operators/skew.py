@@ -1,11 +1,14 @@
 """Building blocks that keep one hot key from landing in one task.
 
-* ``hot_keys`` lists the most frequent keys, at most ``max_hot`` of them, so the list may always be
-  broadcast. Every key that holds more than ``1/max_hot`` of the rows is in it.
+* ``hot_keys`` lists every key with more than ``min_rows`` rows. Of N rows these are at most
+  N / min_rows keys, half a million for 10**12 rows, so the list may be broadcast; its size is counted,
+  and only beyond ``max_hot`` keys the list keeps the most frequent ones.
 * ``lookup_by_key`` joins rows to a per-key table: hot keys by broadcast, all others by an ordinary
-  join whose strategy AQE picks from measured sizes.
-* ``with_neighbours`` is lag/lead over an ordered account sequence. A hot account is cut into time
-  slices that are sorted in different tasks; the few rows at slice borders are then fixed up.
+  join whose strategy AQE picks from measured sizes. Rows whose key the table lacks stay under ``left``,
+  hot or not.
+* ``with_neighbours`` is lag/lead over an ordered account sequence. The rows of hot accounts are laid out
+  by range of (account, order), so slices hold about equally many rows whatever their times are, and even
+  one instant is split; the few rows at slice borders are then fixed up.
 * ``next_match`` finds the next later row that satisfies a condition, with the same slicing.
 
 The hot keys are looked up first (one count over the key column); when there are none, the plan is
@@ -20,26 +23,26 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgersignal.functions.scalars import micros
+from ledgersignal.session import cut_lineage
 
 MIN_HOT_ROWS = 2_000_000
-MAX_HOT_KEYS = 10_000
+MAX_HOT_KEYS = 1_000_000
 
 
 def hot_keys(counts: DataFrame, n: str = "n", min_rows: int = MIN_HOT_ROWS, max_hot: int = MAX_HOT_KEYS) -> DataFrame:
-    """The most frequent keys of a (key, n) table, at most ``max_hot`` of them.
+    """The keys of a (key, n) table with more than ``min_rows`` rows, written once.
 
-    A key outside the list has at most ``1/max_hot`` of all rows (or ``min_rows``), which an ordinary
-    task can take; such keys go the ordinary way, so the limit drops nothing.
+    Should there be more than ``max_hot`` of them, the most frequent ones: a key outside the list then has
+    less than ``1/max_hot`` of all rows, which an ordinary task can take, and goes the ordinary way.
     """
-    return counts.filter(F.col(n) > min_rows).orderBy(F.col(n).desc()).limit(max_hot)
+    hot = cut_lineage(counts.filter(F.col(n) > min_rows))
+    return hot if hot.count() <= max_hot else cut_lineage(hot.orderBy(F.col(n).desc()).limit(max_hot))
 
 
 def fetch_hot(counts: DataFrame, keys: Sequence[str], n: str = "n", min_rows: int = MIN_HOT_ROWS, max_hot: int = MAX_HOT_KEYS) -> DataFrame | None:
-    """The hot keys as a literal table, or None. At most ``max_hot`` rows reach the driver."""
-    hot = hot_keys(counts, n, min_rows, max_hot).select(*keys)
-    rows = hot.collect()
-    return counts.sparkSession.createDataFrame(rows, hot.schema) if rows else None
+    """The hot keys as a table of at most ``max_hot`` rows, or None without any."""
+    hot = hot_keys(counts.filter(F.col(n) > min_rows).select(*keys, n), n, min_rows, max_hot).select(*keys)
+    return None if hot.isEmpty() else hot
 
 
 def salted_join(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], salts: int = 64) -> DataFrame:
@@ -77,50 +80,41 @@ def lookup_by_key(
     if hot is None:
         return rows.join(values, keys, how)
     hot_values = values.join(F.broadcast(hot), keys, "left_semi")
-    if small:
-        hot_part = rows.join(F.broadcast(hot_values), keys, "inner")
-    else:
-        hot_part = salted_join(rows.join(F.broadcast(hot), keys, "left_semi"), hot_values, keys)
+    hot_rows = rows.join(F.broadcast(hot), keys, "left_semi")
+    hot_part = hot_rows.join(F.broadcast(hot_values), keys, how) if small else salted_join(hot_rows, hot_values, keys)
     cold_part = rows.join(F.broadcast(hot), keys, "left_anti").join(values, keys, how)
     return hot_part.unionByName(cold_part)
 
 
 @dataclass(frozen=True)
 class HotAccounts:
-    """Hot accounts of a ledger with time span and slice count; ``table`` is None without any.
+    """Hot accounts of a ledger and the number of slices for all their rows; ``table`` is None without any.
 
     May be shared by all operators over the same ledger, filtered or not.
     """
 
     table: DataFrame | None
+    slices: int = 0
 
 
 def hot_accounts(txn: DataFrame, key: str = "account_id", ts: str = "ts", min_rows: int = MIN_HOT_ROWS, max_hot: int = MAX_HOT_KEYS) -> HotAccounts:
-    """Find hot accounts. Slices are oversplit (eight per ``min_rows`` rows) against bursts.
+    """Find hot accounts: one count over the key column, reused by every branch. Slices have about half of ``min_rows`` rows."""
+    hot = hot_keys(txn.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")), "n", min_rows, max_hot)
+    rows = hot.agg(F.sum("n")).first()[0]
+    return HotAccounts(hot.select(key), 2 * -(-rows // min_rows)) if rows else HotAccounts(None)
 
-    At most ``max_hot`` rows, so they are fetched once and reused by every branch
-    instead of counting the ledger again in each of them.
-    """
-    us = micros(ts)
-    spans = txn.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(us).alias("_t0"), F.max(us).alias("_t1"))
-    slices = F.ceil(F.lit(8.0) * F.col("n") / F.lit(min_rows)).cast("bigint")
-    hot = hot_keys(spans, "n", min_rows, max_hot)
-    table = hot.select(key, "_t0", (F.col("_t1") - F.col("_t0") + 1).alias("_span"), slices.alias("_slices"))
-    rows = table.collect()
-    return HotAccounts(txn.sparkSession.createDataFrame(rows, table.schema) if rows else None)
 
+def split_hot(txn: DataFrame, key: str, order: Sequence[str], hot: HotAccounts) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of ordinary accounts, rows of hot accounts with a ``_slice`` number or None).
 
-def split_hot(txn: DataFrame, key: str, ts: str, hot: HotAccounts) -> tuple[DataFrame, DataFrame | None]:
-    """(rows of ordinary accounts, rows of hot accounts with a ``_slice`` number or None)."""
+    Slices are range partitions of (account, order), numbered upwards. They are written, because several
+    windows must see the same numbers.
+    """
     if hot.table is None:
         return txn, None
-    cold = txn.join(F.broadcast(hot.table.select(key)), key, "left_anti")
-    sliced = (
-        txn.join(F.broadcast(hot.table), key)
-        .withColumn("_slice", F.floor((micros(ts) - F.col("_t0")) / F.col("_span") * F.col("_slices")).cast("bigint"))
-        .drop("_t0", "_span", "_slices")
-    )
-    return cold, sliced
+    cold = txn.join(F.broadcast(hot.table), key, "left_anti")
+    ranged = txn.join(F.broadcast(hot.table), key, "left_semi").repartitionByRange(hot.slices, key, *order)
+    return cold, cut_lineage(ranged.withColumn("_slice", F.spark_partition_id().cast("bigint")))
 
 
 def with_neighbours(
@@ -141,7 +135,7 @@ def with_neighbours(
     def window(*keys):
         return Window.partitionBy(*keys).orderBy(*order)
 
-    cold, sliced = split_hot(txn, key, order[0], hot or hot_accounts(txn, key, order[0], min_rows, max_hot))
+    cold, sliced = split_hot(txn, key, order, hot or hot_accounts(txn, key, order[0], min_rows, max_hot))
     result = cold.withColumns(shifted(window(key)))
     if sliced is None:
         return result
@@ -193,7 +187,7 @@ def next_match(
     def window(*keys):
         return Window.partitionBy(*keys).orderBy(*descending).rowsBetween(Window.unboundedPreceding, -1)
 
-    cold, sliced = split_hot(txn, key, order[0], hot or hot_accounts(txn, key, order[0], min_rows, max_hot))
+    cold, sliced = split_hot(txn, key, order, hot or hot_accounts(txn, key, order[0], min_rows, max_hot))
     result = cold.withColumn(name, F.last(hit, ignorenulls=True).over(window(key)))
     if sliced is None:
         return result

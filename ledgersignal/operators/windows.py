@@ -107,7 +107,7 @@ def rolling_z(daily: DataFrame, lookback: int, name: str = "z", value: str = "v"
     running = daily.withColumns(
         {
             "_s": F.coalesce(F.sum(value).over(so_far), F.lit(0)),
-            "_q": F.coalesce(F.sum((wide * wide).cast("decimal(28,0)")).over(so_far), F.lit(0)).cast("decimal(38,0)"),
+            "_q": F.coalesce(F.sum((wide * wide).cast("decimal(38,0)")).over(so_far), F.lit(0)).cast("decimal(38,0)"),
         }
     )
     older = running.withColumns({"_s0": F.lag("_s", lookback).over(_by_day()), "_q0": F.lag("_q", lookback).over(_by_day())})

@@ -31,7 +31,7 @@ def _(spark, sf):
     return txn.groupBy(A).agg(F.count("*").alias("n"), (F.sum(S.cents(F.abs("amount"))) / 100).alias("volume"))
 
 
-@query("sample_accounts", i="account_id n")
+@query("sample_accounts", i="account_id n", sql=W("SELECT account_id, count(*) AS n FROM ledger WHERE " + O.bucket("account_id", "sample", 4) + " < 1 GROUP BY account_id", O.LEDGER))
 def _(spark, sf):
     return RD.sample_accounts(ledger(spark, sf), 1, 4).groupBy(A).agg(F.count("*").alias("n"))
 
@@ -427,19 +427,24 @@ def _(spark, sf):
 @query("tail_sequence", i="account_id position length dir chan_idx mcc_idx", d="log_amt time_delta", sql=W(f"""
   , vocab AS (SELECT channel, row_number() OVER (ORDER BY channel) + 1 AS idx FROM (SELECT DISTINCT channel FROM ledger)),
   r AS (SELECT *, coalesce((epoch_us(ts) - lag(epoch_us(ts)) OVER seq) / 3.6e9, 0) AS time_delta, row_number() OVER (PARTITION BY account_id ORDER BY ts DESC, k1 DESC) AS rn FROM ledger {O.SEQ}),
-  t AS (SELECT *, count(*) OVER (PARTITION BY account_id) AS length FROM r WHERE rn <= 50)
+  t AS (SELECT *, count(*) OVER (PARTITION BY account_id) AS length FROM r WHERE rn <= 200)
   SELECT account_id, length - rn + 1 AS position, length, CASE WHEN txn_type = 'C' THEN 1 ELSE -1 END AS dir, idx AS chan_idx, idx AS mcc_idx, ln(1 + a) AS log_amt, time_delta FROM t JOIN vocab USING (channel)""", O.EVENTS))
 def _(spark, sf):
     txn = AD.event_ledger(spark, sf)
-    return SQ.tail_rows(txn, 50, SQ.build_vocab(txn, "mcc_code"), SQ.build_vocab(txn, "channel"))
+    return SQ.tail_rows(txn, 200, SQ.build_vocab(txn, "mcc_code"), SQ.build_vocab(txn, "channel"))
 
 
-@query("tail_tensor", i="account_id length n_steps padded", sql=W("""
-  SELECT account_id, least(count(*), 50) AS length, 50 AS n_steps, 50 - least(count(*), 50) AS padded FROM ledger GROUP BY account_id""", O.EVENTS))
+@query("tail_tensor", i="account_id length step dir chan_idx mcc_idx", d="log_amt time_delta", sql=W(f"""
+  , vocab AS (SELECT channel, row_number() OVER (ORDER BY channel) + 1 AS idx FROM (SELECT DISTINCT channel FROM ledger)),
+  r AS (SELECT *, coalesce((epoch_us(ts) - lag(epoch_us(ts)) OVER seq) / 3.6e9, 0) AS time_delta, row_number() OVER (PARTITION BY account_id ORDER BY ts DESC, k1 DESC) AS rn FROM ledger {O.SEQ}),
+  t AS (SELECT account_id, 201 - rn AS step, CASE WHEN txn_type = 'C' THEN 1 ELSE -1 END AS dir, idx, ln(1 + a) AS log_amt, time_delta FROM r JOIN vocab USING (channel) WHERE rn <= 200),
+  per AS (SELECT account_id, least(count(*), 200) AS length FROM ledger GROUP BY account_id)
+  SELECT account_id, length, s.step, coalesce(dir, 0) AS dir, coalesce(idx, 0) AS chan_idx, coalesce(idx, 0) AS mcc_idx, coalesce(log_amt, 0) AS log_amt, coalesce(time_delta, 0) AS time_delta
+  FROM per CROSS JOIN (SELECT unnest(range(1, 201)) AS step) s LEFT JOIN t USING (account_id, step)""", O.EVENTS))
 def _(spark, sf):
     txn = AD.event_ledger(spark, sf)
-    tensor = SQ.tail_sequence(SQ.tail_rows(txn, 50, SQ.build_vocab(txn, "mcc_code"), SQ.build_vocab(txn, "channel")), 50)
-    return tensor.select(A, "length", F.size("steps").alias("n_steps"), F.size(F.filter("steps", lambda s: s["dir"] == 0)).alias("padded"))
+    tensor = SQ.tail_sequence(SQ.tail_rows(txn, 200, SQ.build_vocab(txn, "mcc_code"), SQ.build_vocab(txn, "channel")), 200)
+    return tensor.select(A, "length", F.posexplode("steps").alias("pos", "s")).select(A, "length", (F.col("pos") + 1).alias("step"), "s.*")
 
 
 @query("rank_pct", i="account_id", d="amt_std_rank gap_cv_rank degree_centrality_rank", sql=W("""

@@ -114,9 +114,9 @@ def _(spark, sf):
     return RE.score_histogram(AD.scores(spark, sf))
 
 
-@query("lookup", i="account_id", d="score", s="suspicious_start suspicious_end", sql=W("SELECT * FROM sub WHERE account_id = 7", SUBMISSION))
+@query("lookup", i="account_id", d="score", s="suspicious_start suspicious_end", sql=W("SELECT * FROM sub WHERE account_id = 5", SUBMISSION))
 def _(spark, sf):
-    return RE.lookup(submission(spark, sf), 7)
+    return RE.lookup(submission(spark, sf), 5)
 
 
 # ---- score arithmetic ----------------------------------------------------------------------

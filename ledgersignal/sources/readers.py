@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgersignal.functions.scalars import iso_window_from_day_no
+from ledgersignal.sources.adapters import hash_bucket
 
 DIM_FILES = {
     "customers": "customers.parquet",
@@ -53,6 +54,7 @@ DIM_SCHEMAS = {
     "demographics": "customer_id string, joint_account_flag string, nri_flag string, gender string, phone_number string, address string, "
     "address_last_update_date string, passbook_last_update_date string",
     "accounts_additional": "account_id string, scheme_code string",
+    "products": "product_code string, product_name string, product_type string",
     "branch": "branch_code string, branch_type string, branch_employee_count string, branch_turnover string, branch_asset_size string",
 }
 
@@ -90,24 +92,20 @@ def standard_ledger(raw: DataFrame, formats: Sequence[str] = ()) -> DataFrame:
     return raw.withColumn("ts", ts).withColumnRenamed("transaction_id", "txn_id").drop("transaction_timestamp")
 
 
-def scan_for_accounts(txn: DataFrame, ids: DataFrame | Sequence, key: str = "account_id", literal_limit: int = 1000) -> DataFrame:
+def scan_for_accounts(txn: DataFrame, ids: DataFrame | Sequence, key: str = "account_id") -> DataFrame:
     """Restrict a ledger to some accounts.
 
-    A short literal list is pushed to the parquet reader. A table of ids becomes a semi-join that
-    AQE turns into a broadcast only when its measured size allows it.
+    A table of ids becomes a semi-join that AQE turns into a broadcast only when its measured size allows
+    it. A list of literals is the caller's choice to push the ids to the parquet reader, at any length.
     """
     if isinstance(ids, DataFrame):
         return txn.join(ids.select(key).distinct(), key, "left_semi")
-    ids = list(ids)
-    if len(ids) <= literal_limit:
-        return txn.filter(F.col(key).isin(ids))
-    table = txn.sparkSession.createDataFrame([(i,) for i in ids], [key])
-    return txn.join(table.distinct(), key, "left_semi")
+    return txn.filter(F.col(key).isin(list(ids)))
 
 
-def sample_accounts(txn: DataFrame, keep: int, out_of: int, key: str = "account_id") -> DataFrame:
-    """Deterministic sample of whole accounts, so that no account sequence is cut."""
-    return txn.filter(F.pmod(F.xxhash64(key), F.lit(out_of)) < keep)
+def sample_accounts(txn: DataFrame, keep: int, out_of: int, key: str = "account_id", salt: str = "sample") -> DataFrame:
+    """Deterministic sample of whole accounts, so that no account sequence is cut. Every engine draws the same."""
+    return txn.filter(hash_bucket(key, salt, out_of) < keep)
 
 
 def parse_dates(df: DataFrame, columns: Sequence[str], fmt: str | None = None) -> DataFrame:

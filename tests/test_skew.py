@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgersignal.operators import account as AC
+from ledgersignal.operators import encode as EN
 from ledgersignal.operators import network as NW
 from ledgersignal.operators import ranking as RK
 from ledgersignal.operators import sequence as SQ
@@ -28,7 +30,7 @@ def txn(spark):
     return t.withColumn("account_id", F.when(F.col("txn_id") % 3 == 0, 0).otherwise(F.col("account_id"))).cache()
 
 
-@pytest.mark.parametrize("op", [SQ.gaps, SQ.trigrams, lambda t, **k: SQ.dwell_pairs(t, 20, **k), lambda t, **k: SQ.dwell_state_pairs(t, 20, **k), SQ.passthrough_pairs, lambda t, **k: SQ.tail_rows(t, 30, **k)])
+@pytest.mark.parametrize("op", [SQ.gaps, SQ.trigrams, lambda t, **k: SQ.dwell_pairs(t, 20, **k), lambda t, **k: SQ.dwell_state_pairs(t, 20, **k), SQ.passthrough_pairs])
 def test_ordered_operators(txn, op):
     assert rows(op(txn, **HOT)) == rows(op(txn))
 
@@ -38,6 +40,14 @@ def test_hot_account_is_found(txn):
     assert [r[0] for r in hot.table.collect()] == [0]
 
 
+def test_tail_needs_no_hot_handling(txn):
+    tail = rows(SQ.tail_rows(txn, 30))
+    lagged = txn.withColumn("prev", F.lag("ts").over(Window.partitionBy("account_id").orderBy("ts", "txn_id")))
+    hours = {r.txn_id: round((r.ts - r.prev).total_seconds() / 3600, 6) if r.prev else 0.0 for r in lagged.collect()}
+    names = sorted(SQ.tail_rows(txn, 30).columns)
+    assert all(abs(r[names.index("time_delta")] - hours[r[names.index("txn_id")]]) < 1e-5 for r in tail)
+
+
 def test_hot_list_is_bounded(txn):
     counts = txn.groupBy("account_id").agg(F.count("*").alias("n"))
     assert skew.hot_keys(counts, min_rows=0, max_hot=5).count() == 5
@@ -49,12 +59,68 @@ def test_balance_dynamics(spark):
 
 
 @pytest.mark.parametrize("how", ["left", "inner"])
-def test_lookup(spark, how):
-    left = spark.createDataFrame([(k, i) for i, k in enumerate(["a"] * 20 + ["b", "c", None, "z"])], "k string, i int")
-    right = spark.createDataFrame([("a", 20, 1.0), ("b", 1, 2.0), ("c", 1, 3.0)], "k string, n bigint, v double")
-    plain = left.join(right.drop("n"), "k", how)
+@pytest.mark.parametrize("min_rows", [1, 5, 10**9])
+def test_lookup(spark, how, min_rows):
+    """Hot keys that the table has, hot and rare keys that it lacks, and rows without a key."""
+    keys = ["a"] * 20 + ["gone"] * 20 + [None] * 20 + ["b", "c", "z"]
+    left = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k string, i int")
+    right = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", 3.0)], "k string, v double")
+    counts = left.filter("k is not null").groupBy("k").agg(F.count("*").alias("n"))
     key = lambda r: tuple(str(x) for x in r)
-    assert sorted(skew.lookup_by_key(left, right, "k", how=how, min_rows=5).collect(), key=key) == sorted(plain.collect(), key=key)
+    got = skew.lookup_by_key(left, right, "k", how=how, counts=counts, min_rows=min_rows)
+    assert sorted(got.collect(), key=key) == sorted(left.join(right, "k", how).collect(), key=key)
+
+
+@pytest.mark.parametrize(
+    "op",
+    [
+        lambda t, **k: EN.target_encode(t.filter("txn_id % 4 > 0 and account_id > 0"), t, "account_id", "y", **k),
+        lambda t, **k: EN.target_encode_oof(t.filter("account_id > 0"), t.filter("account_id = 0"), "account_id", "y", "fold", **k),
+        lambda t, **k: EN.target_encode_expanding(t, "account_id", "y", "fold", 3, **k),
+        lambda t, **k: AC.share_counts(t, {"same": ["account_id"]}, "txn_id", **k),
+        lambda t, **k: AC.mcc_anomaly(t, AC.mcc_global_stats(t.filter("channel <> 'view'")), **k),
+        lambda t, **k: AC.branch_profile(
+            t.select(F.col("txn_id").alias("account_id"), F.col("account_id").cast("string").alias("branch_code")),
+            t.filter("account_id % 5 > 0").select(F.col("account_id").cast("string").alias("branch_code"), F.lit("urban").alias("branch_type"), *[F.lit("1").alias(c) for c in ("branch_employee_count", "branch_turnover", "branch_asset_size")]).distinct(),
+            **k,
+        ),
+    ],
+)
+def test_operators_that_look_up_hot_keys(txn, op):
+    """The third of the rows that one key holds stays, also where the table lacks the key."""
+    table = txn.withColumns({"y": (F.col("txn_id") % 3 == 1).cast("int"), "fold": (F.col("txn_id") % 4).cast("int")})
+    key = lambda r: tuple(map(str, r))
+    assert sorted(rows_(op(table, min_rows=8)), key=key) == sorted(rows_(op(table)), key=key)
+
+
+def rows_(df):
+    return [tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in df.select(*sorted(df.columns)).collect()]
+
+
+def bursts(spark):
+    """One early row and then a burst; and many rows in one instant."""
+    early = [(0, 0, "2020-01-01 00:00:00", 1.0)]
+    burst = [(0, i, f"2024-06-01 10:{i // 60 % 60:02d}:{i % 60:02d}", float(i % 7) - 3) for i in range(1, 1500)]
+    instant = [(1, 10_000 + i, "2024-06-01 12:00:00", float(i % 5) - 2) for i in range(1500)]
+    few = [(2 + i % 9, 20_000 + i, f"2024-05-{1 + i % 28:02d} 08:00:00", float(i % 3) - 1) for i in range(90)]
+    df = spark.createDataFrame(early + burst + instant + few, "account_id int, txn_id int, ts string, amount double")
+    kind = F.when(F.col("amount") < 0, "D").otherwise("C")
+    return df.withColumns({"ts": F.col("ts").cast("timestamp_ntz"), "txn_type": kind, "channel": F.lit("x"), "mcc_code": F.lit("m")})
+
+
+@pytest.mark.parametrize("op", [SQ.gaps, SQ.trigrams, lambda t, **k: SQ.dwell_pairs(t, 2, **k), lambda t, **k: SQ.dwell_state_pairs(t, 2, **k), SQ.passthrough_pairs])
+def test_bursts_and_instants(spark, op):
+    t = bursts(spark)
+    assert rows(op(t, min_rows=100)) == rows(op(t))
+
+
+def test_slices_hold_equally_many_rows(spark):
+    t = bursts(spark)
+    hot = skew.hot_accounts(t, min_rows=100)
+    cold, sliced = skew.split_hot(t, "account_id", ("ts", "txn_id"), hot)
+    sizes = [r["count"] for r in sliced.groupBy("account_id", "_slice").count().collect()]
+    assert sorted(r[0] for r in hot.table.collect()) == [0, 1] and cold.count() == 90 and sum(sizes) == 3000
+    assert max(sizes) <= 200
 
 
 def test_lookup_with_many_rows_per_key(spark):
