@@ -68,10 +68,10 @@ def red_herring_columns(train: DataFrame, features: Sequence[str], limit: float
 def oof_scores(data: DataFrame, make: Callable[[], Estimator], k: int, name: str = "oof", parallel: int = 3, test: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
     """Score every row with the model of the other folds; test rows get the mean of all models.
 
-    ``data`` and ``test`` are ``vectorised``. The vector table is cached once; folds are independent
+    ``data`` and ``test`` are ``vectorised``. The vector table is written once; folds are independent
     jobs started from a few driver threads that hold no data.
     """
-    data = data.cache()
+    data = cut_lineage(data)
 
     def one(i: int) -> PipelineModel:
         return pipeline(make()).fit(data.filter(F.col("fold") != i))
@@ -89,9 +89,7 @@ def oof_scores(data: DataFrame, make: Callable[[], Estimator], k: int, name: str
             p = m.transform(held).withColumn(f"_p{i}", vector_to_array("probability")[1])
             held = p.drop("probability", "rawPrediction", "prediction", "scaled")
         held = held.select(A, (total_of([F.col(f"_p{i}") for i in range(k)]) / k).alias(name))
-    out = cut_lineage(oof)
-    data.unpersist()
-    return out, held
+    return cut_lineage(oof), held
 
 
 def screen_red_herrings(df: DataFrame, oof: str = "oof", y: str = "is_mule", low: float = 0.02, moderate: float | None = None, n_signals: str | None = None) -> DataFrame:

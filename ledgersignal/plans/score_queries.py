@@ -11,11 +11,12 @@ from ledgersignal.operators import scoring as SC
 from ledgersignal.operators import windows as WI
 from ledgersignal.operators import encode as EN
 from ledgersignal.plans import oracle_parts as O
-from ledgersignal.plans.bank_features import score_and_locate
-from ledgersignal.plans.feature_table import features, signal_table, stored_features
+from ledgersignal.plans.bank_features import numeric_features, score_and_locate
+from ledgersignal.plans.feature_table import signal_table, stored_features
 from ledgersignal.plans.ledger_queries import DAILY_L
 from ledgersignal.plans.registry import query
 from ledgersignal.plans.window_queries import cdf, qday, totals
+from ledgersignal.session import cut_lineage
 from ledgersignal.sources import adapters as AD
 
 A = "account_id"
@@ -180,19 +181,19 @@ def _(spark, sf):
 
 # ---- Spark ML: no SQL twin -----------------------------------------------------------------
 
-MODEL_GROUPS = ("core", "flow", "behaviour", "distinct", "gaps", "flags", "encode")
-MODEL_FEATURES = ["txn_count", "total_volume", "amt_std", "credit_volume", "debit_volume", "near_threshold_pct", "degree_centrality", "gap_cv", "has_prior_freeze", "branch_mule_rate_oof"]
+FOLDS = 5
 
 
 def model_table(spark, sf):
-    return EN.stratified_folds(stored_features(spark, sf, MODEL_GROUPS), 3, 7)
+    """All feature groups with folds; models use every numeric feature column."""
+    return EN.stratified_folds(stored_features(spark, sf), FOLDS, 7)
 
 
 def _oof(name, kind):
     @query(name, i="account_id", d="oof")
     def _(spark, sf):
-        make = SC.estimators(trees=10, depth=4)[kind]
-        return SC.oof_scores(SC.vectorised(model_table(spark, sf), MODEL_FEATURES), make, 3)[0]
+        table = model_table(spark, sf)
+        return SC.oof_scores(SC.vectorised(table, numeric_features(table)), SC.estimators()[kind], FOLDS)[0]
 
 
 _oof("oof_gbt", "gbt")
@@ -200,16 +201,16 @@ _oof("oof_forest", "forest")
 _oof("oof_linear", "linear")
 
 
-@query("red_herring_columns", s="feature")
+@query("red_herring_columns", s="feature", sql="SELECT 'leak' AS feature")
 def _(spark, sf):
-    table = stored_features(spark, sf, MODEL_GROUPS).withColumn("leak", F.col("is_mule") * 1.0)
-    found = SC.red_herring_columns(table, [*MODEL_FEATURES, "leak"])
+    table = stored_features(spark, sf).withColumn("leak", F.col("is_mule") * 1.0)
+    found = SC.red_herring_columns(table, numeric_features(table))
     return spark.createDataFrame([(f,) for f in found], "feature string")
 
 
 @query("stacked_scores", i="account_id", d="stacked")
 def _(spark, sf):
-    return SC.stack(EN.stratified_folds(three_scores(spark, sf), 3), ["m1", "m2", "m3"], 3)
+    return SC.stack(EN.stratified_folds(three_scores(spark, sf), FOLDS), ["m1", "m2", "m3"], FOLDS)
 
 
 @query("calibrated_scores", i="account_id", d="calibrated")
@@ -220,41 +221,45 @@ def _(spark, sf):
 @query("two_stage_funnel", i="account_id is_mule", d="funnel_score")
 def _(spark, sf):
     table = model_table(spark, sf).join(AD.scores(spark, sf).select(A, "score"), A)
-    return SC.two_stage_funnel(table, "score", MODEL_FEATURES, SC.estimators(trees=10)["forest"], 0.15)
+    return SC.two_stage_funnel(table, "score", [c for c in numeric_features(table) if c != "score"], SC.estimators()["forest"], 0.15, FOLDS)
 
 
 @query("learned_dampen", i="account_id", d="dampened")
 def _(spark, sf):
     table = signal_table(spark, sf).join(three_scores(spark, sf).select(A, "m1", F.col("m1").alias("oof")), A)
     names = ["multi_signal_count", "signal_consistency", "signal_variance", "near_threshold_pct"]
-    return SC.learned_dampen(table, names, "m1", 0.5, SC.estimators(trees=10)["forest"])
+    return SC.learned_dampen(table, names, "m1", 0.5, SC.estimators()["forest"])
 
 
 @query("feature_importance", d="importance", s="feature")
 def _(spark, sf):
-    data = SC.vectorised(model_table(spark, sf), MODEL_FEATURES)
-    return SC.feature_importance(SC.pipeline(SC.estimators(trees=10)["forest"]()).fit(data), MODEL_FEATURES, spark)
+    table = model_table(spark, sf)
+    names = numeric_features(table)
+    return SC.feature_importance(SC.pipeline(SC.estimators()["forest"]()).fit(SC.vectorised(table, names)), names, spark)
 
 
 @query("retrain_if_better", i="account_id", d="score")
 def _(spark, sf):
-    return SC.retrain_if_better(model_table(spark, sf), MODEL_FEATURES[:6], MODEL_FEATURES[6:], SC.estimators(trees=5)["forest"], 3)[0]
+    table = model_table(spark, sf)
+    base = ["txn_count", "total_volume", "amt_std", "credit_volume", "debit_volume", "near_threshold_pct"]
+    return SC.retrain_if_better(table, base, [c for c in numeric_features(table) if c not in base], SC.estimators()["forest"], FOLDS)[0]
 
 
 @query("tuned_scores", i="account_id", d="score")
 def _(spark, sf):
-    data = SC.vectorised(features(spark, sf, ("core", "behaviour", "flags")), ["txn_count", "total_volume", "amt_std", "near_threshold_pct", "has_prior_freeze"]).cache()
-    model = SC.tune(data, SC.estimators(trees=5)["forest"](), {"maxDepth": [3, 5], "numTrees": [5, 10]})
+    table = model_table(spark, sf)
+    data = cut_lineage(SC.vectorised(table, numeric_features(table)))
+    model = SC.tune(data, SC.estimators()["forest"](), {"maxDepth": [3, 5, 8], "numTrees": [20, 40]})
     return SC.probability(model.transform(data), "score")
 
 
 @query("seed_average", i="account_id", d="score")
 def _(spark, sf):
-    data = SC.vectorised(model_table(spark, sf), MODEL_FEATURES)
-    return SC.seed_average(data, [SC.estimators(seed=s, trees=5)["forest"] for s in (42, 99, 123)], 3)
+    table = model_table(spark, sf)
+    return SC.seed_average(SC.vectorised(table, numeric_features(table)), [SC.estimators(seed=s)["forest"] for s in (42, 99, 123)], FOLDS)
 
 
 @query("score_and_locate", i="account_id", d="score", s="suspicious_start suspicious_end")
 def _(spark, sf):
     table = model_table(spark, sf).withColumn("is_mule", F.when(~F.col("is_test"), F.col("is_mule")))
-    return score_and_locate(table, AD.lineitem_ledger(spark, sf), SC.estimators(trees=10)["forest"], MODEL_FEATURES, 3, scales=(365, 720, 1440))
+    return score_and_locate(table, AD.lineitem_ledger(spark, sf), SC.estimators()["forest"], numeric_features(table), FOLDS, scales=(365, 720, 1440))
