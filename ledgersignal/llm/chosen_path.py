@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -22,15 +23,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgersignal.llm.common import text_key, walk_groups, whole_text
+from ledgersignal.llm.common import Rows, stored, text_key, walk_groups, whole_text
 from ledgersignal.operators.network import connected_components
 from ledgersignal.session import cut_lineage
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.9999
-RATE, DEPTH, LIMIT = 2.0, 3, 200
+RATE, DEPTH, LIMIT = 1.5, 2, 200
 #: Blocks of a node have at most so many sets, and texts of about so many characters.
 BLOCK_SETS, BLOCK_CHARS = 2_000, 12_000_000
-BINS = 256
+BINS = 128
 NO_ID = 2**63 - 1
 WORDS_KEPT = 300_000
 
@@ -90,15 +91,38 @@ def chosen(tokens: np.ndarray, paths: np.ndarray, rate: float) -> tuple[np.ndarr
 
 def sketch(tokens: np.ndarray) -> bytes:
     """One byte of the smallest token in each of the bins; 0 where a bin has none."""
-    bins = (tokens >> np.uint64(56)).astype(np.int64)
+    bins = (tokens >> np.uint64(57)).astype(np.int64)
     first = np.concatenate([[True], bins[1:] != bins[:-1]])
     out = np.zeros(BINS, np.uint8)
     out[bins[first]] = ((tokens[first] >> np.uint64(16)) % np.uint64(255) + np.uint64(1)).astype(np.uint8)
     return out.tobytes()
 
 
+def _path_type(depth: int) -> str:
+    return "struct<node: long>" if depth == 1 else f"struct<node: long, kids: array<{_path_type(depth - 1)}>>"
+
+
+def _tree(tokens: np.ndarray, roots: np.ndarray, rate: float, depth: int) -> list[dict]:
+    """The nodes that a set goes to, each with those below it."""
+    levels, paths = [], roots
+    for _ in range(depth):
+        parent, new = chosen(tokens, paths, rate) if len(paths) else (np.empty(0, np.int64), np.empty(0, np.uint64))
+        levels.append((parent.tolist(), new.astype(np.int64).tolist()))
+        paths = new
+    below: list[list[dict]] = [[] for _ in levels[-1][1]]
+    for level in range(depth - 1, -1, -1):
+        parents, nodes_ = levels[level]
+        above: list[list[dict]] = [[] for _ in (levels[level - 1][1] if level else [0])]
+        for at, node, kids in zip(parents, nodes_, below, strict=True):
+            above[at if level else 0].append({"node": node} if level == depth - 1 else {"node": node, "kids": kids})
+        below = above
+    return below[0]
+
+
 def set_table(docs: DataFrame, words: int, rate: float, runs: int) -> DataFrame:
-    """One row per distinct text with words: key, lowest id, number of copies, sketch and paths of each level."""
+    """One row per distinct text with words: key, lowest id, number of copies, sketch and the tree of its nodes."""
+
+    names = ["key", "doc", "chars", "sketch", "tree"]
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = Shingler(words)
@@ -107,43 +131,33 @@ def set_table(docs: DataFrame, words: int, rate: float, runs: int) -> DataFrame:
             rows = []
             for key, doc, text in zip(batch["key"], batch["doc"], batch["text"], strict=True):
                 tokens = shingles(text)
-                if not len(tokens):
-                    continue
-                levels, paths = [], roots
-                for level in range(DEPTH):
-                    parent, new = chosen(tokens, paths, rate) if len(paths) else (np.empty(0, np.int64), np.empty(0, np.uint64))
-                    pairs = zip(paths[parent].astype(np.int64).tolist(), new.astype(np.int64).tolist(), strict=True)
-                    levels.append([{"parent": p if level else 0, "node": n} for p, n in pairs])
-                    paths = new
-                rows.append((key, doc, len(text), len(tokens), sketch(tokens), *levels))
-            yield pd.DataFrame(rows, columns=["key", "doc", "chars", "size", "sketch", "level1", "level2", "level3"])
-
-    paths = ", ".join(f"level{i + 1} array<struct<parent: long, node: long>>" for i in range(DEPTH))
+                if len(tokens):
+                    rows.append((key, doc, len(text), sketch(tokens), _tree(tokens, roots, rate, DEPTH)))
+                if len(rows) == 1000:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+            yield pd.DataFrame(rows, columns=names)
+
     keyed = docs.select(text_key(whole_text()).alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), whole_text().alias("text"))
-    found = keyed.mapInPandas(describe, f"key binary, doc long, chars int, size int, sketch binary, {paths}")
-    kept = [F.any_value(c).alias(c) for c in ("chars", "size", "sketch", *(f"level{i + 1}" for i in range(DEPTH)))]
+    found = keyed.mapInPandas(describe, f"key binary, doc long, chars int, sketch binary, tree array<{_path_type(DEPTH)}>")
+    kept = [F.any_value(c).alias(c) for c in ("chars", "sketch", "tree")]
     return found.groupBy("key").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("copies"), *kept)
 
 
 def nodes(sets: DataFrame, limit: int) -> DataFrame:
-    """(node, n, chars, key) for the nodes that are compared: small ones of every level, all of the last."""
-    done, hot = [], None
+    """(node, n, node_chars, key) for the nodes that are compared: small ones of every level, all of the last."""
+    done = []
+    paths = sets.select("key", "chars", F.explode("tree").alias("_p")).select("key", "chars", "_p.*")
     for level in range(1, DEPTH + 1):
-        paths = sets.select("key", "chars", F.explode(f"level{level}").alias("_p")).select("key", "chars", "_p.parent", "_p.node")
-        if hot is not None:
-            paths = paths.join(hot.withColumnRenamed("node", "parent"), "parent", "left_semi")
-        counts = cut_lineage(paths.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("node_chars")).filter("n > 1"))
+        counts = paths.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("node_chars")).filter("n > 1")
+        met = stored(paths.join(stored(counts), "node"))
         last = level == DEPTH
-        done.append(paths.join(counts if last else counts.filter(F.col("n") <= limit), "node").select("node", "n", "node_chars", "key"))
-        if last:
+        done.append((met if last else met.filter(F.col("n") <= limit)).select("node", "n", "node_chars", "key"))
+        large = met.filter(F.col("n") > limit)
+        if last or large.isEmpty():
             break
-        hot = counts.filter(F.col("n") > limit).select("node")
-        if hot.isEmpty():
-            break
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out
+        paths = large.select("key", "chars", F.explode("kids").alias("_p")).select("key", "chars", "_p.*")
+    return reduce(DataFrame.unionByName, done)
 
 
 def _in_blocks(members: DataFrame, block_sets: int, block_chars: int) -> DataFrame:
@@ -176,29 +190,34 @@ def _shared(rows: list[np.ndarray], columns: int = 4096) -> np.ndarray:
     return out
 
 
-def _owned(node: int, own: np.ndarray, x: int, y: int, lists: list[np.ndarray]) -> np.ndarray:
+def _owned(rows: Rows) -> np.ndarray:
     """Pairs i < j of the two blocks that have no smaller node in common."""
-    n = len(lists)
+    node, own = rows["node"][0], rows["own"]
+    n = len(own)
+    smaller = [a[a < node] for a in rows["nodes"]]
+    if n == 2:
+        pair = (rows["x"][0] == rows["y"][0] or own[0] != own[1]) and not np.isin(smaller[0], smaller[1]).any()
+        return np.array([[False, pair], [False, False]])
     first = np.triu(np.ones((n, n), bool), 1)
-    if x != y:
+    if rows["x"][0] != rows["y"][0]:
         first &= own[:, None] != own[None, :]
-    smaller = [np.unique(a[a < node]) for a in lists]
+    smaller = [np.unique(a) for a in smaller]
     if sum(map(len, smaller)):
         first &= _shared(smaller) == 0
     return first
 
 
 def _candidates(threshold: float):
-    def near(rows: pd.DataFrame) -> pd.DataFrame | None:
-        if len(rows) < 2:
+    def near(rows: Rows) -> Rows | None:
+        n = len(rows["key"])
+        if n < 2:
             return None
-        lists = [np.asarray(a, np.int64) for a in rows["nodes"]]
-        owned = _owned(rows["node"].iat[0], rows["own"].to_numpy(), rows["x"].iat[0], rows["y"].iat[0], lists)
+        owned = _owned(rows)
         if not owned.any():
             return None
-        sketches = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(len(rows), BINS)
+        sketches = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(n, BINS)
         full = sketches > 0
-        hit = np.zeros(len(rows), bool)
+        hit = np.zeros(n, bool)
         for i in np.nonzero(owned.any(axis=1))[0]:
             j = np.nonzero(owned[i])[0]
             either = (full[j] | full[i]).sum(axis=1)
@@ -207,7 +226,7 @@ def _candidates(threshold: float):
             close = same / either >= threshold - slack
             hit[j[close]] = True
             hit[i] |= close.any()
-        return rows.loc[hit, ["node", "own", "x", "y", "key", "doc", "nodes"]] if hit.any() else None
+        return {c: rows[c][hit] for c in ("node", "own", "x", "y", "key", "doc", "nodes")} if hit.any() else None
 
     return near
 
@@ -215,12 +234,13 @@ def _candidates(threshold: float):
 def _links(threshold: float, words: int):
     shingles = Shingler(words)
 
-    def compare(rows: pd.DataFrame) -> pd.DataFrame | None:
-        rows = rows.drop_duplicates("key")  # a repeated row of the table brings its text again
-        if len(rows) < 2:
+    def compare(rows: Rows) -> Rows | None:
+        once = list({k: i for i, k in enumerate(rows["key"])}.values())  # a repeated row of the table brings its text again
+        rows = {c: v[once] for c, v in rows.items()}
+        n = len(once)
+        if n < 2:
             return None
-        lists = [np.asarray(a, np.int64) for a in rows["nodes"]]
-        owned = _owned(rows["node"].iat[0], rows["own"].to_numpy(), rows["x"].iat[0], rows["y"].iat[0], lists)
+        owned = _owned(rows)
         sets = [shingles(t) for t in rows["text"]]
         sizes = np.array([len(s) for s in sets], np.float64)
         both = _shared(sets).astype(np.float64)
@@ -228,12 +248,12 @@ def _links(threshold: float, words: int):
         count = linked.sum(axis=0) + linked.sum(axis=1)
         if not count.any():
             return None
-        root = np.arange(len(rows))  # the smallest member reached through links, for a forest of edges
+        root = np.arange(n)  # the smallest member reached through links, for a forest of edges
         linked |= linked.T
-        todo = set(range(len(rows)))
+        todo = set(range(n))
         while todo:
             seed = min(todo)
-            reached, edge = np.zeros(len(rows), bool), np.array([seed])
+            reached, edge = np.zeros(n, bool), np.array([seed])
             reached[seed] = True
             while len(edge):
                 new = linked[edge].any(axis=0) & ~reached
@@ -241,9 +261,9 @@ def _links(threshold: float, words: int):
                 edge = np.nonzero(new)[0]
             root[reached] = seed
             todo -= set(np.nonzero(reached)[0].tolist())
-        keys = rows["key"].to_numpy()
+        keys = rows["key"]
         kept = count > 0
-        return pd.DataFrame({"key": keys[kept], "root": keys[root[kept]], "links": count[kept]})
+        return {"key": keys[kept], "root": keys[root[kept]], "links": count[kept]}
 
     return compare
 
@@ -255,18 +275,18 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, words: int = SHI
     texts whose shingle sets have the threshold's Jaccard index with its own or more, ``root_doc`` and
     ``root_key`` the lowest (id, key) of the class that links connect.
     """
-    sets = cut_lineage(set_table(docs, words, rate, runs_needed(threshold, recall, rate)))
-    members = cut_lineage(nodes(sets, limit))
+    sets = stored(set_table(docs, words, rate, runs_needed(threshold, recall, rate)))
+    members = nodes(sets, limit)
     met = members.groupBy("key").agg(F.collect_list("node").alias("nodes"))  # bounded by runs and rate
     placed = _in_blocks(members.join(met, "key").join(sets.select("key", "doc", "sketch"), "key"), BLOCK_SETS, BLOCK_CHARS)
     group = ["node", "x", "y"]
     near = _candidates(threshold)
     kinds = "node long, own int, x int, y int, key binary, doc long, nodes array<long>"
     dealt = placed.repartition(*group).sortWithinPartitions(*group)
-    candidates = cut_lineage(dealt.mapInPandas(lambda it: walk_groups(it, group, near), kinds))
+    candidates = stored(dealt.mapInPandas(lambda it: walk_groups(it, group, near), kinds))
     texts = docs.select(text_key(whole_text()).alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), whole_text().alias("text"))
     dealt = candidates.join(texts, ["key", "doc"]).repartition(*group).sortWithinPartitions(*group)
-    found = cut_lineage(dealt.mapInPandas(lambda it: walk_groups(it, group, _links(threshold, words)), "key binary, root binary, links long"))
+    found = stored(dealt.mapInPandas(lambda it: walk_groups(it, group, _links(threshold, words)), "key binary, root binary, links long"))
     edges = found.filter(F.col("key") != F.col("root")).select(F.col("key").alias("src"), F.col("root").alias("dst"), F.lit(1).cast("long").alias("txn_count")).distinct()
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     linked = sets.select("key", "doc", "copies").join(links, "key", "left").fillna(0, ["links"])

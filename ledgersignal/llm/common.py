@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgersignal.session import ensure_checkpoint_dir
+
 #: Rows up to which a table of small rows (some hundred bytes at most) may be broadcast.
 BROADCAST_ROWS = 200_000
 
@@ -31,25 +35,43 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def walk_groups(batches: Iterator[pd.DataFrame], key: list[str], each: Callable[[pd.DataFrame], pd.DataFrame | None]) -> Iterator[pd.DataFrame]:
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a compressed table to the shared checkpoint folder and go on from there."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+Rows = dict[str, np.ndarray]
+
+
+def walk_groups(batches: Iterator[pd.DataFrame], key: list[str], each: Callable[[Rows], Rows | None]) -> Iterator[pd.DataFrame]:
     """Apply ``each`` to every run of rows with equal ``key``; rows must come sorted by it.
 
-    Many small groups share one batch of output, which per-group calls of Spark would not.
+    Groups are slices of column arrays. Many small groups share one batch of output, which per-group calls of
+    Spark would not.
     """
     rest: pd.DataFrame | None = None
+
+    def run(table: pd.DataFrame, last: bool) -> tuple[list[Rows], pd.DataFrame | None]:
+        columns = {c: table[c].to_numpy() for c in table.columns}
+        new = np.zeros(len(table), bool)
+        new[0] = True
+        for c in key:
+            new[1:] |= columns[c][1:] != columns[c][:-1]
+        starts = np.append(np.nonzero(new)[0], len(table))
+        ends = starts if last else starts[:-1]
+        found = [each({c: v[a:b] for c, v in columns.items()}) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        return [f for f in found if f is not None], None if last else table.iloc[starts[-2] :]
+
     for batch in batches:
-        if rest is not None:
-            batch = pd.concat([rest, batch], ignore_index=True)
-        if not len(batch):
+        table = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        if not len(table):
             continue
-        new = (batch[key] != batch[key].shift()).any(axis=1).to_numpy()
-        starts = new.nonzero()[0]
-        done = [each(batch.iloc[a:b]) for a, b in zip(starts[:-1], starts[1:], strict=True)]
-        rest = batch.iloc[starts[-1] :]
-        done = [x for x in done if x is not None and len(x)]
+        done, rest = run(table, False)
         if done:
-            yield pd.concat(done, ignore_index=True)
+            yield pd.DataFrame({c: np.concatenate([d[c] for d in done]) for c in done[0]})
     if rest is not None and len(rest):
-        last = each(rest)
-        if last is not None and len(last):
-            yield last
+        done, _ = run(rest, True)
+        if done:
+            yield pd.DataFrame({c: np.concatenate([d[c] for d in done]) for c in done[0]})
