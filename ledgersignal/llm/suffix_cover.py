@@ -12,7 +12,8 @@ distance, and takes about 2 rows for every GAP bytes.
 2. The others get longer names, over all bytes of the strings that have this sample as their first.
    Places with equal longer names repeat as a whole.
 3. Where a short name has several longer ones, the remaining suffixes, one for every byte before the sample,
-   are named by ``LENGTH`` bytes, once per longer name, and equal neighbours repeat.
+   are compared by their first ``LENGTH`` bytes, once per longer name. Up to ``GROUP`` longer names the bytes
+   themselves meet in one task; beyond, every suffix is named by 128 bits and equal names repeat.
 
 Names are 128-bit hashes (64 bits of the short and 64 of the long name); rows with equal names meet by
 Spark's shuffle.
@@ -22,17 +23,20 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgersignal.llm.common import whole_text
-from ledgersignal.session import cut_lineage
+from ledgersignal.llm.common import Rows, stored, walk_groups, whole_text
 
 LENGTH = 200
 GRAM = 51
+#: Long names of a short name that are compared in one task.
+GROUP = 400
+NO_ID = 2**63 - 1
 #: Bytes that are hashed at once; longer texts go in pieces that overlap by LENGTH - 1 bytes.
 PIECE = 1 << 20
 
@@ -146,7 +150,7 @@ def _buffers(rows: Iterator[tuple], piece: int, length: int) -> Iterator[tuple[l
 def _keys(docs: DataFrame) -> list[Column]:
     """Document number, a mark that tells texts with the same id apart, and the bytes of the text."""
     return [
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"),
         (F.crc32(whole_text().cast("binary")) - 2**31).cast("int").alias("mark"),
         whole_text().cast("binary").alias("data"),
     ]
@@ -198,6 +202,51 @@ def named_places(texts: DataFrame, length: int = LENGTH, piece: int = PIECE) ->
     return texts.mapInPandas(name, "a long, b long, doc long, mark int, place int, single boolean")
 
 
+def strips(texts: DataFrame, length: int = LENGTH) -> DataFrame:
+    """For texts with ``asked`` (short name, first place, further places, whether single): the bytes of the places."""
+
+    def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["short", "doc", "mark", "low", "single", "strip"]
+        for batch in batches:
+            rows, size = [], 0
+            for doc, mark, data, asked in zip(batch["doc"], batch["mark"], batch["data"], batch["asked"], strict=True):
+                for a in asked:
+                    strip = data[a["low"] : a["low"] + a["wide"] + length]
+                    rows.append((a["short"], doc, mark, a["low"], a["single"], strip))
+                    size += len(strip)
+                if size > 8_000_000:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, size = [], 0
+            yield pd.DataFrame(rows, columns=names)
+
+    return texts.mapInPandas(take, "short long, doc long, mark int, low int, single boolean, strip binary")
+
+
+def repeated_places(length: int):
+    def compare(rows: Rows) -> Rows | None:
+        """Runs of places of single strips whose strings another strip of the group has as well."""
+        seen: dict[bytes, int] = {}
+        for strip in rows["strip"]:
+            for i in range(len(strip) - length + 1):
+                part = strip[i : i + length]
+                seen[part] = seen.get(part, 0) + 1
+        out = []
+        for doc, mark, low, single, strip in zip(rows["doc"], rows["mark"], rows["low"], rows["single"], rows["strip"], strict=True):
+            if not single:
+                continue
+            start = None
+            for i in range(len(strip) - length + 2):
+                again = i <= len(strip) - length and seen[strip[i : i + length]] > 1
+                if again and start is None:
+                    start = i
+                elif not again and start is not None:
+                    out.append((doc, mark, low + start, i - 1 - start))
+                    start = None
+        return {c: np.array(v) for c, v in zip(("doc", "mark", "low", "wide"), zip(*out, strict=True), strict=True)} if out else None
+
+    return compare
+
+
 def merged_spans(low: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs of bytes covered by [low, end)."""
     order = np.argsort(low, kind="stable")
@@ -219,7 +268,7 @@ def cut(data: bytes, covers, length: int) -> tuple[int, int, int, str, bytes]:
     return len(data), int((ends - starts).sum()), len(starts), hashlib.sha256(rest).hexdigest(), rest
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_rest: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_rest: bool = False, group: int = GROUP) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the ``rest`` itself).
 
     Each byte covered by a string of ``length`` bytes that also starts elsewhere is removed, in every place,
@@ -228,25 +277,33 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
     enough, for equal rows get equal results. Other columns are not read; an empty table gives no rows.
 
     No name is gathered in one task: names are counted by partial sums, and the joins that lead back to the
-    texts have a shuffle on both sides, which Spark splits where one name has many rows.
+    texts have a shuffle on both sides, which Spark splits where one name has many rows. Texts are shuffled
+    once for all uses.
     """
     sampled = sample_table(docs, length, gram)
-    twice = cut_lineage(sampled.groupBy("short").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("short"))
-    shared = cut_lineage(sampled.join(twice, "short"))
-    long_names = shared.groupBy("short", "long", "wide").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("doc", "mark", "low")])
-    long_names = cut_lineage(long_names)
-    several = cut_lineage(long_names.groupBy("short").agg(F.count(F.lit(1)).alias("names")).filter("names > 1").select("short"))
-    whole = shared.join(cut_lineage(long_names.filter("n > 1").select("short", "long", "wide")), ["short", "long", "wide"]).select("doc", "mark", "low", "wide")
-
-    asked = long_names.join(several, "short").select("doc", "mark", F.struct("low", "wide", (F.col("n") == 1).alias("single")).alias("ask"))
-    asked = asked.groupBy("doc", "mark").agg(F.collect_list("ask").alias("asked"))  # at most one per sample of a text
-    # A repeated row names its places twice, but none of them is single: its long names have two rows each.
-    texts = docs.select("doc_id", *_keys(docs))
-    places = cut_lineage(named_places(texts.drop("doc_id").join(asked, ["doc", "mark"]), length))
-    again = cut_lineage(places.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a", "b"))
-    single = places.filter("single").join(again, ["a", "b"]).select("doc", "mark", F.col("place").alias("low"), F.lit(0).alias("wide"))
-
-    covers = whole.unionByName(single).groupBy("doc", "mark").agg(F.collect_set(F.struct("low", "wide")).alias("covers"))  # bounded by the text
+    twice = stored(sampled.groupBy("short").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("short"))
+    shared = stored(sampled.join(twice, "short"))
+    names = ["short", "long", "wide"]
+    long_names = stored(shared.groupBy(*names).agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("doc", "mark", "low")]))
+    several = stored(long_names.groupBy("short").agg(F.count(F.lit(1)).alias("names")).filter("names > 1"))
+    whole = shared.join(stored(long_names.filter("n > 1").select(*names)), names).select("doc", "mark", "low", "wide")
+
+    # A repeated row sends its places twice, but none of them is single: its long names have two rows each.
+    asked = long_names.join(several, "short").select("doc", "mark", "names", F.struct("short", "low", "wide", (F.col("n") == 1).alias("single")).alias("ask"))
+    texts = docs.select(*_keys(docs))
+
+    def with_asked(rows: DataFrame) -> DataFrame:
+        return texts.join(rows.groupBy("doc", "mark").agg(F.collect_list("ask").alias("asked")), ["doc", "mark"])  # at most one per sample of a text
+
+    together = strips(with_asked(asked.filter(F.col("names") <= group)), length).repartition("short").sortWithinPartitions("short")
+    compare = repeated_places(length)
+    parts = [whole, together.mapInPandas(lambda it: walk_groups(it, ["short"], compare), "doc long, mark int, low int, wide int")]
+    if not several.filter(F.col("names") > group).isEmpty():
+        places = stored(named_places(with_asked(asked.filter(F.col("names") > group)), length))
+        again = stored(places.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a", "b"))
+        parts.append(places.filter("single").join(again, ["a", "b"]).select("doc", "mark", F.col("place").alias("low"), F.lit(0).alias("wide")))
+    covered = reduce(DataFrame.unionByName, parts)
+    covers = covered.groupBy("doc", "mark").agg(F.collect_set(F.struct("low", "wide")).alias("covers"))  # bounded by the text
 
     def finish(data: pd.Series, covers: pd.Series) -> pd.DataFrame:
         rows = [cut(bytes(d), c, length) for d, c in zip(data, covers, strict=True)]
@@ -254,5 +311,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
 
     columns = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["rest"] if with_rest else [])]
     kinds = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", rest binary" if with_rest else "")
-    done = texts.join(covers, ["doc", "mark"], "left").select("doc_id", F.pandas_udf(finish, kinds)("data", "covers").alias("cut"))
-    return done.select("doc_id", "cut.*")
+    done = texts.join(covers, ["doc", "mark"], "left").select("doc", F.pandas_udf(finish, kinds)("data", "covers").alias("cut"))
+    doc_id = F.when(F.col("doc") != NO_ID, F.col("doc")).cast(docs.schema["doc_id"].dataType).alias("doc_id")
+    return done.select(doc_id, "cut.*")

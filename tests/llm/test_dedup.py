@@ -39,8 +39,9 @@ def test_bytes_shifted_and_cyclic(spark):
     texts += ["".join(rng.choice("ijkl") for _ in range(50)) + passage[300:505] + "q" * 30, "q" * 1000, "abc" * 120, "c" + "abc" * 70, passage[:200], passage[100:299]]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = cut_bytes([t.encode() for t in texts], 200)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_cover.remove_repeats(docs).collect()}
-    assert got == dict(enumerate(want))
+    for group in (suffix_cover.GROUP, 3, 0):  # compared by bytes, by names, or both
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_cover.remove_repeats(docs, group=group).collect()}
+        assert got == dict(enumerate(want))
 
 
 def test_bytes_in_pieces(spark, monkeypatch):
@@ -183,7 +184,7 @@ def test_one_of_each_class_stays(tricky):
 
 
 def test_runs_for_recall():
-    assert chosen_path.runs_needed(0.8, 0.999, 2.0, 3) == 6
+    assert chosen_path.runs_needed(0.8, 0.999, 2.0, 3) == 6 and chosen_path.runs_needed() == 11
     assert chosen_path.runs_needed(recall=0.9) < chosen_path.runs_needed(recall=0.9999)
     # Measured: of many pairs at the threshold, one set inside the other, all meet on some path of the last level.
     rng = np.random.default_rng(1)
