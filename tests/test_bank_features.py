@@ -43,6 +43,7 @@ def bank(spark, tmp_path_factory):
         "test_accounts": [(a,) for a in ACCOUNTS[45:]],
         "demographics": [(f"C{i}", "Y", "N", "M", f"P{i // 3}", None, None, None) for i in range(60)],
         "accounts_additional": [(a, "PMJDY" if i % 2 else "X") for i, a in enumerate(ACCOUNTS)],
+        "products": [("PMJDY", "basic account", "savings")],
         "branch": [(f"B{i}", "urban" if i % 2 else "rural", "12", "n/a", "5.5") for i in range(5)],
     }
     for name, rows in dims.items():
