@@ -12,8 +12,9 @@ distance, and takes about 2 rows for every GAP bytes.
 2. The others get longer names, over all bytes of the strings that have this sample as their first.
    Places with equal longer names repeat as a whole.
 3. Where a short name has several longer ones, the remaining suffixes, one for every byte before the sample,
-   are compared by their first ``LENGTH`` bytes, once per longer name. Up to ``GROUP`` longer names the bytes
-   themselves meet in one task; beyond, every suffix is named by 128 bits and equal names repeat.
+   are compared by their first ``LENGTH`` bytes, once per longer name: each is named by 128 bits, names are
+   sorted, and equal neighbours repeat. Up to ``GROUP`` longer names the bytes meet in one task, which sorts
+   them; beyond, Spark deals out the names of all suffixes.
 
 Names are 128-bit hashes (64 bits of the short and 64 of the long name); rows with equal names meet by
 Spark's shuffle.
@@ -34,11 +35,11 @@ from ledgersignal.llm.common import Rows, stored, walk_groups, whole_text
 
 LENGTH = 200
 GRAM = 51
-#: Long names of a short name that are compared in one task.
-GROUP = 400
+#: Long names of a short name that are compared in one task: some megabytes of strips.
+GROUP = 10_000
 NO_ID = 2**63 - 1
 #: Bytes that are hashed at once; longer texts go in pieces that overlap by LENGTH - 1 bytes.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 WORD = 1 << 64
@@ -222,27 +223,46 @@ def strips(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     return texts.mapInPandas(take, "short long, doc long, mark int, low int, single boolean, strip binary")
 
 
+def string_names(strips_: list[bytes], hasher: Hasher, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(strip, place in it, two hashes) of every string of ``length`` bytes, some strips at a time."""
+    out, first, size = [], 0, 0
+    for i, strip in enumerate(strips_):
+        size += len(strip)
+        if size >= PIECE or i == len(strips_) - 1:
+            part = strips_[first : i + 1]
+            sizes = np.array([len(x) for x in part], np.int64)
+            many = sizes - length + 1
+            place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            at = place + np.repeat(np.cumsum(sizes) - sizes, many)
+            data = np.frombuffer(b"".join(part), np.uint8)
+            names = [hasher.strings(hasher.sums(data, w), w, at, at + length) for w in (0, 1)]
+            out.append((np.repeat(np.arange(first, i + 1), many), place, *names))
+            first, size = i + 1, 0
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
 def repeated_places(length: int):
+    hasher = Hasher(2 * PIECE)
+
     def compare(rows: Rows) -> Rows | None:
         """Runs of places of single strips whose strings another strip of the group has as well."""
-        seen: dict[bytes, int] = {}
-        for strip in rows["strip"]:
-            for i in range(len(strip) - length + 1):
-                part = strip[i : i + length]
-                seen[part] = seen.get(part, 0) + 1
-        out = []
-        for doc, mark, low, single, strip in zip(rows["doc"], rows["mark"], rows["low"], rows["single"], rows["strip"], strict=True):
-            if not single:
-                continue
-            start = None
-            for i in range(len(strip) - length + 2):
-                again = i <= len(strip) - length and seen[strip[i : i + length]] > 1
-                if again and start is None:
-                    start = i
-                elif not again and start is not None:
-                    out.append((doc, mark, low + start, i - 1 - start))
-                    start = None
-        return {c: np.array(v) for c, v in zip(("doc", "mark", "low", "wide"), zip(*out, strict=True), strict=True)} if out else None
+        single = rows["single"].astype(bool)
+        if not single.any():
+            return None
+        strip, place, a, b = string_names(list(rows["strip"]), hasher, length)
+        order = np.lexsort((b, a))
+        same = (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])  # equal neighbours
+        again = np.zeros(len(order), bool)
+        again[order[1:]] |= same
+        again[order[:-1]] |= same
+        hit = np.nonzero(again & single[strip])[0]
+        if not len(hit):
+            return None
+        new = np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (strip[hit[1:]] != strip[hit[:-1]])])
+        begin = hit[new]
+        end = hit[np.append(np.nonzero(new)[0][1:] - 1, len(hit) - 1)]
+        own = strip[begin]
+        return {"doc": rows["doc"][own], "mark": rows["mark"][own], "low": rows["low"][own] + place[begin], "wide": end - begin}
 
     return compare
 
@@ -296,8 +316,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
         return texts.join(rows.groupBy("doc", "mark").agg(F.collect_list("ask").alias("asked")), ["doc", "mark"])  # at most one per sample of a text
 
     together = strips(with_asked(asked.filter(F.col("names") <= group)), length).repartition("short").sortWithinPartitions("short")
-    compare = repeated_places(length)
-    parts = [whole, together.mapInPandas(lambda it: walk_groups(it, ["short"], compare), "doc long, mark int, low int, wide int")]
+    parts = [whole, together.mapInPandas(lambda it: walk_groups(it, ["short"], repeated_places(length)), "doc long, mark int, low int, wide int")]
     if not several.filter(F.col("names") > group).isEmpty():
         places = stored(named_places(with_asked(asked.filter(F.col("names") > group)), length))
         again = stored(places.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a", "b"))
