@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgersignal.llm.common import small_batches
+
 # Base patterns, and the shortest second group or whole match that counts.
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -132,7 +134,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     base assignment are not reported again. Other columns are not read; an empty table gives no rows.
     """
     find = F.pandas_udf(scan, RESULT)
-    found = docs.select("doc_id", find(F.coalesce("text", F.lit(""))).alias("_found"))
+    found = small_batches(docs).select("doc_id", find(F.coalesce("text", F.lit(""))).alias("_found"))
     return found.select(
         "doc_id", "_found.n_assign", "_found.n_access", "_found.n_hex", F.sha2(F.col("_found.base").cast("binary"), 256).alias("base_sha256"),
         "_found.spans", "_found.n_named",

@@ -23,14 +23,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgersignal.llm.common import Rows, stored, text_key, walk_groups, whole_text
+from ledgersignal.llm.common import Rows, small_batches, stored, text_key, walk_groups, whole_text
 from ledgersignal.operators.network import connected_components
 from ledgersignal.session import cut_lineage
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.9999
 RATE, DEPTH, LIMIT = 1.5, 2, 200
 #: Blocks of a node have at most so many sets, and texts of about so many characters.
-BLOCK_SETS, BLOCK_CHARS = 2_000, 12_000_000
+BLOCK_SETS, BLOCK_CHARS = 1_000, 6_000_000
 BINS = 128
 NO_ID = 2**63 - 1
 WORDS_KEPT = 300_000
@@ -243,8 +243,10 @@ def _links(threshold: float, words: int):
         owned = _owned(rows)
         sets = [shingles(t) for t in rows["text"]]
         sizes = np.array([len(s) for s in sets], np.float64)
-        both = _shared(sets).astype(np.float64)
-        linked = owned & (both >= threshold * (sizes[:, None] + sizes[None, :] - both) - 1e-6)
+        both = _shared(sets)
+        linked = owned
+        for i in range(n):  # row by row, to hold no table of doubles
+            linked[i] &= both[i] >= threshold * (sizes[i] + sizes - both[i]) - 1e-6
         count = linked.sum(axis=0) + linked.sum(axis=1)
         if not count.any():
             return None
@@ -275,7 +277,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, words: int = SHI
     texts whose shingle sets have the threshold's Jaccard index with its own or more, ``root_doc`` and
     ``root_key`` the lowest (id, key) of the class that links connect.
     """
-    sets = stored(set_table(docs, words, rate, runs_needed(threshold, recall, rate)))
+    sets = stored(set_table(small_batches(docs), words, rate, runs_needed(threshold, recall, rate)))
     members = nodes(sets, limit)
     met = members.groupBy("key").agg(F.collect_list("node").alias("nodes"))  # bounded by runs and rate
     placed = _in_blocks(members.join(met, "key").join(sets.select("key", "doc", "sketch"), "key"), BLOCK_SETS, BLOCK_CHARS)

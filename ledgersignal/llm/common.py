@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ledgersignal.session import ensure_checkpoint_dir
 
+#: Rows that a Python function gets at once. Texts may be long, so batches are smaller than Spark's own.
+BATCH_ROWS = 1_000
 #: Rows up to which a table of small rows (some hundred bytes at most) may be broadcast.
 BROADCAST_ROWS = 200_000
 
@@ -30,6 +32,12 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """Bound the memory of Python functions over texts, for this session."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark ``df`` for broadcast if its counted rows stay within ``rows``, else leave the join to Spark."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

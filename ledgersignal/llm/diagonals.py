@@ -16,13 +16,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgersignal.llm.common import small_batches
+
 Q = 9
 #: Edits allowed, as a share of an item's length.
 EDIT_SHARE = 0.08
 #: Characters of items that are matched in one pass over the texts; more items take more passes.
 BLOCK_CHARS = 2_000_000
 #: Characters of texts that are searched at once.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 500_000
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 TABLE_BITS = 22
@@ -186,7 +188,7 @@ def _matcher(items, q: int):
 
 def places_column(text: Column, benchmark: DataFrame, q: int = Q, share: float = EDIT_SHARE, block_chars: int = BLOCK_CHARS) -> Column:
     """The places of benchmark items in a text, over all blocks of items."""
-    context = benchmark.sparkSession.sparkContext
+    context = small_batches(benchmark).sparkSession.sparkContext
     # Each broadcast is bounded by block_chars.
     parts = [_matcher(context.broadcast(prepare(block, q, share)), q)(F.coalesce(text, F.lit(""))) for block in _blocks(benchmark, block_chars)]
     return F.concat(*parts) if parts else F.array().cast(PLACES)

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgersignal.llm.common import whole_text
+from ledgersignal.llm.common import small_batches, whole_text
 from ledgersignal.session import cut_lineage
 
 #: A run has at least so many sentences and so many words.
@@ -88,7 +88,7 @@ def dedup_spans(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS)
     Digests are counted with partial sums; those that occur once end there. The join that takes the others
     back to their documents has a shuffle on both sides, so Spark splits the rows of a very common run.
     """
-    runs = all_runs(docs, sentences, words)
+    runs = all_runs(small_batches(docs), sentences, words)
     repeated = cut_lineage(runs.groupBy("a", "b").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("a", "b", "first"))
     later = runs.join(repeated, ["a", "b"]).filter(F.col("again") | (F.col("doc") > F.col("first")))
     spans = later.groupBy("doc", "mark").agg(F.collect_set(F.struct("start", "end")).alias("spans"))  # at most one per sentence of a text

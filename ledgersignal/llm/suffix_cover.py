@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgersignal.llm.common import Rows, stored, walk_groups, whole_text
+from ledgersignal.llm.common import Rows, small_batches, stored, walk_groups, whole_text
 
 LENGTH = 200
 GRAM = 51
@@ -300,7 +300,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
     texts have a shuffle on both sides, which Spark splits where one name has many rows. Texts are shuffled
     once for all uses.
     """
-    sampled = sample_table(docs, length, gram)
+    sampled = sample_table(small_batches(docs), length, gram)
     twice = stored(sampled.groupBy("short").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("short"))
     shared = stored(sampled.join(twice, "short"))
     names = ["short", "long", "wide"]

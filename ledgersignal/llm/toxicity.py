@@ -21,6 +21,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgersignal.llm.common import small_batches
 from ledgersignal.session import cut_lineage
 
 #: Labelled rows used for fitting at most, taken by a hash of the id.
@@ -131,6 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Callabl
 
     Where the training rows lack one of the classes, the score is one of the fixed lexicon alone.
     """
+    small_batches(docs)
     marks = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     marks = marks.dropDuplicates(["doc_id"])
     share = min(1.0, fit_rows / max(1, marks.count()))

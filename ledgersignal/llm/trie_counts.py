@@ -15,6 +15,8 @@ from itertools import islice
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgersignal.llm.common import small_batches
+
 #: Pre-tokens whose counts a task keeps at most; beyond, it starts anew. This bounds memory, not results.
 KEPT_PRETOKENS = 400_000
 MARK = "▁"  # Fixed value: stands for the space before a pre-token.
@@ -96,7 +98,7 @@ def count_tokens(docs: DataFrame, model_file: str) -> DataFrame:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_pretokens": n_pre, "n_tokens": n_tok, "log_score": score})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(count, f"doc_id {kind}, n_pretokens long, n_tokens long, log_score double")
+    return small_batches(docs).select("doc_id", "text").mapInPandas(count, f"doc_id {kind}, n_pretokens long, n_tokens long, log_score double")
 
 
 def default_model(spark: SparkSession) -> str:
