@@ -1,8 +1,9 @@
 """Substring deduplication by sliding sentence spans.
 
-Every run of several consecutive sentences is hashed and joined over all documents. Sentences covered by a
-run that is not the first of its kind are removed: first is the run in the document with the lowest id, and
-within a document the one that begins first.
+Runs of several consecutive sentences are hashed and joined over all documents. Sentences covered by a run
+that is not the first of its kind are removed: first is the run in the document with the lowest id, and
+within a document the one that begins first. Of all runs only the shortest from every sentence and up to
+every sentence are hashed, which removes the same sentences.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -33,20 +35,31 @@ def sentence_bounds(text: str) -> list[int]:
 
 
 def runs_of(text: str, bounds: list[int], sentences: int = SENTENCES, words: int = WORDS) -> list[Run]:
-    """From every sentence the shortest run that is long enough; white space does not count."""
+    """The shortest runs that are long enough, from every sentence and up to every sentence, in order.
+
+    White space does not count. What any longer run covers is covered by the runs of these that lie in it.
+    """
     parts = [text[a:b].split() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-    joined = [" ".join(p) for p in parts]
-    sizes = [len(p) for p in parts]
-    runs, end, total = [], 0, 0
+    joined = [" ".join(p).encode("utf-8", "replace") for p in parts]
+    totals = [0, *accumulate(map(len, parts))]
+
+    def enough(start: int, end: int) -> bool:
+        return end - start >= sentences and totals[end] - totals[start] >= words
+
+    runs, end = set(), 1
     for start in range(len(parts)):
-        while end < len(parts) and (end - start < sentences or total < words):
-            total += sizes[end]
+        while end <= len(parts) and not enough(start, end):
             end += 1
-        if end - start < sentences or total < words:
+        if end > len(parts):
             break
-        runs.append((start, end, hashlib.blake2b("\n".join(joined[start:end]).encode("utf-8", "replace"), digest_size=16).digest()))
-        total -= sizes[start]
-    return runs
+        runs.add((start, end))
+    start = 0
+    for end in range(1, len(parts) + 1):
+        while enough(start + 1, end):
+            start += 1
+        if enough(start, end):
+            runs.add((start, end))
+    return [(a, b, hashlib.blake2b(b"\n".join(joined[a:b]), digest_size=16).digest()) for a, b in sorted(runs)]
 
 
 def _keys() -> list[Column]:
@@ -91,7 +104,7 @@ def dedup_spans(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS)
     runs = all_runs(small_batches(docs), sentences, words)
     repeated = cut_lineage(runs.groupBy("a", "b").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("a", "b", "first"))
     later = runs.join(repeated, ["a", "b"]).filter(F.col("again") | (F.col("doc") > F.col("first")))
-    spans = later.groupBy("doc", "mark").agg(F.collect_set(F.struct("start", "end")).alias("spans"))  # at most one per sentence of a text
+    spans = later.groupBy("doc", "mark").agg(F.collect_set(F.struct("start", "end")).alias("spans"))  # at most two per sentence of a text
     keyed = docs.select("doc_id", *_keys()).join(spans, ["doc", "mark"], "left")
 
     def cut(text: pd.Series, spans: pd.Series) -> pd.DataFrame:

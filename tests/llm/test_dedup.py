@@ -102,6 +102,64 @@ def test_sentences(tricky):
     assert by_id[8].text == "" and by_id[7].n_removed == 0 and by_id[11].n_removed >= 11
 
 
+def sentences_covered(rows, enough):
+    """Removed sentences of each row, by all runs of consecutive sentences, whatever their length."""
+    parts = [[tuple(t[a:b].split()) for a, b in zip(s[:-1], s[1:], strict=True)] for t, s in ((t, sentence_spans.sentence_bounds(t)) for _, t in rows)]
+    runs = [[(a, b) for a in range(len(p)) for b in range(a + 1, len(p) + 1) if enough(b - a, sum(map(len, p[a:b])))] for p in parts]
+    first = {}
+    for (i, _), p, of in zip(rows, parts, runs, strict=True):
+        for a, b in of:
+            first[tuple(p[a:b])] = min(first.get(tuple(p[a:b]), i), i)
+    out = {}
+    for (i, _), p, of in zip(rows, parts, runs, strict=True):
+        seen, gone = set(), set()
+        for a, b in of:
+            if tuple(p[a:b]) in seen or i > first[tuple(p[a:b])]:
+                gone.update(range(a, b))
+            seen.add(tuple(p[a:b]))
+        out[i] = sorted(gone)
+    return out
+
+
+def removed_sentences(rows, got):
+    """The same for results, told from the lengths of what stays; sentences of a row must differ in length."""
+    out = {}
+    for i, t in rows:
+        bounds = sentence_spans.sentence_bounds(t)
+        gone, rest = [], got[i]
+        for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+            if rest.startswith(t[a:b]):
+                rest = rest[b - a :]
+            else:
+                gone.append(k)
+        assert rest == ""
+        out[i] = gone
+    return out
+
+
+def short_sentence_rows():
+    """Shared passages that end, or begin, in short sentences, at borders and inside of texts."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    line = lambda n: " ".join(word() for _ in range(n)) + ". "
+    passages = [[line(n) for n in sizes] for sizes in ([9, 8, 9, 2, 3, 1], [1, 2, 1, 12, 9, 3, 2], [6, 2, 1, 1, 1, 1], [20, 3, 2, 2, 2], [4, 4, 4, 2])]
+    rows = []
+    for i, passage in enumerate(passages * 3):
+        own = [line(rng.randint(1, 9)) for _ in range(rng.choice([0, 4]))]
+        rows.append((i, "".join(own + passage + [line(rng.randint(1, 9)) for _ in range(rng.choice([0, 3]))])))
+    rows += [(100 + i, "".join(line(rng.randint(1, 5)) if rng.random() < 0.4 else rng.choice(passages)[k] for k in range(4)) + "".join(passages[0] + passages[0][2:])) for i in range(6)]
+    return rows
+
+
+def test_whole_runs_go_with_short_ends(spark):
+    """Short sentences at the end of a repeated passage go with it; all runs are compared."""
+    rows = short_sentence_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.text for r in sentence_spans.dedup_spans(docs, 3, 15).collect()}
+    want = sentences_covered(rows, lambda n, words: n >= 3 and words >= 15)
+    assert removed_sentences(rows, got) == want and want[5][-6:] != [] and any(len(v) > 5 for v in want.values())
+
+
 def test_sentence_bounds():
     text = 'Is it 3.5 or 4? "Yes!" he said.\nNext line\n\nLast…'
     bounds = sentence_spans.sentence_bounds(text)
