@@ -1,9 +1,9 @@
 """Substring deduplication by sliding sentence spans.
 
-Runs of several consecutive sentences are hashed and joined over all documents. Sentences covered by a run
-that is not the first of its kind are removed: first is the run in the document with the lowest id, and
-within a document the one that begins first. Of all runs only the shortest from every sentence and up to
-every sentence are hashed, which removes the same sentences.
+Runs of several consecutive sentences, or of one long sentence, are hashed and joined over all documents.
+Sentences covered by a run that is not the first of its kind are removed: first is the run in the document
+with the lowest id, and within a document the one that begins first. Of all runs only the shortest from every
+sentence and up to every sentence are hashed, which removes the same sentences.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from ledgersignal.llm.common import small_batches, whole_text
 from ledgersignal.session import cut_lineage
 
-#: A run has at least so many sentences and so many words.
-SENTENCES, WORDS = 3, 15
+#: A run has at least so many sentences and so many words, or is long in words, be it one sentence.
+SENTENCES, WORDS, LONG = 2, 15, 25
 SENTENCE = re.compile(r"[^.!?…\n]*(?:[.!?…]+(?![\s\"'”»)\]])[^.!?…\n]*)*(?:[.!?…]+[\"'”»)\]]*|\n|$)\s*")
 NO_ID = 2**63 - 1  # rows without id come after all others
 
@@ -34,7 +34,7 @@ def sentence_bounds(text: str) -> list[int]:
     return [*bounds, len(text)] if bounds else [0]
 
 
-def runs_of(text: str, bounds: list[int], sentences: int = SENTENCES, words: int = WORDS) -> list[Run]:
+def runs_of(text: str, bounds: list[int], sentences: int = SENTENCES, words: int = WORDS, long: int = LONG) -> list[Run]:
     """The shortest runs that are long enough, from every sentence and up to every sentence, in order.
 
     White space does not count. What any longer run covers is covered by the runs of these that lie in it.
@@ -44,7 +44,8 @@ def runs_of(text: str, bounds: list[int], sentences: int = SENTENCES, words: int
     totals = [0, *accumulate(map(len, parts))]
 
     def enough(start: int, end: int) -> bool:
-        return end - start >= sentences and totals[end] - totals[start] >= words
+        size = totals[end] - totals[start]
+        return size >= long or (end - start >= sentences and size >= words)
 
     runs, end = set(), 1
     for start in range(len(parts)):
@@ -71,7 +72,7 @@ def _keys() -> list[Column]:
     ]
 
 
-def all_runs(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS) -> DataFrame:
+def all_runs(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS, long: int = LONG) -> DataFrame:
     """Runs of all documents: (a, b) digest, document, sentences covered, and whether the text had it before."""
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -79,7 +80,7 @@ def all_runs(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS) ->
             rows = []
             for doc, mark, text in zip(batch["doc"], batch["mark"], batch["text"], strict=True):
                 seen = set()
-                for start, end, digest in runs_of(text, sentence_bounds(text), sentences, words):
+                for start, end, digest in runs_of(text, sentence_bounds(text), sentences, words, long):
                     a, b = int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
                     rows.append((a, b, doc, mark, start, end, digest in seen))
                     seen.add(digest)
@@ -91,7 +92,7 @@ def all_runs(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS) ->
     return docs.select(*_keys()).mapInPandas(find, "a long, b long, doc long, mark int, start int, end int, again boolean")
 
 
-def dedup_spans(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS) -> DataFrame:
+def dedup_spans(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS, long: int = LONG) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_sentences, n_removed, words_removed, and the text that stays.
 
     Null texts are empty. Texts too short for a run stay whole, copies included. Rows with the same id count
@@ -101,7 +102,7 @@ def dedup_spans(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS)
     Digests are counted with partial sums; those that occur once end there. The join that takes the others
     back to their documents has a shuffle on both sides, so Spark splits the rows of a very common run.
     """
-    runs = all_runs(small_batches(docs), sentences, words)
+    runs = all_runs(small_batches(docs), sentences, words, long)
     repeated = cut_lineage(runs.groupBy("a", "b").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("a", "b", "first"))
     later = runs.join(repeated, ["a", "b"]).filter(F.col("again") | (F.col("doc") > F.col("first")))
     spans = later.groupBy("doc", "mark").agg(F.collect_set(F.struct("start", "end")).alias("spans"))  # at most two per sentence of a text

@@ -155,11 +155,25 @@ def test_whole_runs_go_with_short_ends(spark):
     """Short sentences at the end of a repeated passage go with it; all runs are compared."""
     rows = short_sentence_rows()
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = {r.doc_id: r.text for r in sentence_spans.dedup_spans(docs, 3, 15).collect()}
+    got = {r.doc_id: r.text for r in sentence_spans.dedup_spans(docs, 3, 15, 10**9).collect()}
     want = sentences_covered(rows, lambda n, words: n >= 3 and words >= 15)
     assert removed_sentences(rows, got) == want and want[5][-6:] != [] and any(len(v) > 5 for v in want.values())
 
 
+def test_passages_of_one_or_two_long_sentences(spark):
+    """Two sentences are a run, and so is one with many words; what begins and ends inside sentences loses those between."""
+    line = lambda c, n: " ".join(f"{c}{k}" for k in range(n)) + ". "
+    one, two, below, middle = line("a", 60), line("b", 30) + line("c", 22), line("d", 24), line("e", 9) + line("f", 8)
+    rows = [(0, "".join([line("g", 5), one, line("h", 6), two, line("i", 7), below, line("j", 3), "cut " + middle + "cut off."]))]
+    rows += [(k, line(f"{k}x", 5 + k) + passage + line(f"{k}y", 4)) for k, passage in enumerate([one, two, below, "other " + middle + "other end."], 1)]
+    got = {r.doc_id: r.text for r in sentence_spans.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert removed_sentences(rows, got) == sentences_covered(rows, lambda n, words: words >= 25 or (n >= 2 and words >= 15))
+    assert removed_sentences(rows, got) == {0: [], 1: [1], 2: [1, 2], 3: [], 4: []}
+    rows = short_sentence_rows()
+    got = {r.doc_id: r.text for r in sentence_spans.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert removed_sentences(rows, got) == sentences_covered(rows, lambda n, words: words >= 25 or (n >= 2 and words >= 15))
+
+
 def test_sentence_bounds():
     text = 'Is it 3.5 or 4? "Yes!" he said.\nNext line\n\nLast…'
     bounds = sentence_spans.sentence_bounds(text)
