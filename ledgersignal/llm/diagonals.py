@@ -3,7 +3,8 @@
 An item of length L that occurs in a text with at most k edits shares at least L + 1 - q (k + 1) q-grams
 with it, on diagonals (text position minus item position) that differ by at most k. Shared q-grams are
 counted in bands of 2 (k + 1) diagonals that overlap by half, so one band holds all of them. Bands that meet
-the bound are verified by an alignment that is confined to the band's diagonals.
+the bound are verified by an alignment that is confined to the band's diagonals. Items and texts are compared
+without regard to case, folded one code point to one, so places are those of the texts as they are.
 """
 
 from __future__ import annotations
@@ -35,6 +36,29 @@ def codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
 
 
+def case_table() -> np.ndarray:
+    """For each code point up to the last with case the one it is folded to; itself if folding changes the length."""
+    folded = {}
+    for code in range(0x20000):
+        char = chr(code)
+        one = next((f for f in (char.casefold(), char.lower()) if len(f) == 1), char)
+        if one != char:
+            folded[code] = ord(one)
+    table = np.arange(max(folded) + 1, dtype=np.uint32)
+    table[list(folded)] = list(folded.values())
+    return table
+
+
+def fold(text: str, table: np.ndarray) -> str:
+    """The text without case, of the same length."""
+    if text.isascii():
+        return text.lower()
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+    cased = c < len(table)
+    c[cased] = table[c[cased]]
+    return c.tobytes().decode("utf-32-le", "surrogatepass")
+
+
 def gram_hashes(c: np.ndarray, q: int = Q) -> np.ndarray:
     """Polynomial hash of the q-gram at each position, by doubling."""
     h, done = c + np.uint64(1), 1
@@ -52,13 +76,14 @@ def gram_hashes(c: np.ndarray, q: int = Q) -> np.ndarray:
 
 
 def prepare(pairs: list[tuple[int, str]], q: int = Q, share: float = EDIT_SHARE) -> SimpleNamespace:
-    """Items of one block with their q-grams.
+    """Items of one block, folded, with their q-grams.
 
     ``budgets``: edits allowed; ``bounds``: q-grams that must be shared; ``grams``: distinct hashes in order,
     each with its postings (``item``, ``place``) from ``first``; ``table``: filter over the top bits of a
-    hash; ``short``: items below q characters, which are searched as they are.
+    hash; ``short``: items below q characters, which are searched whole; ``cases``: what texts are folded by.
     """
-    ids, texts = [p[0] for p in pairs], [p[1] for p in pairs]
+    cases = case_table()
+    ids, texts = [p[0] for p in pairs], [fold(p[1], cases) for p in pairs]
     lengths = np.array([len(t) for t in texts], np.int64)
     # The largest budget within the share for which the lemma still asks for a shared q-gram.
     budgets = np.maximum(0, np.minimum(np.floor(lengths * share).astype(np.int64), (lengths - q) // q))
@@ -76,7 +101,7 @@ def prepare(pairs: list[tuple[int, str]], q: int = Q, share: float = EDIT_SHARE)
     return SimpleNamespace(
         ids=ids, texts=texts, budgets=budgets, bounds=np.maximum(1, lengths + 1 - q * (budgets + 1)), grams=grams,
         first=np.append(first, len(h)), item=np.concatenate(item)[order], place=np.concatenate(place)[order], table=table,
-        short=[i for i, n in enumerate(lengths) if 0 < n < q],
+        short=[i for i, n in enumerate(lengths) if 0 < n < q], cases=cases,
     )
 
 
@@ -111,6 +136,7 @@ def search(texts: list[str], items: SimpleNamespace, q: int = Q) -> list[list[tu
     found: list[set] = [set() for _ in texts]
     if not items.ids:
         return [[] for _ in texts]
+    texts = [fold(t, items.cases) for t in texts]
     starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
     c = codes(SEPARATOR.join(texts))
     h = gram_hashes(c, q)
@@ -198,7 +224,8 @@ def find_items(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
     """One row per row of ``docs``: doc_id, the number of items found, their ids, and their places.
 
     Whole items are looked for, with at most ``EDIT_SHARE`` of their length in edits (fewer where the lemma
-    would ask for no shared q-gram; items shorter than a q-gram must occur as they are). Null and empty texts
+    would ask for no shared q-gram; items shorter than a q-gram must occur whole). Case does not count: letters
+    are folded one to one, those that have no such fold (as in ``ß`` and ``SS``) differ. Null and empty texts
     hold no item; null and empty items, and items without id, are not looked for; equal items with different
     ids are all reported. Other columns are not read; an empty table gives no rows. One scan per block of
     items, no shuffle.

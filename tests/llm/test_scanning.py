@@ -171,6 +171,26 @@ def test_blocks_and_chunks_change_nothing(spark, monkeypatch):
     assert shape(diagonals.find_items(docs, bench)) == whole
 
 
+def test_case_of_items_does_not_count(spark):
+    """Items in other case are found where they are in the text, also beside letters whose folding has another length."""
+    items = [(1, "The quick brown fox jumps over the lazy dog near the river"), (2, "Ὁ σκύλος κοιμάται στο σπίτι ΚΑΙ Περιμένει"), (3, "Été aB")]
+    upper = "".join(c.upper() if len(c.upper()) == 1 else c for c in items[1][1])
+    texts = ["İ ß " + items[0][1].upper() + " İ", "so " + items[0][1].lower(), "x😀 " + upper + "!", "vor ÉTÉ AB und été ab", "nothing of this is in any item, ever"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: [tuple(p) for p in r.places] for r in diagonals.find_items(docs, bench).collect()}
+    assert got == {0: [(1, 4, 4 + 58, 0)], 1: [(1, 3, 3 + 58, 0)], 2: [(2, 3, 3 + len(upper), 0)], 3: [(3, 4, 10, 0), (3, 15, 21, 0)], 4: []}
+    assert [r.doc_id for r in diagonals.keep_uncontaminated(docs, bench).collect()] == [4]
+
+
+def test_fold_keeps_places():
+    table = diagonals.case_table()
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x30000)]))
+    folded = diagonals.fold(every, table)
+    assert len(folded) == len(every) and diagonals.fold(folded, table) == folded
+    assert all(f == g for f, g in zip(folded, diagonals.fold("".join(c.lower() if len(c.lower()) == 1 else c for c in every), table), strict=True))
+
+
 def test_no_items_and_no_documents(spark, tricky, nothing):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert {r.n_items for r in diagonals.find_items(tricky, empty).collect()} == {0}
