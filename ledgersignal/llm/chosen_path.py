@@ -120,7 +120,7 @@ def _tree(tokens: np.ndarray, roots: np.ndarray, rate: float, depth: int) -> lis
 
 
 def set_table(docs: DataFrame, words: int, rate: float, runs: int) -> DataFrame:
-    """One row per distinct text with words: key, lowest id, number of copies, sketch and the tree of its nodes."""
+    """One row per distinct text: key, lowest id, number of copies, sketch and the tree of its nodes, empty without words."""
 
     names = ["key", "doc", "chars", "sketch", "tree"]
 
@@ -131,8 +131,8 @@ def set_table(docs: DataFrame, words: int, rate: float, runs: int) -> DataFrame:
             rows = []
             for key, doc, text in zip(batch["key"], batch["doc"], batch["text"], strict=True):
                 tokens = shingles(text)
-                if len(tokens):
-                    rows.append((key, doc, len(text), sketch(tokens), _tree(tokens, roots, rate, DEPTH)))
+                known = (sketch(tokens), _tree(tokens, roots, rate, DEPTH)) if len(tokens) else (bytes(BINS), [])
+                rows.append((key, doc, len(text), *known))
                 if len(rows) == 1000:
                     yield pd.DataFrame(rows, columns=names)
                     rows = []
@@ -273,7 +273,7 @@ def _links(threshold: float, words: int):
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD, words: int = SHINGLE, recall: float = RECALL, rate: float = RATE, limit: int = LIMIT) -> DataFrame:
     """Classes of near-duplicate texts: key (128-bit hash of the text), doc, copies, links, root doc and key.
 
-    One row per distinct text with words. ``doc`` is the lowest id of its rows, ``links`` the number of other
+    One row per distinct text; those without words are in no node and have no links. ``doc`` is the lowest id of its rows, ``links`` the number of other
     texts whose shingle sets have the threshold's Jaccard index with its own or more, ``root_doc`` and
     ``root_key`` the lowest (id, key) of the class that links connect.
     """
@@ -311,11 +311,8 @@ def join_documents(docs: DataFrame, **settings) -> DataFrame:
     """
     classes = cut_lineage(near_classes(docs, **settings).select("key", "doc", "links", "root_doc"))
     rows = docs.select("doc_id", text_key(whole_text()).alias("key"))
-    bare = docs.filter(F.trim(F.regexp_replace(whole_text(), r"\s+", "")) == "").select(text_key(whole_text()).alias("key"), "doc_id")
-    bare = bare.groupBy("key").agg(F.coalesce(F.min("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"))
-    table = cut_lineage(classes.unionByName(bare.select("key", "doc", F.lit(0).cast("long").alias("links"), F.col("doc").alias("root_doc"))))
     number = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias({"root_doc": "class_id", "doc": "copy_id"}[c])
-    return rows.join(table, "key").select("doc_id", number("root_doc"), number("doc"), F.col("links").alias("n_links"))
+    return rows.join(classes, "key").select("doc_id", number("root_doc"), number("doc"), F.col("links").alias("n_links"))
 
 
 def keep_one(docs: DataFrame, **settings) -> DataFrame:
@@ -326,8 +323,5 @@ def keep_one(docs: DataFrame, **settings) -> DataFrame:
     """
     roots = cut_lineage(near_classes(docs, **settings).select("key", "root_key", "doc").filter(F.col("key") == F.col("root_key")).select("key", "doc"))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    keyed = docs.select(row, text_key(whole_text()).alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.regexp_replace(whole_text(), r"\s+", "").alias("bare"))
-    kept = keyed.filter(F.col("bare") != "").drop("bare").join(roots, ["key", "doc"]).dropDuplicates(["key"])
-    bare = keyed.filter(F.col("bare") == "").drop("bare")
-    first = bare.groupBy("key").agg(F.min_by("row", "doc").alias("row"))
-    return kept.select("row.*").unionByName(first.select("row.*"))
+    keyed = docs.select(row, text_key(whole_text()).alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"))
+    return keyed.join(roots, ["key", "doc"]).dropDuplicates(["key"]).select("row.*")

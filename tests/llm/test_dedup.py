@@ -224,6 +224,17 @@ def test_near_duplicates(tricky):
     assert result(chosen_path.join_documents(tricky)) == classes(rows)
 
 
+def test_texts_of_unicode_white_space_stay(spark):
+    """Texts that only Python takes for white form classes of equal texts, like empty ones."""
+    white = ["\u00a0", "\u3000\u2003", "\u0085", "\x1c\x1f", " \t", "", "\u200b", "\u00a0"]
+    rows = [(i, t) for i, t in enumerate(white * 2)] + [(None, "\u2003"), (None, "\u2003"), (None, "\u3000\u2003"), (50, "a few words of text here"), (51, "a few words of text here")]
+    docs = spark.createDataFrame([*rows, (60, None)], "doc_id long, text string").repartition(3)
+    assert result(chosen_path.join_documents(docs)) == classes([*rows, (60, "")])
+    kept = chosen_path.keep_one(docs).collect()
+    assert Counter(r.text or "" for r in kept) == Counter({t for _, t in rows})
+    assert sorted((-1 if r.doc_id is None else r.doc_id) for r in kept) == [-1, 0, 1, 2, 3, 4, 5, 6, 50]
+
+
 def near_group(n):
     rng = random.Random(8)
     base = [f"w{rng.randint(0, 10**6)}" for _ in range(120)]
