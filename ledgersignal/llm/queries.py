@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgersignal.llm import assignments, chosen_path, curriculum, diagonals, hash_tree, packing, sentence_spans, sketches, suffix_cover, toxicity, trie_counts
+from ledgersignal.llm import assignments, chosen_path, curriculum, diagonals, hash_tree, packing, permuterm, sentence_spans, sketches, suffix_cover, toxicity, trie_counts
 from ledgersignal.llm.common import read
 
 
@@ -72,6 +72,10 @@ def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.place(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permuterm.spelling_variants(read(spark, sf_dir, "documents"))
+
+
 MIX_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, text, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS ord,
@@ -121,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": op9_decontaminate,
     "op10_fingerprints": op10_fingerprints,
     "op12_best_fit_packing": op12_best_fit_packing,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLE_SQL: dict[str, str] = {"op7_mix_sources": MIX_SQL}
