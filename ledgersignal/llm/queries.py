@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgersignal.llm import assignments, chosen_path, curriculum, diagonals, hash_tree, packing, permuterm, sentence_spans, sketches, suffix_cover, toxicity, trie_counts
+from ledgersignal.llm import assignments, chosen_path, curriculum, diagonals, hash_tree, norm_buckets, packing, permuterm, sentence_spans, sketches, suffix_cover, toxicity, trie_counts
 from ledgersignal.llm.common import read
 
 
@@ -67,6 +67,10 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return norm_buckets.rank_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.cut(read(spark, sf_dir, "documents"), packing.default_tokenizer(spark))
     return packing.place(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
@@ -113,6 +117,37 @@ SELECT doc_id, size, source_size, round(target, 6) AS target, CAST(turns * size
 FROM parts
 """
 
+SEARCH_SQL = r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), item AS (
+  SELECT row_number() OVER () AS i, item_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM benchmark
+), total AS (
+  SELECT CAST(count(*) FILTER (WHERE len(terms) > 0) AS BIGINT) AS n_docs, CAST(sum(len(terms)) AS BIGINT) AS n_terms FROM doc
+), asked AS (
+  SELECT i, term, count(*) AS times FROM (SELECT i, unnest(terms) AS term FROM item) GROUP BY i, term
+), tf AS (
+  SELECT r, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT r, unnest(terms) AS term FROM doc) GROUP BY r, term
+), weighed AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), total
+), scored AS (
+  SELECT a.i, t.r,
+         CAST(sum(a.times * w.w * ((1000000000 * t.tf) // (1000 * t.tf + 8 * (100 - 75 + ((75 * len(d.terms) * n_docs) // n_terms))))) AS BIGINT) AS score
+  FROM asked a JOIN tf t USING (term) JOIN weighed w USING (term) JOIN doc d ON d.r = t.r CROSS JOIN total
+  GROUP BY a.i, t.r
+), ranked AS (
+  SELECT i, r, score, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST, r) AS rank FROM scored JOIN doc USING (r) WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked JOIN doc USING (r) JOIN item USING (i) WHERE rank <= 10
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -124,8 +159,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_hash_tree_shards": op8_hash_tree_shards,
     "op9_decontaminate": op9_decontaminate,
     "op10_fingerprints": op10_fingerprints,
+    "op11_lexical_search": op11_lexical_search,
     "op12_best_fit_packing": op12_best_fit_packing,
     "op13_spelling_variants": op13_spelling_variants,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_mix_sources": MIX_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_mix_sources": MIX_SQL, "op11_lexical_search": SEARCH_SQL}
