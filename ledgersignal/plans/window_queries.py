@@ -38,7 +38,7 @@ def totals(min_days: int, v: str = "v", source: str = "daily") -> str:
 
 def best(name: str, days: int, source: str = "base", v: str = "v") -> str:
     """CTE with each account's densest window, from a direct range frame."""
-    return f"""{name} AS (SELECT account_id, wv AS vol, day_no AS s, we AS e FROM (
+    return f"""{name} AS MATERIALIZED (SELECT account_id, wv AS vol, day_no AS s, we AS e FROM (
       SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY wv DESC, day_no) AS rn FROM (
         SELECT account_id, day_no, sum({v}) OVER r AS wv, max(day_no) OVER r AS we FROM {source}
         WINDOW r AS (PARTITION BY account_id ORDER BY day_no RANGE BETWEEN CURRENT ROW AND {days} FOLLOWING))) WHERE rn = 1)"""
@@ -62,10 +62,10 @@ def multiscale(daily: str, scales, coverage, trim, min_days, trim_min, fallback=
         return f"CASE {whens} ELSE {other} END"
 
     fb = f"b{fallback}" if fallback else None
-    chosen = f"""chosen AS (SELECT account_id, total, n_days, {pick('@.s', f'{fb}.s' if fb else 'first_day')} AS cs, {pick('@.e', f'{fb}.e' if fb else 'last_day')} AS ce,
+    chosen = f"""chosen AS MATERIALIZED (SELECT account_id, total, n_days, {pick('@.s', f'{fb}.s' if fb else 'first_day')} AS cs, {pick('@.e', f'{fb}.e' if fb else 'last_day')} AS ce,
       {pick('#', str(fallback) if fb else 'NULL')} AS scale_days, {pick('@.vol', f'{fb}.vol' if fb else 'total')} AS cvol
       FROM (SELECT DISTINCT account_id, total, n_days, first_day, last_day FROM base) {joins})"""
-    inside = "inside AS (SELECT base.account_id, day_no, v, cs, ce, scale_days, cvol, chosen.total AS ctotal, chosen.n_days AS cn FROM base JOIN chosen USING (account_id) WHERE day_no BETWEEN cs AND ce)"
+    inside = "inside AS MATERIALIZED (SELECT base.account_id, day_no, v, cs, ce, scale_days, cvol, chosen.total AS ctotal, chosen.n_days AS cn FROM base JOIN chosen USING (account_id) WHERE day_no BETWEEN cs AND ce)"
     cut = f"count(*) >= {trim_min}" + (f" AND {qday(trim[1])} > {qday(trim[0])}" if ordered else "")
     body = f"""SELECT account_id, CASE WHEN {cut} THEN {qday(trim[0])} ELSE any_value(cs) END AS start_day, CASE WHEN {cut} THEN {qday(trim[1])} ELSE any_value(ce) END AS end_day,
       any_value(scale_days) AS scale_days, any_value(cvol / ctotal) AS coverage, any_value(cn) AS n_days FROM cum_t GROUP BY account_id"""

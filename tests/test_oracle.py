@@ -11,9 +11,11 @@ SF = "/root/testdata/sf0.001"
 SQL = entry.oracle_sql()
 
 
-@pytest.fixture(scope="module")
+@pytest.fixture()
 def con():
-    return connect(SF)
+    """A connection per test: a fatal error ends the database it happens in."""
+    with connect(SF) as opened:
+        yield opened
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
