@@ -16,6 +16,8 @@ from ledgersignal.llm.common import text_key, whole_text
 from ledgersignal.operators.ranking import running_totals
 
 RACK_SHARDS, REGION_RACKS = 4, 2
+#: Shards that the tree is laid out for; those beyond it are added one by one.
+BASE = 16
 
 #: A tree is a list of regions, a region a list of racks, a rack a list of (shard, weight).
 Tree = list[list[list[tuple[int, float]]]]
@@ -34,6 +36,21 @@ def grown(tree: Tree, weight: float = 1.0) -> Tree:
     return [*tree, [[(last + 1, weight)]]]
 
 
+def tree_of(shards: int, base: int | None = None, weights: dict[int, float] | None = None) -> Tree:
+    """The tree of ``shards`` shards by its history: ``base`` shards laid out at once, then grown one by one.
+
+    Of two trees with the same base the larger is the smaller one grown, so every document either stays or goes
+    to a further shard. Without a base, trees of ``BASE`` shards and more have that base, and smaller ones 1.
+    """
+    base = (BASE if shards >= BASE else 1) if base is None else base
+    if not 1 <= base <= shards:
+        raise ValueError(f"{shards} shards cannot grow from {base}")
+    tree = balanced_tree(base, weights)
+    for s in range(base, shards):
+        tree = grown(tree, float((weights or {}).get(s, 1.0)))
+    return tree
+
+
 def _draw(key: Column, child: str, weight: float) -> Column:
     """Exponential draw of a child; infinite for weight 0."""
     if weight <= 0:
@@ -75,10 +92,11 @@ def assign(df: DataFrame, key: Column, tree: Tree, prefix: str = "") -> DataFram
     )
 
 
-def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = BASE, base: int | None = None) -> DataFrame:
     """One row per row of ``docs``: its shard now and with one more shard, and its slot within the shard.
 
-    The law is ``key``: id and shard count decide. Null ids count as one id, so such rows share a shard;
+    The law is ``key``: id and shard count decide (and the base, see ``tree_of``). A run with one more
+    shard and the same base gives what ``grown_shard`` says. Null ids count as one id, so such rows share a shard;
     a null text has size 1. Repeated rows share a shard and get slots of their own. Slots number the rows
     of a shard from 0 by (id, text); they come from running totals over ranges, so that no shard is sorted
     in one task. Other columns of ``docs`` are not read. An empty table gives no rows.
@@ -90,7 +108,7 @@ def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
         text_key(whole_text()).alias("_text"),
     )
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    tree = balanced_tree(shards)
+    tree = tree_of(shards, base)
     placed = assign(assign(rows, key, tree), key, grown(tree), "grown_")
     counted = running_totals(placed.withColumn("_one", F.lit(1).cast("long")), ["shard"], ["doc_id", "_text"], ["_one"])
     return counted.select(
@@ -98,8 +116,8 @@ def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
     )
 
 
-def place(docs: DataFrame, shards: int = 16) -> DataFrame:
+def place(docs: DataFrame, shards: int = BASE, base: int | None = None) -> DataFrame:
     """All columns of ``docs`` and the shard of each row, one scan and no shuffle."""
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    marked = assign(docs, key, balanced_tree(shards), "_tree_")
+    marked = assign(docs, key, tree_of(shards, base), "_tree_")
     return marked.select(*docs.columns, F.col("_tree_shard").alias("shard"))

@@ -51,6 +51,26 @@ def test_weights_and_confined_moves(spark):
     assert set(into) == {16} and into[16] == pytest.approx(40_000 / 17, rel=0.1)
 
 
+@pytest.mark.parametrize(("base", "most"), [(1, 40), (16, 40), (5, 12)])
+def test_every_further_shard_takes_rows_into_itself(spark, base, most):
+    ids = spark.range(6_000).withColumnRenamed("id", "doc_id")
+    key = ids["doc_id"].cast("string")
+    trees = [hash_tree.tree_of(n, base) for n in range(base, most + 1)]
+    assert all(hash_tree.grown(a) == b for a, b in zip(trees[:-1], trees[1:], strict=True))
+    before = None
+    for n, tree in enumerate(trees, base):
+        shard_of = {r.doc_id: r.shard for r in hash_tree.assign(ids, key, tree).select("doc_id", "shard").collect()}
+        assert set(shard_of.values()) == set(range(n))
+        assert before is None or all(shard_of[i] in (s, n - 1) for i, s in before.items())
+        before = shard_of
+
+
+def test_grown_shard_is_the_next_run(tricky):
+    for n in (3, 16, 17, 20):
+        now = {r.doc_id: r.grown_shard for r in hash_tree.shard_documents(tricky, n).collect()}
+        assert now == {r.doc_id: r.shard for r in hash_tree.shard_documents(tricky, n + 1).collect()}
+
+
 def test_place_keeps_columns(tricky):
     spread = hash_tree.place(tricky.drop("shard"))
     assert spread.columns == [*tricky.drop("shard").columns, "shard"] and spread.count() == tricky.count()
