@@ -167,44 +167,85 @@ def median_dwell(pairs: DataFrame) -> DataFrame:
     return table.select(A, F.col("quantile").alias("median_dwell_hours"))
 
 
-def partial_stats(txn: DataFrame, batch: str) -> DataFrame:
-    """Mergeable per-batch partials: what a stored daily or batch summary has to keep."""
+#: Size of the quantile sketch: ranks are off by at most 1.4 % of the rows for 99 of 100 sketches.
+SKETCH_K, SKETCH_ERROR = 200, 0.014
+_SUMS = ("n", "sum_cents", "sum_sq_cents")
+
+
+def partial_stats(txn: DataFrame, batch: str | None) -> DataFrame:
+    """Mergeable partials per account (and batch): counts, moments, extremes, distinct and quantile sketches."""
     c = S.cents(F.abs("amount"))
     wide = c.cast("decimal(20,0)")
-    return txn.groupBy(A, batch).agg(
+    return txn.groupBy(A, *([batch] if batch else [])).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(c).alias("sum_cents"),
         F.sum((wide * wide).cast("decimal(38,0)")).alias("sum_sq_cents"),
         F.min(c).alias("min_cents"),
         F.max(c).alias("max_cents"),
         F.hll_sketch_agg(F.col("counterparty_id").cast("string"), F.lit(14)).alias("cp_sketch"),
+        F.kll_sketch_agg_bigint(c, SKETCH_K).alias("amt_sketch"),
     )
 
 
-def merge_partials(partials: DataFrame) -> DataFrame:
-    """Final statistics from stored partials, independent of how rows were split into batches."""
+def combine_partials(partials: DataFrame) -> DataFrame:
+    """One row of partials per account. An account has as many rows as batches, whose sketches meet in one list."""
     merged = partials.groupBy(A).agg(
-        F.sum("n").alias("txn_count"),
-        F.sum("sum_cents").alias("_s"),
-        F.sum("sum_sq_cents").alias("_q"),
-        F.min("min_cents").alias("_min"),
-        F.max("max_cents").alias("_max"),
-        F.hll_sketch_estimate(F.hll_union_agg("cp_sketch")).alias("cp_estimate"),
+        *[F.sum(c).alias(c) for c in _SUMS],
+        F.min("min_cents").alias("min_cents"),
+        F.max("max_cents").alias("max_cents"),
+        F.hll_union_agg("cp_sketch").alias("cp_sketch"),
+        F.collect_list("amt_sketch").alias("_sketches"),
     )
-    n = F.col("txn_count")
-    spread = F.col("_q").cast("double") - F.col("_s").cast("double") * F.col("_s") / n
+    first, rest = F.element_at("_sketches", 1), F.slice("_sketches", 2, F.greatest(F.size("_sketches") - 1, F.lit(0)))
+    one = F.aggregate(rest, first, lambda have, more: F.kll_sketch_merge_bigint(have, more))
+    kinds = {f.name: f.dataType for f in partials.schema}
+    return merged.select(A, *[F.col(c).cast(kinds[c]).alias(c) for c in _SUMS], "min_cents", "max_cents", "cp_sketch", one.alias("amt_sketch"))
+
+
+def merge_partials(partials: DataFrame) -> DataFrame:
+    """Final statistics from stored partials.
+
+    Counts and moments do not depend on how rows were split into batches; distinct counts and quantiles are
+    estimates within the bounds of their sketches.
+    """
+    merged = combine_partials(partials)
+    n, s = F.col("n"), F.col("sum_cents")
+    spread = F.col("sum_sq_cents").cast("double") - s.cast("double") * s / n
+    quantile = lambda q: F.kll_sketch_get_quantile_bigint("amt_sketch", F.lit(q)) / 100
     return merged.select(
         A,
-        "txn_count",
-        (F.col("_s") / 100).alias("total_volume"),
-        (F.col("_s") / n / 100).alias("amt_mean"),
+        n.alias("txn_count"),
+        (s / 100).alias("total_volume"),
+        (s / n / 100).alias("amt_mean"),
         F.when(n > 1, F.sqrt(F.greatest(spread, F.lit(0.0)) / (n - 1)) / 100).alias("amt_std"),
-        (F.col("_min") / 100).alias("amt_min"),
-        (F.col("_max") / 100).alias("amt_max"),
-        "cp_estimate",
+        (F.col("min_cents") / 100).alias("amt_min"),
+        (F.col("max_cents") / 100).alias("amt_max"),
+        F.hll_sketch_estimate("cp_sketch").alias("cp_estimate"),
+        *[quantile(q).alias(f"amt_p{round(100 * q)}") for q in (0.25, 0.5, 0.9)],
     )
 
 
+def judged_estimates(merged: DataFrame, txn: DataFrame, q: str = "amt_p50", share: float = 0.5) -> DataFrame:
+    """Merged statistics with two flags: the estimated quantile and the distinct estimate are within their bounds.
+
+    A quantile is within its bound if the ranks of its value, ties included, come as near to ``share`` as the
+    sketch promises, give or take one row; a distinct estimate if it is off by 5 % and one at most.
+    """
+    c = S.cents(F.abs("amount"))
+    wanted = merged.select(A, S.cents(F.col(q)).alias("_at"))
+    rows = txn.select(A, c.alias("_c"), "counterparty_id")
+    sizes = txn.groupBy(A).agg(F.count(F.lit(1)).alias("n"))
+    ranked = lookup_by_key(rows, sizes.join(wanted, A), A)
+    exact = ranked.groupBy(A).agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if(F.col("_c") < F.col("_at")).alias("_below"), F.count_if(F.col("_c") <= F.col("_at")).alias("_upto"),
+        F.count_distinct("counterparty_id").alias("_cps"),
+    )
+    slack = SKETCH_ERROR * F.col("_n") + 1
+    near = (F.col("_below") - slack <= share * F.col("_n")) & (share * F.col("_n") <= F.col("_upto") + slack)
+    close = F.abs(F.col("cp_estimate") - F.col("_cps")) <= 0.05 * F.col("_cps") + 1
+    return merged.join(exact, A).withColumns({"median_within_bound": near.cast("int"), "distinct_within_bound": close.cast("int")})
+
+
 def mcc_global_stats(txn: DataFrame) -> DataFrame:
     """Mean and population std of absolute amounts per merchant category, with its row count."""
     a = F.abs("amount")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import datetime
+import os
+
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgersignal.operators import account as AC
 from ledgersignal.operators import sequence as SQ
@@ -29,10 +33,56 @@ def rows(df):
 
 def test_dwell_across_batches(parts):
     stream, batch, base = parts
-    got = LS.run_append(LS.stream_dwell(stream, 20), f"{base}/out", f"{base}/state")
+    got = LS.run_complete(stream, lambda txn: LS.stream_dwell(txn, 20), f"{base}/out", f"{base}/state")
     assert rows(got.select("account_id", "txn_id", "dwell_hours")) == rows(SQ.dwell_state_pairs(batch, 20).select("account_id", "txn_id", "dwell_hours"))
 
 
+LEDGER = "account_id long, txn_id long, ts timestamp_ntz, amount double, txn_type string"
+
+
+def ledger_stream(spark, folder, batches):
+    """One file, and so one micro-batch, per list of (hour, id, type)."""
+    for batch in batches:
+        table = spark.createDataFrame([(7, i, datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=h), 100.0, t) for h, i, t in batch], LEDGER)
+        table.coalesce(1).write.mode("append").parquet(folder)
+    return LS.read_parquet_stream(spark, folder, T._parse_datatype_string(LEDGER), "*.parquet", max_files=1)
+
+
+def test_dwell_of_rows_out_of_order(spark, scratch):
+    # The credit of hour 20 comes after the debit of hour 30, the debit of hour 21 when the watermark is behind it.
+    stream = ledger_stream(spark, f"{scratch}/in", [[(0, 1, "C"), (30, 4, "D")], [(20, 2, "C"), (28, 3, "C")], [(200, 5, "C")], [(21, 9, "D"), (210, 6, "D")]])
+    got = LS.run_complete(stream, lambda txn: LS.stream_dwell(txn, 50, longest=100, delay="24 hours"), f"{scratch}/out", f"{scratch}/state")
+    assert rows(got) == [(7, 2.0, 4), (7, 10.0, 6)]
+
+
+def test_dwell_state_expires(spark, scratch):
+    stream = ledger_stream(spark, f"{scratch}/in", [[(0, 1, "C")], [(90, 2, "C")], [(301, 3, "D"), (302, 4, "C")]])
+    got = LS.run_complete(stream, lambda txn: LS.stream_dwell(txn, 50, longest=100, delay="1 hour"), f"{scratch}/out", f"{scratch}/state")
+    assert rows(got) == []
+    state = spark.read.format("statestore").option("stateVarName", "last").load(f"{scratch}/state")
+    assert state.count() == 0
+
+
+def test_open_windows_come_at_the_end(parts):
+    stream, batch, base = parts
+    got = LS.run_complete(stream, LS.stream_daily_volume, f"{base}/out", f"{base}/state")
+    daily = AC.daily_series(batch)
+    assert rows(got.select("account_id", "day_no", "v", "n")) == rows(daily.select("account_id", "day_no", "v", "n"))
+
+
+def test_a_batch_run_again_changes_nothing(spark, parts):
+    stream, batch, base = parts
+    state = LS.merge_batches(stream, f"{base}/out", f"{base}/state")
+    assert state.count() == batch.select("account_id").distinct().count()
+    before = rows(state.drop("cp_sketch", "amt_sketch"))
+    # The commit of the last batch is lost, so it runs again.
+    last = max(int(n) for n in os.listdir(f"{base}/state/commits") if n.isdigit())
+    for name in (f"{last}", f".{last}.crc"):
+        os.remove(f"{base}/state/commits/{name}")
+    again = LS.merge_batches(stream, f"{base}/out", f"{base}/state")
+    assert rows(again.drop("cp_sketch", "amt_sketch")) == before
+
+
 def test_partials_of_batches_merge_to_exact_results(parts):
     stream, batch, base = parts
     merged = AC.merge_partials(LS.merge_batches(stream, f"{base}/out", f"{base}/state"))
