@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgersignal.functions import scalars as S
 from ledgersignal.operators import account as AC
+from ledgersignal.operators import passthrough as PT
 from ledgersignal.operators import ranking as RK
 from ledgersignal.operators import sequence as SQ
 from ledgersignal.operators import windows as WI
@@ -179,6 +180,23 @@ def _(spark, sf):
     return SQ.passthrough_pairs(AD.event_ledger(spark, sf))
 
 
+# Credits are served one after the other; a debit once taken is in the list that goes along.
+@query("passthrough_matches", i="account_id txn_id debit_txn_id", d="passthrough_hours", sql="WITH RECURSIVE " + ", ".join([O.EVENTS, """
+  numbered AS (SELECT account_id, k1, ts, c, row_number() OVER (PARTITION BY account_id ORDER BY ts, k1) AS i FROM ledger WHERE txn_type = 'C'),
+  served AS (
+    SELECT account_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS txn_id, CAST(NULL AS BIGINT) AS debit, CAST([] AS BIGINT[]) AS used FROM numbered WHERE i = 1
+    UNION ALL
+    SELECT account_id, i, txn_id, debit, CASE WHEN debit IS NULL THEN used ELSE list_append(used, debit) END FROM (
+      SELECT n.account_id, n.i, n.k1 AS txn_id, s.used, (SELECT arg_min(d.k1, struct_pack(t := d.ts, k := d.k1)) FROM ledger d
+        WHERE d.account_id = n.account_id AND d.txn_type = 'D' AND (d.ts > n.ts OR (d.ts = n.ts AND d.k1 > n.k1)) AND epoch_us(d.ts) - epoch_us(n.ts) <= 48 * 3600000000
+          AND abs(d.c - n.c) * 10000 <= 2500 * n.c AND NOT list_contains(s.used, d.k1)) AS debit
+      FROM served s JOIN numbered n ON n.account_id = s.account_id AND n.i = s.i + 1))"""]) + """
+  SELECT s.account_id, s.txn_id, s.debit AS debit_txn_id, (epoch_us(d.ts) - epoch_us(c.ts)) / 3.6e9 AS passthrough_hours
+  FROM served s JOIN ledger c ON c.k1 = s.txn_id JOIN ledger d ON d.k1 = s.debit""")
+def _(spark, sf):
+    return PT.passthrough_matches(AD.event_ledger(spark, sf), tol=0.25)
+
+
 # ---- account aggregates --------------------------------------------------------------------
 
 @query("core_stats", i="account_id txn_count", d="total_volume amt_mean amt_std amt_max", sql=W("SELECT * FROM core", O.LEDGER, O.CORE))
