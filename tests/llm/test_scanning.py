@@ -5,11 +5,13 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import pytest
 from conftest_rows import pairs
+from pyspark.sql import functions as F
 
 from ledgersignal.llm import assignments, diagonals, trie_counts
 
@@ -160,6 +162,19 @@ def test_items_found_as_by_full_alignment(spark):
             assert edits(dict(items)[p.item_id], text[p.start : p.end]) == p.edits <= made.budgets[p.item_id]
 
 
+@pytest.mark.parametrize("cells", [1, 50, 10**6])
+def test_slices_of_counting_change_nothing(monkeypatch, cells):
+    items, texts = planted(random.Random(9))
+    items += [(70 + i, ("ab" * 40)[: 30 + i]) for i in range(5)]
+    texts += ["ab" * 300, "a" * 500, "x" + "ab" * 20 + "c" + "ab" * 30]
+    prepared = diagonals.prepare(items)
+    whole = diagonals.search(texts, prepared)
+    monkeypatch.setattr(diagonals, "SLICE_CELLS", cells)
+    monkeypatch.setattr(diagonals, "RUN", 7)
+    monkeypatch.setattr(diagonals, "CHUNK_CHARS", 40)
+    assert diagonals.search(texts, prepared) == whole
+
+
 def test_blocks_and_chunks_change_nothing(spark, monkeypatch):
     items, texts = planted(random.Random(7))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
@@ -171,6 +186,55 @@ def test_blocks_and_chunks_change_nothing(spark, monkeypatch):
     assert shape(diagonals.find_items(docs, bench)) == whole
 
 
+def peak_mb(work):
+    tracemalloc.start()
+    work()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return peak / 1e6
+
+
+@pytest.mark.parametrize("unit", ["-", "ab", "-=x"])
+def test_repeated_characters_are_counted_in_bounded_memory(unit):
+    rng = random.Random(3)
+    rule = (unit * 60)[:60]
+    items = [(i, rule + "".join(rng.choice("abcdefgh ") for _ in range(160))) for i in range(60)] + [(900, (unit * 800)[:800])]
+    prepared = diagonals.prepare(items)
+    text = (unit * 20_000)[:20_000] + items[17][1] + (unit * 5_000)[:5_000]
+    found = []
+    assert peak_mb(lambda: found.extend(diagonals.search([text, "nothing"], prepared))) < 700
+    assert {p[0] for p in found[0]} == {17, 900} and (17, 20_000, 20_220, 0) in found[0] and found[1] == []
+
+
+def test_runs_count_as_pairs_do():
+    """Cells counted from runs equal cells counted pair by pair."""
+    for m, n in [(1, 1), (3, 1), (1, 4), (5, 3), (4, 9), (7, 7)]:
+        pairs_of = Counter(i - j for i in range(m) for j in range(n))
+        x = np.arange(-n - 2, m + 3)
+        want = [sum(c for d, c in pairs_of.items() if d <= v) for v in x]
+        assert list(diagonals._pairs_upto(x, np.full(len(x), m), np.full(len(x), n))) == want
+
+
+def test_one_very_long_text_is_hashed_in_pieces():
+    rng = random.Random(8)
+    item = "".join(rng.choice("abcdefghij ") for _ in range(230))
+    words = "".join(rng.choice("klmnopqrstuvwxyz ") for _ in range(100_000))
+    text = words * 100 + item[:100] + "?" + item[101:] + words * 100
+    prepared = diagonals.prepare([(1, item), (2, "é" + item[::-1])])
+    found = []
+    assert peak_mb(lambda: found.extend(diagonals.search([text], prepared))) < 250
+    assert found == [[(1, 10_000_000, 10_000_230, 1)]]
+
+
+def test_many_items_in_blocks(spark):
+    bench = spark.range(100_000).select(F.col("id").alias("item_id"), F.concat_ws(" ", F.md5(F.col("id").cast("string")), F.sha1(F.col("id").cast("string"))).alias("text"))
+    texts = bench.filter("item_id % 20000 = 7").select(F.col("item_id").alias("doc_id"), F.concat(F.lit("so "), "text", F.lit(" it is")).alias("text"))
+    docs = texts.unionByName(spark.createDataFrame([(-1, "none of them"), (-2, None)], "doc_id long, text string"))
+    got = {r.doc_id: list(r["items"]) for r in diagonals.find_items(docs, bench, block_chars=3_000_000).collect()}
+    assert got == {**{i: [i] for i in (7, 20_007, 40_007, 60_007, 80_007)}, -1: [], -2: []}
+    assert {r.doc_id for r in diagonals.keep_uncontaminated(docs, bench, block_chars=3_000_000).collect()} == {-1, -2}
+
+
 def test_case_of_items_does_not_count(spark):
     """Items in other case are found where they are in the text, also beside letters whose folding has another length."""
     items = [(1, "The quick brown fox jumps over the lazy dog near the river"), (2, "Ὁ σκύλος κοιμάται στο σπίτι ΚΑΙ Περιμένει"), (3, "Été aB")]
