@@ -10,8 +10,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
-from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -21,7 +21,9 @@ from ledgersignal.llm.common import small_batches, whole_text
 from ledgersignal.session import cut_lineage
 
 #: A run has at least so many sentences and so many words, or is long in words, be it one sentence.
-SENTENCES, WORDS, LONG = 2, 15, 25
+SENTENCES, WORDS, LONG = 2, 25, 25
+#: It has at least so many different words, or so many words that it counts whatever they are.
+DIFFERENT, ANY = 14, 50
 SENTENCE = re.compile(r"[^.!?…\n]*(?:[.!?…]+(?![\s\"'”»)\]])[^.!?…\n]*)*(?:[.!?…]+[\"'”»)\]]*|\n|$)\s*")
 NO_ID = 2**63 - 1  # rows without id come after all others
 
@@ -34,31 +36,56 @@ def sentence_bounds(text: str) -> list[int]:
     return [*bounds, len(text)] if bounds else [0]
 
 
+class _Stretch:
+    """Words of a moving stretch of sentences."""
+
+    def __init__(self, parts: list[list[str]]):
+        self.parts, self.size, self.counts = parts, 0, Counter()
+
+    def add(self, sentence: int) -> None:
+        self.size += len(self.parts[sentence])
+        self.counts.update(self.parts[sentence])
+
+    def drop(self, sentence: int) -> None:
+        self.size -= len(self.parts[sentence])
+        for word in self.parts[sentence]:
+            self.counts[word] -= 1
+            if not self.counts[word]:
+                del self.counts[word]
+
+    def enough(self, sentences: int, least: int, words: int, long: int) -> bool:
+        if self.size >= ANY:
+            return True
+        return len(self.counts) >= DIFFERENT and (self.size >= long or (sentences >= least and self.size >= words))
+
+
 def runs_of(text: str, bounds: list[int], sentences: int = SENTENCES, words: int = WORDS, long: int = LONG) -> list[Run]:
     """The shortest runs that are long enough, from every sentence and up to every sentence, in order.
 
-    White space does not count. What any longer run covers is covered by the runs of these that lie in it.
+    White space does not count. A run that holds a run that is enough is enough as well, so what any longer run
+    covers is covered by the runs of these that lie in it.
     """
     parts = [text[a:b].split() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
     joined = [" ".join(p).encode("utf-8", "replace") for p in parts]
-    totals = [0, *accumulate(map(len, parts))]
-
-    def enough(start: int, end: int) -> bool:
-        size = totals[end] - totals[start]
-        return size >= long or (end - start >= sentences and size >= words)
-
-    runs, end = set(), 1
-    for start in range(len(parts)):
-        while end <= len(parts) and not enough(start, end):
+    runs, end, ahead = set(), 0, _Stretch(parts)
+    for start in range(len(parts)):  # from every sentence
+        while end < len(parts) and not ahead.enough(end - start, sentences, words, long):
+            ahead.add(end)
             end += 1
-        if end > len(parts):
+        if not ahead.enough(end - start, sentences, words, long):
             break
         runs.add((start, end))
-    start = 0
-    for end in range(1, len(parts) + 1):
-        while enough(start + 1, end):
+        ahead.drop(start)
+    start, behind = 0, _Stretch(parts)
+    for end in range(1, len(parts) + 1):  # up to every sentence
+        behind.add(end - 1)
+        while start < end:
+            behind.drop(start)
+            if not behind.enough(end - start - 1, sentences, words, long):
+                behind.add(start)
+                break
             start += 1
-        if enough(start, end):
+        if behind.enough(end - start, sentences, words, long):
             runs.add((start, end))
     return [(a, b, hashlib.blake2b(b"\n".join(joined[a:b]), digest_size=16).digest()) for a, b in sorted(runs)]
 
@@ -67,7 +94,7 @@ def _keys() -> list[Column]:
     """Document number, a mark that tells texts with the same id apart, and the text."""
     return [
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"),
-        (F.crc32(whole_text().cast("binary")) - 2**31).cast("int").alias("mark"),
+        F.xxhash64(whole_text()).alias("mark"),
         whole_text().alias("text"),
     ]
 
@@ -89,7 +116,7 @@ def all_runs(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS, lo
                     rows = []
             yield pd.DataFrame(rows, columns=["a", "b", "doc", "mark", "start", "end", "again"])
 
-    return docs.select(*_keys()).mapInPandas(find, "a long, b long, doc long, mark int, start int, end int, again boolean")
+    return docs.select(*_keys()).mapInPandas(find, "a long, b long, doc long, mark long, start int, end int, again boolean")
 
 
 def dedup_spans(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS, long: int = LONG) -> DataFrame:

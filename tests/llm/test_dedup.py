@@ -105,7 +105,7 @@ def test_sentences(tricky):
 def sentences_covered(rows, enough):
     """Removed sentences of each row, by all runs of consecutive sentences, whatever their length."""
     parts = [[tuple(t[a:b].split()) for a, b in zip(s[:-1], s[1:], strict=True)] for t, s in ((t, sentence_spans.sentence_bounds(t)) for _, t in rows)]
-    runs = [[(a, b) for a in range(len(p)) for b in range(a + 1, len(p) + 1) if enough(b - a, sum(map(len, p[a:b])))] for p in parts]
+    runs = [[(a, b) for a in range(len(p)) for b in range(a + 1, len(p) + 1) if enough(b - a, [w for s in p[a:b] for w in s])] for p in parts]
     first = {}
     for (i, _), p, of in zip(rows, parts, runs, strict=True):
         for a, b in of:
@@ -137,6 +137,19 @@ def removed_sentences(rows, got):
     return out
 
 
+def counts(n, words):
+    return len(words) >= 50 or (len(words) >= 25 and len(set(words)) >= 14)
+
+
+def test_lines_of_one_word_need_a_long_run(spark):
+    """Junk lines are no repeated passage until there are as many as a passage has words."""
+    rows = [(0, "of.\n" * 30), (1, "of.\n" * 30), (2, "be.\n" * 60), (3, "be.\n" * 70), (4, "a b c. " * 9), (5, " ".join(f"w{k}" for k in range(25)) + ".")]
+    rows += [(6, "Now. " + rows[5][1]), (7, "be.\n" * 49)]
+    got = {r.doc_id: r.n_removed for r in sentence_spans.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = sentences_covered(rows, counts)
+    assert got == {i: len(gone) for i, gone in want.items()} == {0: 0, 1: 0, 2: 59, 3: 70, 4: 0, 5: 0, 6: 1, 7: 0}
+
+
 def short_sentence_rows():
     """Shared passages that end, or begin, in short sentences, at borders and inside of texts."""
     rng = random.Random(9)
@@ -156,22 +169,25 @@ def test_whole_runs_go_with_short_ends(spark):
     rows = short_sentence_rows()
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {r.doc_id: r.text for r in sentence_spans.dedup_spans(docs, 3, 15, 10**9).collect()}
-    want = sentences_covered(rows, lambda n, words: n >= 3 and words >= 15)
+    want = sentences_covered(rows, lambda n, words: len(words) >= 50 or (n >= 3 and len(words) >= 15 and len(set(words)) >= 14))
     assert removed_sentences(rows, got) == want and want[5][-6:] != [] and any(len(v) > 5 for v in want.values())
 
 
 def test_passages_of_one_or_two_long_sentences(spark):
     """Two sentences are a run, and so is one with many words; what begins and ends inside sentences loses those between."""
     line = lambda c, n: " ".join(f"{c}{k}" for k in range(n)) + ". "
-    one, two, below, middle = line("a", 60), line("b", 30) + line("c", 22), line("d", 24), line("e", 9) + line("f", 8)
+    one, two, below, middle = line("a", 60), line("b", 14) + line("c", 12), line("d", 24), line("e", 9) + line("f", 8)
     rows = [(0, "".join([line("g", 5), one, line("h", 6), two, line("i", 7), below, line("j", 3), "cut " + middle + "cut off."]))]
     rows += [(k, line(f"{k}x", 5 + k) + passage + line(f"{k}y", 4)) for k, passage in enumerate([one, two, below, "other " + middle + "other end."], 1)]
     got = {r.doc_id: r.text for r in sentence_spans.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
-    assert removed_sentences(rows, got) == sentences_covered(rows, lambda n, words: words >= 25 or (n >= 2 and words >= 15))
+    assert removed_sentences(rows, got) == sentences_covered(rows, counts)
     assert removed_sentences(rows, got) == {0: [], 1: [1], 2: [1, 2], 3: [], 4: []}
     rows = short_sentence_rows()
     got = {r.doc_id: r.text for r in sentence_spans.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert removed_sentences(rows, got) == sentences_covered(rows, lambda n, words: words >= 25 or (n >= 2 and words >= 15))
+    gone = sentences_covered(rows, counts)
+    for i, t in rows:
+        bounds = sentence_spans.sentence_bounds(t)
+        assert got[i] == "".join(t[a:b] for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if k not in gone[i])
 
 
 def test_sentence_bounds():
