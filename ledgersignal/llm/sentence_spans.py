@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -36,29 +37,6 @@ def sentence_bounds(text: str) -> list[int]:
     return [*bounds, len(text)] if bounds else [0]
 
 
-class _Stretch:
-    """Words of a moving stretch of sentences."""
-
-    def __init__(self, parts: list[list[str]]):
-        self.parts, self.size, self.counts = parts, 0, Counter()
-
-    def add(self, sentence: int) -> None:
-        self.size += len(self.parts[sentence])
-        self.counts.update(self.parts[sentence])
-
-    def drop(self, sentence: int) -> None:
-        self.size -= len(self.parts[sentence])
-        for word in self.parts[sentence]:
-            self.counts[word] -= 1
-            if not self.counts[word]:
-                del self.counts[word]
-
-    def enough(self, sentences: int, least: int, words: int, long: int) -> bool:
-        if self.size >= ANY:
-            return True
-        return len(self.counts) >= DIFFERENT and (self.size >= long or (sentences >= least and self.size >= words))
-
-
 def runs_of(text: str, bounds: list[int], sentences: int = SENTENCES, words: int = WORDS, long: int = LONG) -> list[Run]:
     """The shortest runs that are long enough, from every sentence and up to every sentence, in order.
 
@@ -67,26 +45,27 @@ def runs_of(text: str, bounds: list[int], sentences: int = SENTENCES, words: int
     """
     parts = [text[a:b].split() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
     joined = [" ".join(p).encode("utf-8", "replace") for p in parts]
-    runs, end, ahead = set(), 0, _Stretch(parts)
-    for start in range(len(parts)):  # from every sentence
-        while end < len(parts) and not ahead.enough(end - start, sentences, words, long):
-            ahead.add(end)
+    totals = [0, *accumulate(map(len, parts))]
+    n = len(parts)
+
+    def various(start: int, end: int) -> bool:
+        return totals[end] - totals[start] >= ANY or len(set().union(*parts[start:end])) >= DIFFERENT
+
+    runs = set()
+    for start in range(n):  # from every sentence: the first end with enough words, and on until they differ
+        end = min(bisect_left(totals, totals[start] + long), max(start + sentences, bisect_left(totals, totals[start] + words)))
+        while end <= n and not various(start, end):
             end += 1
-        if not ahead.enough(end - start, sentences, words, long):
+        if end > n:
+            break
+        runs.add((start, end))
+    for end in range(n, 0, -1):  # up to every sentence
+        start = max(bisect_right(totals, totals[end] - long), min(end - sentences + 1, bisect_right(totals, totals[end] - words))) - 1
+        while start >= 0 and not various(start, end):
+            start -= 1
+        if start < 0:
             break
         runs.add((start, end))
-        ahead.drop(start)
-    start, behind = 0, _Stretch(parts)
-    for end in range(1, len(parts) + 1):  # up to every sentence
-        behind.add(end - 1)
-        while start < end:
-            behind.drop(start)
-            if not behind.enough(end - start - 1, sentences, words, long):
-                behind.add(start)
-                break
-            start += 1
-        if behind.enough(end - start, sentences, words, long):
-            runs.add((start, end))
     return [(a, b, hashlib.blake2b(b"\n".join(joined[a:b]), digest_size=16).digest()) for a, b in sorted(runs)]
 
 
