@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.base import Estimator
@@ -11,13 +12,13 @@ from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, Log
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgersignal.functions.scalars import total_of
 from ledgersignal.operators import evaluate
+from ledgersignal.operators.isotonic import apply_isotonic, fit_isotonic
 from ledgersignal.operators.ranking import rank_columns
 from ledgersignal.session import cut_lineage
 
@@ -153,17 +154,26 @@ def stack(df: DataFrame, columns: Sequence[str], k: int, y: str = "is_mule", nam
 
 
 def calibrate_isotonic(df: DataFrame, score: str, y: str = "is_mule", name: str = "calibrated") -> DataFrame:
-    """Monotone score-to-rate mapping; equal scores are merged into one weighted point first."""
-    points = df.groupBy(F.col(score).alias("_x")).agg(F.avg(F.col(y).cast("double")).alias("label"), F.count(F.lit(1)).cast("double").alias("weight"))
-    model = IsotonicRegression(featuresCol="_x", labelCol="label", weightCol="weight", predictionCol=name).fit(points)
-    return model.transform(df.withColumn("_x", F.col(score).cast("double"))).drop("_x")
+    """Monotone score-to-rate mapping, fitted on and applied to the same rows."""
+    return apply_isotonic(df, score, fit_isotonic(df, score, y), name)
+
+
+def calibrate_oof(df: DataFrame, score: str, k: int, y: str = "is_mule", name: str = "calibrated") -> DataFrame:
+    """Every fold is mapped by the fit of the other folds, so that a row's own label never enters its score."""
+    parts = [apply_isotonic(df.filter(F.col("fold") == i), score, fit_isotonic(df.filter(F.col("fold") != i), score, y), name) for i in range(k)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def best_by_auc(df: DataFrame, columns: Sequence[str], y: str = "is_mule") -> str:
-    """Name of the candidate score with the highest AUC (first wins ties)."""
-    evaluator = lambda c: BinaryClassificationEvaluator(rawPredictionCol=c, labelCol="_y", numBins=0)
-    data = df.select(*[F.col(c).cast("double").alias(c) for c in columns], F.col(y).cast("double").alias("_y"))
-    return max(columns, key=lambda c: evaluator(c).evaluate(data))
+    """Name of the candidate score with the highest exact AUC (first wins ties)."""
+    aucs = {c: evaluate.auc(df, c, y).first()["auc"] for c in columns}
+    return max(columns, key=aucs.__getitem__)
+
+
+def choose_by_auc(df: DataFrame, columns: Sequence[str], y: str = "is_mule", name: str = "score") -> DataFrame:
+    """(account, label, chosen score, name of the choice): the candidate with the highest AUC."""
+    best = best_by_auc(df, columns, y)
+    return df.select(A, y, F.col(best).alias(name), F.lit(best).alias("choice"))
 
 
 def two_stage_funnel(df: DataFrame, stage1: str, features: Sequence[str], make: Callable[[], Estimator], gate: float = 0.15, k: int = 3, y: str = "is_mule") -> DataFrame:

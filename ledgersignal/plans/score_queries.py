@@ -213,11 +213,24 @@ def _(spark, sf):
     return SC.stack(EN.stratified_folds(three_scores(spark, sf), FOLDS), ["m1", "m2", "m3"], FOLDS)
 
 
-@query("calibrated_scores", i="account_id", d="calibrated")
+# Least means of all runs that begin at or below a score, greatest of them: the min-max form of the monotone fit.
+@query("calibrated_scores", i="account_id", d="calibrated", sql=W("""
+  SELECT account_id, rate AS calibrated FROM scores JOIN points USING (score) JOIN (SELECT i, max(least_mean) AS rate FROM run_means GROUP BY i) USING (i)""",
+    O.SCORES, "points AS (SELECT score, n, pos, row_number() OVER (ORDER BY score) AS i, sum(n) OVER (ORDER BY score) AS cn, sum(pos) OVER (ORDER BY score) AS cp FROM (SELECT score, count(*) AS n, sum(is_mule) AS pos FROM scores GROUP BY score))",
+    "run_means AS (SELECT b.i, min((b.cp - a.cp + a.pos) / (b.cn - a.cn + a.n)) OVER (PARTITION BY a.i ORDER BY b.i DESC) AS least_mean FROM points a JOIN points b ON a.i <= b.i)"))
 def _(spark, sf):
     return SC.calibrate_isotonic(three_scores(spark, sf), "m1")
 
 
+@query("chosen_scores", i="account_id", d="score", s="choice")
+def _(spark, sf):
+    """The best of the mean, its out-of-fold calibration, the stacked score and the mean rank."""
+    names = ["m1", "m2", "m3"]
+    table = cut_lineage(SC.blend(EN.stratified_folds(three_scores(spark, sf), FOLDS), dict.fromkeys(names, 1 / 3), "mean"))
+    joined = SC.calibrate_oof(table, "mean", FOLDS).join(SC.stack(table, names, FOLDS), A).join(SC.rank_average(table, names), A)
+    return SC.choose_by_auc(cut_lineage(joined), ["mean", "calibrated", "stacked", "rank_average"])
+
+
 @query("two_stage_funnel", i="account_id is_mule", d="funnel_score")
 def _(spark, sf):
     table = model_table(spark, sf).join(AD.scores(spark, sf).select(A, "score"), A)
