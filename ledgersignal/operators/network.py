@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ledgersignal.functions.scalars import cents
 from ledgersignal.operators.ranking import ordinal_rank
 from ledgersignal.operators.skew import MAX_HOT_KEYS, MIN_HOT_ROWS, fetch_hot, lookup_by_key, salted_join
+from ledgersignal.operators.triangles import CELL_EDGES, triangle_counts
 from ledgersignal.session import cut_lineage
 
 A = "account_id"
@@ -113,27 +114,15 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, max_iter: int = 500, tol: fl
     return graph.finish(ranks.select("node", F.col("rank").alias("pagerank")))
 
 
-def clustering(edges: DataFrame, **hot) -> DataFrame:
+def clustering(edges: DataFrame, cell_edges: int = CELL_EDGES, **hot) -> DataFrame:
     """Local clustering coefficient: (node, degree, triangles, clustering).
 
-    Every edge points from the smaller to the larger (degree, id), which keeps each out-list below
-    sqrt(2 * edges) entries. Third corners come from intersecting two out-lists. Each list travels once per
-    out-edge, so the shuffled volume is the sum of squared out-degrees, at most edges * sqrt(2 * edges).
+    Triangles are counted in cells of three colours (see ``triangles``), so the shuffled rows are edges times
+    colours, the root of 6 * edges / ``cell_edges``, and no list or wedge of a node is shipped.
     """
-    adj = cut_lineage(undirected(edges).select("src", "dst"))
-    deg = adj.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
-    by = lambda side: deg.select(F.col("node").alias(side), F.col("degree").alias(f"{side}_deg"), F.col("degree").alias("n"))
-    marked = lookup_by_key(lookup_by_key(adj, by("src"), "src", **hot), by("dst"), "dst", **hot)
-    forward = F.struct("src_deg", "src") < F.struct("dst_deg", "dst")
-    oriented = cut_lineage(marked.filter(forward).select("src", "dst"))
-    lists = oriented.groupBy("src").agg(F.collect_list("dst").alias("out"))
-    left = lists.select("src", F.explode("out").alias("dst"), "out")
-    indegree = oriented.groupBy("dst").agg(F.count(F.lit(1)).alias("n"))
-    right = indegree.join(lists.select(F.col("src").alias("dst"), F.col("out").alias("out2")), "dst")
-    closed = lookup_by_key(left, right, "dst", how="inner", small=False, **hot).withColumn("third", F.explode(F.array_intersect("out", "out2")))
-    corners = closed.select(F.explode(F.array("src", "dst", "third")).alias("node"))
-    triangles = corners.groupBy("node").agg(F.count(F.lit(1)).alias("triangles"))
-    out = deg.join(triangles, "node", "left").fillna(0, subset=["triangles"])
+    pairs = cut_lineage(edges.filter(F.col("src") != F.col("dst")).select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct())
+    deg = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree")))
+    out = deg.join(triangle_counts(pairs, deg, cell_edges, **hot), "node", "left").fillna(0, subset=["triangles"])
     d = F.col("degree")
     return out.withColumn("clustering", F.when(d >= 2, 2 * F.col("triangles") / (d * (d - 1))).otherwise(F.lit(0.0)))
 

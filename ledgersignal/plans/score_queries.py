@@ -240,7 +240,7 @@ def _(spark, sf):
 @query("learned_dampen", i="account_id", d="dampened")
 def _(spark, sf):
     table = signal_table(spark, sf).join(three_scores(spark, sf).select(A, "m1", F.col("m1").alias("oof")), A)
-    names = ["multi_signal_count", "signal_consistency", "signal_variance", "near_threshold_pct"]
+    names = [c for c in numeric_features(table) if c not in ("m1", "oof")]
     return SC.learned_dampen(table, names, "m1", 0.5, SC.estimators()["forest"])
 
 
