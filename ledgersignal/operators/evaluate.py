@@ -129,8 +129,15 @@ def feature_quality(feat: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def corr_with_target(feat: DataFrame, y: str, columns: Sequence[str], k: int | None = None) -> DataFrame:
-    """Absolute Pearson correlation with the label, strongest first."""
-    row = feat.agg(*[F.corr(F.col(x).cast("double"), F.col(y).cast("double")).alias(f"c_{x}") for x in columns])
+    """Absolute Pearson correlation with the label, strongest first; NULL for a constant column."""
+    label = F.col(y).cast("double")
+
+    def corr(x: str) -> Column:
+        value = F.col(x).cast("double")
+        spread = F.stddev_pop(F.when(label.isNotNull(), value)) * F.stddev_pop(F.when(value.isNotNull(), label))
+        return F.try_divide(F.covar_pop(value, label), spread)
+
+    row = feat.agg(*[corr(x).alias(f"c_{x}") for x in columns])
     out = _unpivot(row, ["c_"], columns, ["_c"]).select("feature", F.abs("_c").alias("abs_corr"))
     return out.orderBy(F.col("abs_corr").desc_nulls_last(), "feature").limit(k) if k else out
 

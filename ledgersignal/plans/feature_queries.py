@@ -8,7 +8,8 @@ from ledgersignal.operators import derived as DE
 from ledgersignal.operators import encode as EN
 from ledgersignal.operators import evaluate as EV
 from ledgersignal.plans import oracle_parts as O
-from ledgersignal.plans.feature_table import encoded_labels, features, signal_table, stored_features
+from ledgersignal.plans.bank_features import numeric_features
+from ledgersignal.plans.feature_table import ALL_GROUPS, encoded_labels, features, signal_table, stored_features
 from ledgersignal.plans.registry import query
 from ledgersignal.sources import adapters as AD
 
@@ -209,28 +210,29 @@ def _(spark, sf):
     return DE.alert_taxonomy(cust.select(F.try_element_at(reasons, (F.col("c_custkey") % 17 + 1).cast("int")).alias("alert_reason")))
 
 
-QUALITY = ("txn_count", "median_dwell_hours", "gap_cv", "days_to_first_large")
+# ---- reports over every feature column -----------------------------------------------------
 
+# Long form of the whole table: all columns but the keys and labels, as in numeric_features.
+LONG = """wide AS (SELECT account_id, is_mule AS label, CAST(COLUMNS(* EXCLUDE (account_id, is_mule, is_test, branch_mule_rate, first_large_ts, n)) AS DOUBLE), CAST(geo_spread_lat + geo_spread_lon AS DOUBLE) AS geo_spread_total FROM feat),
+long AS (SELECT label, feature, value FROM wide UNPIVOT INCLUDE NULLS (value FOR feature IN (COLUMNS(* EXCLUDE (account_id, label)))))"""
 
-@query("feature_quality", i="mostly_null complete", d="null_share", s="feature", sql=W(" UNION ALL ".join(f"SELECT '{c}' AS feature, avg(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) AS null_share, CAST(avg(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) > 0.5 AS INT) AS mostly_null, CAST(count({c}) = count(*) AS INT) AS complete FROM feat" for c in QUALITY), *O.feature_ctes("core", "dwell", "gaps", "life")))
-def _(spark, sf):
-    return EV.feature_quality(features(spark, sf, ("core", "dwell", "gaps", "life")), QUALITY)
-
-
-CORR = ("txn_count", "total_volume", "degree_centrality", "gap_cv", "near_threshold_pct")
-CORR_GROUPS = ("core", "behaviour", "distinct", "gaps")
 
+def report(name, body, build, **columns):
+    @query(name, **columns, s="feature", sql=W(body, *O.feature_ctes(*ALL_GROUPS), LONG))
+    def _(spark, sf):
+        feat = stored_features(spark, sf)
+        return build(feat, numeric_features(feat))
 
-@query("corr_with_target", d="abs_corr", s="feature", sql=W("SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, abs(corr({c}, is_mule)) AS abs_corr FROM feat" for c in CORR) + ") ORDER BY abs_corr DESC LIMIT 4", *O.feature_ctes(*CORR_GROUPS)))
-def _(spark, sf):
-    return EV.corr_with_target(features(spark, sf, CORR_GROUPS), "is_mule", CORR, 4)
 
+report("feature_quality", """SELECT feature, avg(CASE WHEN value IS NULL THEN 1 ELSE 0 END) AS null_share, CAST(avg(CASE WHEN value IS NULL THEN 1 ELSE 0 END) > 0.5 AS INT) AS mostly_null,
+  CAST(count(value) = count(*) AS INT) AS complete FROM long GROUP BY feature""", EV.feature_quality, i="mostly_null complete", d="null_share")
 
-@query("class_ratio_report", i="strong", d="mule_mean other_mean ratio", s="feature", sql=W("SELECT *, CAST(abs(ratio - 1) > 0.15 AS INT) AS strong FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, avg({c}) FILTER (is_mule = 1) AS mule_mean, avg({c}) FILTER (is_mule = 0) AS other_mean, avg({c}) FILTER (is_mule = 1) / avg({c}) FILTER (is_mule = 0) AS ratio FROM feat" for c in CORR) + ")", *O.feature_ctes(*CORR_GROUPS)))
-def _(spark, sf):
-    return EV.class_ratio_report(features(spark, sf, CORR_GROUPS), "is_mule", CORR)
+report("corr_with_target", "SELECT feature, abs(corr(value, label)) AS abs_corr FROM long GROUP BY feature",
+    lambda feat, names: EV.corr_with_target(feat, "is_mule", names), d="abs_corr")
 
+report("class_ratio_report", """SELECT *, coalesce(CAST(abs(ratio - 1) > 0.15 AS INT), 1) AS strong FROM (SELECT *, CASE WHEN other_mean > 0 THEN mule_mean / other_mean END AS ratio
+  FROM (SELECT feature, avg(value) FILTER (label = 1) AS mule_mean, avg(value) FILTER (label = 0) AS other_mean FROM long GROUP BY feature))""",
+    lambda feat, names: EV.class_ratio_report(feat, "is_mule", names), i="strong", d="mule_mean other_mean ratio")
 
-@query("describe_features", i="n", d="mean std min max p25 p50 p75", s="feature", sql=W(" UNION ALL ".join(f"SELECT '{c}' AS feature, count({c}) AS n, avg({c}) AS mean, stddev_samp({c}) AS std, min({c}) AS min, max({c}) AS max, quantile_cont({c}, 0.25) AS p25, quantile_cont({c}, 0.5) AS p50, quantile_cont({c}, 0.75) AS p75 FROM feat" for c in CORR), *O.feature_ctes(*CORR_GROUPS)))
-def _(spark, sf):
-    return EV.describe(stored_features(spark, sf, CORR_GROUPS), CORR)
+report("describe_features", """SELECT feature, count(value) AS n, avg(value) AS mean, stddev_samp(value) AS std, min(value) AS min, max(value) AS max, quantile_cont(value, 0.25) AS p25,
+  quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.75) AS p75 FROM long GROUP BY feature""", EV.describe, i="n", d="mean std min max p25 p50 p75")
