@@ -266,6 +266,17 @@ def _(spark, sf):
     return SC.probability(model.transform(data), "score")
 
 
+@query("halving_scores", i="account_id", d="score")
+def _(spark, sf):
+    """Nine random forests by successive halving over growing numbers of trees; the winner scores all rows."""
+    table = model_table(spark, sf)
+    data = cut_lineage(SC.vectorised(table, numeric_features(table)))
+    settings = SC.random_settings({"maxDepth": (3, 8), "minInstancesPerNode": [1, 5, 20], "subsamplingRate": (0.5, 1.0)}, 9)
+    make = lambda trees, setting: SC.estimators(trees=trees)["forest"]().setParams(**setting)
+    best, _ = SC.tune_by_halving(data, make, settings, (5, 15, 40))
+    return SC.probability(SC.pipeline(make(40, best)).fit(data).transform(data), "score")
+
+
 @query("seed_average", i="account_id", d="score")
 def _(spark, sf):
     table = model_table(spark, sf)

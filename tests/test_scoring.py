@@ -72,3 +72,16 @@ def test_better_blend_keeps_the_higher_auc(spark, table):
     fixed = EV.auc(SC.blend(table, {"x": 0.1, "z": 0.9}), "blend").first()["auc"]
     auto = EV.auc(SC.auc_weighted_blend(table, ["x", "z"]), "blend").first()["auc"]
     assert best == pytest.approx(max(fixed, auto))
+
+
+def test_halving_keeps_the_best_setting_and_repeats_itself(spark, table):
+    settings = SC.random_settings({"maxDepth": [1, 4], "subsamplingRate": (0.5, 1.0)}, 4, seed=5)
+    assert settings == SC.random_settings({"maxDepth": [1, 4], "subsamplingRate": (0.5, 1.0)}, 4, seed=5)
+    assert all(0.5 <= s["subsamplingRate"] <= 1 for s in settings)
+    make = lambda trees, setting: SC.estimators(trees=trees)["forest"]().setParams(**setting)
+    data = SC.vectorised(table, ["x", "z"])
+    best, fits = SC.tune_by_halving(data, make, settings, (2, 4), keep=2)
+    assert [(b, sum(1 for f in fits if f[0] == b)) for b in (2, 4)] == [(2, 4), (4, 2)]
+    last = [f for f in fits if f[0] == 4]
+    assert settings[max(last, key=lambda f: (f[2], -f[1]))[1]] == best
+    assert SC.tune_by_halving(data, make, settings, (2, 4), keep=2) == (best, fits)
