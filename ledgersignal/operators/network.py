@@ -8,7 +8,11 @@ rows). State is checkpointed between rounds.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+import sys
+
+import numpy as np
+import pandas as pd
+from pyspark import StorageLevel, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +22,11 @@ from ledgersignal.operators.skew import MAX_HOT_KEYS, MIN_HOT_ROWS, fetch_hot, l
 from ledgersignal.operators.triangles import CELL_EDGES, triangle_counts
 from ledgersignal.session import cut_lineage
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the tiles' functions travel with the jobs
 A = "account_id"
-BITMAP_BITS = 32768  # Fixed value: bits per bitmap of Spark's bitmap functions.
+BLOCK = 8192  # Accounts per block of shared networks: a place and a flag fit two bytes, a bitmap has 1 kB.
+TILE_DST, TILE_PAIRS = 2048, 32768  # Bitmaps held and combined at a time.
+BIT_COUNT = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(axis=1).astype(np.int64)
 
 
 def build_edges(txn: DataFrame, signed: bool = False) -> DataFrame:
@@ -250,32 +257,77 @@ def mule_overlap(edges: DataFrame, labels: DataFrame, **hot) -> DataFrame:
     return joined.groupBy(F.col("src").alias(A)).agg(hits.alias("cp_mule_overlap"), (hits / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("cp_mule_overlap_ratio"))
 
 
-def _union_sizes(pairs: DataFrame, members: DataFrame, name: str, hot: dict) -> DataFrame:
-    """Per account the number of distinct ``members`` seen over all its counterparties.
+def _unions(at: np.ndarray, sources: np.ndarray, dst: np.ndarray, members: np.ndarray) -> np.ndarray:
+    """Bits of all members that share a counterparty with each source of a block.
 
-    Members are numbered densely and each counterparty carries them as fixed-size bitmaps, which
-    accounts combine with OR. Sets are merged 32768 members at a time and no account-account pair
-    is ever produced.
+    ``at``/``sources`` and ``dst``/``members`` are (counterparty, place in the block) pairs. Bitmaps are made for a
+    few thousand counterparties and combined for a slice of pairs at a time, so memory does not grow with either.
     """
-    numbered = cut_lineage(ordinal_rank(members.select(F.col(A).alias("src")), ["src"], "_i"))
-    position = pairs.join(numbered, "src")
-    bucket, bit = F.bitmap_bucket_number("_i"), F.bitmap_bit_position("_i")
-    maps = position.groupBy("dst", bucket.alias("_b")).agg(F.bitmap_construct_agg(bit).alias("_bits"))
-    fan = pairs.groupBy("dst").agg(F.count(F.lit(1)).alias("n"))
-    merged = lookup_by_key(pairs, maps, "dst", how="inner", counts=fan, small=False, **hot).groupBy("src", "_b").agg(F.bitmap_or_agg("_bits").alias("_bits"))
-    return merged.groupBy("src").agg(F.sum(F.bitmap_count("_bits")).alias(name))
+    found = np.zeros((BLOCK, BLOCK // 8), np.uint8)
+    order = np.argsort(at, kind="stable")
+    at, sources = at[order], sources[order]
+    order = np.argsort(dst, kind="stable")
+    dst, members = dst[order], members[order]
+    for low in range(0, int(at[-1]) + 1, TILE_DST):
+        own = slice(*np.searchsorted(dst, [low, low + TILE_DST]))
+        bits = np.zeros((TILE_DST, BLOCK), np.uint8)
+        bits[dst[own] - low, members[own]] = 1
+        maps = np.packbits(bits, axis=1)
+        theirs = slice(*np.searchsorted(at, [low, low + TILE_DST]))
+        by_source = np.argsort(sources[theirs], kind="stable")
+        rows, place = at[theirs][by_source] - low, sources[theirs][by_source]
+        for i in range(0, len(rows), TILE_PAIRS):
+            here = place[i : i + TILE_PAIRS]
+            starts = np.flatnonzero(np.diff(here, prepend=-1))
+            found[here[starts]] |= np.bitwise_or.reduceat(maps[rows[i : i + TILE_PAIRS]].view(np.uint64), starts, axis=0).view(np.uint8)
+    return found
+
+
+def _tile(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """Two blocks of accounts: per account of either, how many of the other block share a counterparty, and how many mules."""
+    a, b = key
+    lengths = rows["codes"].str.len().to_numpy()
+    dst = np.repeat(np.unique(rows["dst"].to_numpy(), return_inverse=True)[1], lengths)
+    side = np.repeat(rows["block"].to_numpy(), lengths)
+    codes = np.concatenate(rows["codes"].to_numpy()).astype(np.int64)
+    place, mule = codes >> 1, (codes & 1).astype(bool)
+    parts = []
+    for one, other in {(a, b), (b, a)}:
+        of, to = side == one, side == other
+        found = _unions(dst[of], place[of], dst[to], place[to])
+        mules = np.zeros(BLOCK, np.uint8)
+        mules[place[to & mule]] = 1
+        seen = np.unique(place[of])
+        bits = found[seen]
+        parts.append(pd.DataFrame({"_i": one * BLOCK + seen, "_all": BIT_COUNT[bits].sum(axis=1), "_mules": BIT_COUNT[bits & np.packbits(mules)].sum(axis=1)}))
+    return pd.concat(parts)
+
+
+def _union_sizes(pairs: DataFrame, accounts: DataFrame, hot: dict) -> DataFrame:
+    """Per account the number of distinct accounts, and of mules among them, seen over all its counterparties.
+
+    Accounts are numbered densely and dealt into blocks; a counterparty's accounts of one block are one short list.
+    Two blocks meet in a tile with the lists of the counterparties that both use, where bitmaps are combined. What
+    is shipped is two bytes per edge and block that shares the counterparty, never a bitmap or an account-account
+    pair.
+    """
+    numbered = cut_lineage(ordinal_rank(accounts, ["src"], "_i").withColumn("_i", F.col("_i") - 1))
+    code = (2 * (F.col("_i") % BLOCK) + F.col("_mule")).cast("smallint")
+    placed = pairs.filter(F.col("dst").isNotNull()).join(numbered, "src").select("dst", F.floor(F.col("_i") / BLOCK).alias("block"), code.alias("code"))
+    lists = cut_lineage(placed.groupBy("dst", "block").agg(F.collect_list("code").alias("codes")))
+    users = lists.groupBy("dst").agg(F.collect_list("block").alias("blocks"), F.count(F.lit(1)).alias("n"))
+    met = lookup_by_key(lists, users, "dst", how="inner", **hot).select("dst", "block", "codes", F.explode("blocks").alias("other"))
+    tiles = met.select("dst", "block", "codes", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"))
+    sizes = tiles.groupBy("a", "b").applyInPandas(_tile, "_i bigint, _all bigint, _mules bigint")
+    return sizes.groupBy("_i").agg(F.sum("_all").alias("_all"), F.sum("_mules").alias("_mules")).join(numbered.select("src", "_i"), "_i").drop("_i")
 
 
 def shared_network(edges: DataFrame, labels: DataFrame, **hot) -> DataFrame:
     """Distinct other accounts that share a counterparty, and how many of them are known mules."""
     pairs = cut_lineage(_pairs(edges))
-    accounts = pairs.select(F.col("src").alias(A)).distinct()
-    mules = labels.filter(F.col("is_mule") == 1).select(A)
-    active_mules = accounts.join(mules, A, "left_semi")
-    size = _union_sizes(pairs, accounts, "_all", hot)
-    known = _union_sizes(pairs, active_mules, "_mules", hot)
-    own = mules.select(F.col(A).alias("src"), F.lit(1).alias("_own"))
-    joined = size.join(known, "src", "left").join(own, "src", "left").fillna(0, subset=["_mules", "_own"])
+    mules = labels.filter(F.col("is_mule") == 1).select(F.col(A).alias("src"), F.lit(1).alias("_own"))
+    accounts = pairs.select("src").distinct().join(mules.distinct(), "src", "left").select("src", F.coalesce("_own", F.lit(0)).alias("_mule"))
+    joined = _union_sizes(pairs, accounts, hot).join(mules, "src", "left").fillna(0, subset=["_own"])
     return joined.select(F.col("src").alias(A), (F.col("_all") - 1).alias("shared_network_size"), (F.col("_mules") - F.col("_own")).alias("shared_mule_neighbors"))
 
 

@@ -325,6 +325,21 @@ def test_shared_network_by_sets(spark):
         assert got[a] == (len(others), len(others & {"b", "d"}))
 
 
+def test_shared_network_over_blocks_ships_no_bitmaps(spark):
+    n = 2 * NW.BLOCK + 10
+    even = spark.range(n).select(F.col("id").alias("src"), (-1 - F.col("id") % 2).alias("dst"))
+    last = spark.createDataFrame([(n - 1, -3), (0, -3)], "src bigint, dst bigint")
+    e = even.unionByName(last).withColumns({"total_volume": F.lit(1.0), "txn_count": F.lit(1)})
+    labels = spark.range(n).select(F.col("id").alias("account_id"), (F.col("id") % 10 == 0).cast("int").alias("is_mule"))
+    out = NW.shared_network(e, labels)
+    assert "bitmap_or_agg" not in out._jdf.queryExecution().toString()
+    got = {r["account_id"]: (r["shared_network_size"], r["shared_mule_neighbors"]) for r in out.collect()}
+    mules = len(range(0, n, 10))
+    assert len(got) == n
+    assert got[0] == (n // 2, mules - 1) and got[n - 1] == (n // 2, 1)
+    assert got[2] == (n // 2 - 1, mules) and got[10] == (n // 2 - 1, mules - 1) and got[n - 3] == (n // 2 - 1, 0)
+
+
 def test_exposure(spark):
     labels = spark.createDataFrame([("a", 0), ("m", 1), ("n", 1)], "account_id string, is_mule int")
     e = spark.createDataFrame([("a", "m", 30.0, 1), ("a", "z", 70.0, 1), ("m", "n", 5.0, 1), ("n", "a", 0.5, 1)], "src string, dst string, total_volume double, txn_count bigint")
