@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgersignal.operators import account as AC
@@ -41,21 +42,50 @@ def encoded_labels(labels: DataFrame) -> DataFrame:
     return encoded.select(A, "branch_mule_rate_oof", "branch_mule_rate")
 
 
-def feature_groups(spark: SparkSession, sf_dir: str, wanted: Sequence[str]) -> list[DataFrame]:
+ORDERED = {"gaps", "dwell", "trigrams"}
+
+
+def laid_ledger(txn: DataFrame) -> DataFrame:
+    """The ledger laid out once by account and in order, for all groups that read it.
+
+    ``txn_id`` becomes the position in the account's sequence, so rows stay narrow. Kept on the executors' disks;
+    aggregates and windows by account over it need no further shuffle or sort.
+    """
+    parts = [f"txn_id.{f.name}" for f in txn.schema["txn_id"].dataType.fields]  # in the same order, without the struct
+    position = F.row_number().over(Window.partitionBy(A).orderBy("ts", *parts))
+    return txn.filter(F.col(A).isNotNull()).withColumn("txn_id", position).sortWithinPartitions(A, *SQ.ORDER).persist(StorageLevel.DISK_ONLY)
+
+
+def feature_groups(spark: SparkSession, sf_dir: str, wanted: Sequence[str], kept: list[DataFrame] | None = None) -> list[DataFrame]:
+    """The wanted groups, each unique by account.
+
+    With ``kept``, what several groups read is kept on disk and noted there, for the caller to release. A ledger
+    with hot accounts is not laid out, as one of them would fill a task.
+    """
     txn = AD.lineitem_ledger(spark, sf_dir)
     accounts = AD.accounts(spark, sf_dir)
     labels = AD.labels(spark, sf_dir)
     side = AD.side_ledger(spark, sf_dir)
 
-    ordered = {"gaps", "dwell", "trigrams"} & set(wanted)
-    hot = hot_accounts(txn) if ordered else None
+    hot = hot_accounts(txn) if ORDERED & set(wanted) else None
+    laid = None
+    if kept is not None and hot is not None and hot.table is None:
+        laid = laid_ledger(AD.lineitem_ledger(spark, sf_dir, mcc_list="distinct" in wanted))
+        accounts = accounts.persist(StorageLevel.DISK_ONLY)
+        kept += [laid, accounts]
+        txn = laid.drop("mcc_codes")
 
     def trigrams():
         counts = SQ.trigram_counts(SQ.trigrams(txn, hot=hot))
         return SQ.trigram_features(counts, SQ.trigram_enrichment(counts, labels), accounts)
 
+    def distinct():
+        if laid is None:
+            return AC.distinct_counts(AD.lineitem_ledger(spark, sf_dir, mcc=True))
+        return AC.distinct_counts(laid.filter(F.col("mcc_codes").isNotNull()), mcc=AD.listed_mcc(laid.select(A, "mcc_codes")))
+
     builders = {
-        "distinct": lambda: AC.distinct_counts(AD.lineitem_ledger(spark, sf_dir, mcc=True)),
+        "distinct": distinct,
         "gaps": lambda: SQ.gap_stats(SQ.gaps(txn, hot=hot)),
         "dwell": lambda: AC.median_dwell(SQ.dwell_pairs(txn, hot=hot)),
         "trigrams": trigrams,
@@ -82,14 +112,18 @@ def profile_group(txn: DataFrame, accounts: DataFrame, wanted: Sequence[str]) ->
     return [group]
 
 
-def features(spark: SparkSession, sf_dir: str, groups: Sequence[str] = ALL_GROUPS) -> DataFrame:
+def features(spark: SparkSession, sf_dir: str, groups: Sequence[str] = ALL_GROUPS, kept: list[DataFrame] | None = None) -> DataFrame:
     universe = AD.labels(spark, sf_dir).drop("branch_code")
-    return assemble_features(universe, feature_groups(spark, sf_dir, groups))
+    return assemble_features(universe, feature_groups(spark, sf_dir, groups, kept))
 
 
 def stored_features(spark: SparkSession, sf_dir: str, groups: Sequence[str] = ALL_GROUPS) -> DataFrame:
     """The feature table written once to the shared folder, for steps that read it several times."""
-    return cut_lineage(features(spark, sf_dir, groups))
+    kept: list[DataFrame] = []
+    stored = cut_lineage(features(spark, sf_dir, groups, kept))
+    for df in kept:
+        df.unpersist()
+    return stored
 
 
 def signal_table(spark: SparkSession, sf_dir: str, extra: Sequence[str] = ()) -> DataFrame:
