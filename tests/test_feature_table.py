@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgersignal.operators import account as AC
 from ledgersignal.operators import sequence as SQ
+from ledgersignal.operators import windows as WI
 from ledgersignal.plans import feature_table as FT
 from ledgersignal.sources import adapters as AD
 
@@ -42,3 +43,10 @@ def test_laid_ledger_gives_the_same_groups_without_shuffles(spark, scratch):
         plan = group._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
         assert "Exchange" not in plan
     laid.unpersist()
+
+
+def test_calendar_is_dealt_by_its_days_not_by_the_active_ones(spark):
+    daily = spark.createDataFrame([(a, d, 5) for a in range(40) for d in (0, 999)], "account_id long, day_no long, v long")
+    assert WI._spread(daily, 5000).rdd.getNumPartitions() == 8
+    assert WI._spread(daily.limit(0)).count() == 0
+    assert WI.window_smoothed_v10(daily).count() == 40
