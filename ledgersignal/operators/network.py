@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgersignal.functions.scalars import cents
+from ledgersignal.operators.betweenness import betweenness
 from ledgersignal.operators.ranking import ordinal_rank
 from ledgersignal.operators.skew import MAX_HOT_KEYS, MIN_HOT_ROWS, fetch_hot, lookup_by_key, salted_join
 from ledgersignal.operators.triangles import CELL_EDGES, triangle_counts
@@ -205,42 +206,12 @@ def modularity(edges: DataFrame, community: DataFrame) -> DataFrame:
 
 
 def betweenness_sampled(edges: DataFrame, k: int = 500, seed: int = 42, **hot) -> DataFrame:
-    """Betweenness from k sources in hash order, for all sources in the same joins.
+    """Betweenness from k sources in hash order, for all sources in the same passes over the edges.
 
-    Breadth-first levels are frontier joins keyed (source, node); dependencies flow back level by
-    level. Levels are followed until no frontier is left.
+    Breadth-first levels are followed until every node is reached or no frontier is left; dependencies flow back
+    level by level.
     """
-    graph = Neighbourhood(undirected(edges), **hot)
-    nodes = cut_lineage(graph.nodes().select("node"))
-    n = nodes.count()
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.col("node").cast("string")))
-    sources = nodes.orderBy(order, "node").limit(k)
-    frontier = cut_lineage(sources.select(F.col("node").alias("source"), "node", F.lit(1.0).alias("sigma")))
-    seen, levels = frontier.select("source", "node"), [frontier]
-    while True:
-        reached = graph.join(frontier, one_row=False).groupBy("source", F.col("dst").alias("node")).agg(F.sum("sigma").alias("sigma"))
-        frontier = cut_lineage(reached.join(seen, ["source", "node"], "left_anti"))
-        if frontier.isEmpty():
-            break
-        levels.append(frontier)
-        seen = cut_lineage(seen.unionByName(frontier.select("source", "node")))
-    delta = levels[-1].select("source", "node", "sigma", F.lit(0.0).alias("delta"))
-    scored = []
-    for depth in range(len(levels) - 1, 0, -1):
-        scored.append(delta.select("source", "node", "delta"))
-        sent = graph.join(delta.select("source", "node", ((1 + F.col("delta")) / F.col("sigma")).alias("part")), one_row=False)
-        arrived = sent.groupBy("source", F.col("dst").alias("node")).agg(F.sum("part").alias("part"))
-        upper = levels[depth - 1].join(arrived, ["source", "node"], "left")
-        delta = cut_lineage(upper.select("source", "node", "sigma", (F.col("sigma") * F.coalesce("part", F.lit(0.0))).alias("delta")))
-    total = None
-    for piece in scored:
-        total = piece if total is None else total.unionByName(piece)
-    used = min(k, n)
-    scale = (n / used) / ((n - 1) * (n - 2)) if n > 2 else 0.0
-    if total is None:
-        return graph.finish(nodes.select("node", F.lit(0.0).alias("betweenness")))
-    sums = total.groupBy("node").agg((F.sum("delta") * scale).alias("betweenness"))
-    return graph.finish(nodes.join(sums, "node", "left").fillna(0.0, subset=["betweenness"]))
+    return betweenness(undirected(edges), k, seed, **hot)
 
 
 def _pairs(edges: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgersignal.functions import scalars as S
 from ledgersignal.operators import account as AC
+from ledgersignal.operators import betweenness as BW
 from ledgersignal.operators import derived as DE
 from ledgersignal.operators import encode as EN
 from ledgersignal.operators import evaluate as EV
@@ -19,6 +20,7 @@ from ledgersignal.operators import ranking as RK
 from ledgersignal.operators import reports as RE
 from ledgersignal.operators import sequence as SQ
 from ledgersignal.operators import windows as WI
+from ledgersignal.session import cut_lineage
 
 T0 = dt.datetime(2024, 1, 1, 12)
 LEDGER = "account_id string, txn_id int, ts timestamp_ntz, amount double, txn_type string, channel string, counterparty_id string, mcc_code string"
@@ -315,6 +317,42 @@ def test_betweenness_equals_path_counting(spark):
     assert got == {k: pytest.approx(v / ((n - 1) * (n - 2))) for k, v in expected.items()}
 
 
+def test_betweenness_over_strips_makes_no_row_per_source_and_node(spark, monkeypatch):
+    for name, size in (("LANES", 8), ("STRIP", 16), ("BLOCK", 32), ("PIECE_EDGES", 64), ("SLICE", 16)):
+        monkeypatch.setattr(BW, name, size)
+    written = []
+    monkeypatch.setattr(BW, "cut_lineage", lambda df: written.append(cut_lineage(df)) or written[-1])
+    draw = random.Random(3)
+    n = 70
+    pairs = {tuple(sorted(draw.sample(range(n), 2))) for _ in range(110)} | {(i, 80) for i in range(25)} | {(90, 91)}
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    expected = dict.fromkeys(near, 0.0)
+    for s in near:
+        depth, sigma, queue = {s: 0}, {s: 1.0}, [s]
+        for v in queue:
+            for w in near[v]:
+                if w not in depth:
+                    depth[w], sigma[w] = depth[v] + 1, 0.0
+                    queue.append(w)
+                if depth[w] == depth[v] + 1:
+                    sigma[w] += sigma[v]
+        delta = dict.fromkeys(queue, 0.0)
+        for w in reversed(queue):
+            for v in near[w]:
+                if depth[v] == depth[w] - 1:
+                    delta[v] += sigma[v] / sigma[w] * (1 + delta[w])
+            if w != s:
+                expected[w] += delta[w]
+    got = {r["node"]: r["betweenness"] for r in NW.betweenness_sampled(edges(spark, sorted(pairs)), k=len(near)).collect()}
+    count = len(near)
+    assert got == {str(v): pytest.approx(x / ((count - 1) * (count - 2))) for v, x in expected.items()}
+    assert written and max(df.count() for df in written) <= 2 * len(pairs)
+    assert NW.betweenness_sampled(edges(spark, sorted(pairs)).limit(0)).count() == 0
+
+
 def test_shared_network_by_sets(spark):
     pairs = [("a", "p"), ("b", "p"), ("c", "p"), ("c", "q"), ("d", "q"), ("e", "r"), ("d", "s"), ("b", "s")]
     labels = spark.createDataFrame([(x, int(x in "bd")) for x in "abcde"], "account_id string, is_mule int")
