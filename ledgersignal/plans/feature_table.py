@@ -43,14 +43,20 @@ def encoded_labels(labels: DataFrame) -> DataFrame:
 
 
 ORDERED = {"gaps", "dwell", "trigrams"}
+STORED_ROWS = 500_000  # Rows of a task over the stored feature table, at most about.
+LAID_ROWS = 250_000  # Rows of a task over the laid ledger, about: it holds the sorts and hash tables of all groups.
 
 
-def laid_ledger(txn: DataFrame) -> DataFrame:
+def laid_ledger(txn: DataFrame, rows: int = 0) -> DataFrame:
     """The ledger laid out once by account and in order, for all groups that read it.
 
     ``txn_id`` becomes the position in the account's sequence, so rows stay narrow. Kept on the executors' disks;
-    aggregates and windows by account over it need no further shuffle or sort.
+    aggregates and windows by account over it need no further shuffle or sort. A ledger of many ``rows``, about, is
+    dealt by their number, as partitions merged by their bytes would hold more than a task has memory for.
     """
+    spark = txn.sparkSession
+    if rows > LAID_ROWS * spark.sparkContext.defaultParallelism:
+        txn = txn.repartition(max(-(-rows // LAID_ROWS), int(spark.conf.get("spark.sql.shuffle.partitions"))), A)
     parts = [f"txn_id.{f.name}" for f in txn.schema["txn_id"].dataType.fields]  # in the same order, without the struct
     position = F.row_number().over(Window.partitionBy(A).orderBy("ts", *parts))
     return txn.filter(F.col(A).isNotNull()).withColumn("txn_id", position).sortWithinPartitions(A, *SQ.ORDER).persist(StorageLevel.DISK_ONLY)
@@ -70,7 +76,7 @@ def feature_groups(spark: SparkSession, sf_dir: str, wanted: Sequence[str], kept
     hot = hot_accounts(txn) if ORDERED & set(wanted) else None
     laid = None
     if kept is not None and hot is not None and hot.table is None:
-        laid = laid_ledger(AD.lineitem_ledger(spark, sf_dir, mcc_list="distinct" in wanted))
+        laid = laid_ledger(AD.lineitem_ledger(spark, sf_dir, mcc_list="distinct" in wanted), AD.table(spark, sf_dir, "lineitem").count())
         accounts = accounts.persist(StorageLevel.DISK_ONLY)
         kept += [laid, accounts]
         txn = laid.drop("mcc_codes")
@@ -118,12 +124,16 @@ def features(spark: SparkSession, sf_dir: str, groups: Sequence[str] = ALL_GROUP
 
 
 def stored_features(spark: SparkSession, sf_dir: str, groups: Sequence[str] = ALL_GROUPS) -> DataFrame:
-    """The feature table written once to the shared folder, for steps that read it several times."""
+    """The feature table written once to the shared folder, for steps that read it several times.
+
+    It is read in no more partitions than it needs: trees are grown with one table of sums per partition and level.
+    """
     kept: list[DataFrame] = []
     stored = cut_lineage(features(spark, sf_dir, groups, kept))
     for df in kept:
         df.unpersist()
-    return stored
+    usual = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return stored.coalesce(max(usual, -(-stored.count() // STORED_ROWS)))
 
 
 def signal_table(spark: SparkSession, sf_dir: str, extra: Sequence[str] = ()) -> DataFrame:

@@ -45,6 +45,29 @@ def test_laid_ledger_gives_the_same_groups_without_shuffles(spark, scratch):
     laid.unpersist()
 
 
+def test_large_ledger_is_dealt_by_rows_not_by_bytes(spark, scratch, monkeypatch):
+    tables(spark, scratch)
+    monkeypatch.setattr(FT, "LAID_ROWS", 2)
+    txn = AD.lineitem_ledger(spark, scratch, mcc_list=True)
+    lines = AD.table(spark, scratch, "lineitem").count()
+    small, large = FT.laid_ledger(txn, 2), FT.laid_ledger(txn, lines)
+    assert large.rdd.getNumPartitions() == lines // 2 > small.rdd.getNumPartitions()
+    assert rows(large) == rows(small)
+    for group in (AC.account_profile(large), SQ.gap_stats(SQ.gaps(large))):
+        assert "Exchange" not in group._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
+    small.unpersist()
+    large.unpersist()
+
+
+def test_stored_table_is_read_in_no_more_partitions_than_usual(spark, monkeypatch):
+    monkeypatch.setattr(FT, "features", lambda spark, *_: spark.range(90).repartition(60))
+    usual = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    stored = FT.stored_features(spark, "")
+    assert stored.rdd.getNumPartitions() == usual and stored.count() == 90
+    monkeypatch.setattr(FT, "STORED_ROWS", 3)
+    assert FT.stored_features(spark, "").rdd.getNumPartitions() == 30
+
+
 def test_calendar_is_dealt_by_its_days_not_by_the_active_ones(spark):
     daily = spark.createDataFrame([(a, d, 5) for a in range(40) for d in (0, 999)], "account_id long, day_no long, v long")
     assert WI._spread(daily, 5000).rdd.getNumPartitions() == 8
