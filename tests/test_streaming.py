@@ -6,6 +6,7 @@ import datetime
 import os
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -94,3 +95,53 @@ def test_running_statistics(parts):
     stream, batch, base = parts
     last = LS.latest(LS.run_batches(LS.stream_core_stats(stream), lambda b: b, f"{base}/out", f"{base}/state"))
     assert rows(last.select("account_id", "txn_count", "total_volume", "amt_max")) == rows(AC.core_stats(batch).select("account_id", "txn_count", "total_volume", "amt_max"))
+
+
+class Store:
+    """A state store in memory that counts the calls."""
+
+    def __init__(self):
+        self.calls, self.rows, self.value, self.timers = 0, [], None, []
+
+    def getListState(self, *_):  # noqa: N802
+        return self
+
+    getMapState = getValueState = getListState  # noqa: N815
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.append(at)
+
+    def appendList(self, rows):  # noqa: N802
+        self.calls += 1
+        self.rows += rows
+
+    def updateValue(self, *row):  # noqa: N802
+        self.calls += 1
+
+    def put(self, rows):
+        self.calls += 1
+        self.rows = list(rows)
+
+    def get(self):
+        self.calls += 1
+        return iter(self.rows)
+
+
+def test_dwell_calls_the_store_per_batch_not_per_row():
+    store, at = Store(), type("Times", (), {"getCurrentWatermarkInMs": lambda _: 0})()
+    pairs = LS.DwellPairs(10**9)
+    pairs.init(store)
+    rows = [Row(us=1000 * i, txn_id=str(i), credit=i % 2 == 0) for i in range(1, 1001)]
+    list(pairs.handleInputRows((1,), iter(rows), at))
+    assert store.calls == 1 and store.timers == [2]
+
+
+def test_dwell_of_repeated_rows_and_rows_that_wait(spark, scratch):
+    hour = lambda h: datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=h)
+    schema = "account_id long, txn_id long, ts timestamp_ntz, amount double, txn_type string"
+    batches = [[(1, 1, hour(0), 90.0, "C"), (1, 1, hour(0), 90.0, "C"), (1, 3, hour(5), -90.0, "D")], [(1, 2, hour(3), -90.0, "D"), (1, 4, hour(60), 90.0, "C"), (1, 5, hour(61), -90.0, "D")]]
+    for batch in batches:
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(f"{scratch}/rows")
+    stream = LS.read_parquet_stream(spark, f"{scratch}/rows", spark.createDataFrame([], schema).schema, "*.parquet", max_files=1)
+    out = LS.run_complete(stream, lambda t: LS.stream_dwell(t, 50), f"{scratch}/out", f"{scratch}/state")
+    assert sorted((r["txn_id"], r["dwell_hours"]) for r in out.collect()) == [(2, 3.0), (5, 1.0)]
