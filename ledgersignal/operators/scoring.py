@@ -67,13 +67,13 @@ def red_herring_columns(train: DataFrame, features: Sequence[str], limit: float
     return [f for f, s in zip(features, shares, strict=True) if s > limit]
 
 
-def oof_scores(data: DataFrame, make: Callable[[], Estimator], k: int, name: str = "oof", parallel: int = 3, test: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+def oof_scores(data: DataFrame, make: Callable[[], Estimator], k: int, name: str = "oof", parallel: int = 3, test: DataFrame | None = None, stored: bool = False) -> tuple[DataFrame, DataFrame | None]:
     """Score every row with the model of the other folds; test rows get the mean of all models.
 
-    ``data`` and ``test`` are ``vectorised``. The vector table is written once; folds are independent
-    jobs started from a few driver threads that hold no data.
+    ``data`` and ``test`` are ``vectorised``. The vector table is written once, unless it is ``stored`` already; folds
+    are independent jobs started from a few driver threads that hold no data.
     """
-    data = cut_lineage(data)
+    data = data if stored else cut_lineage(data)
 
     def one(i: int) -> PipelineModel:
         return pipeline(make()).fit(data.filter(F.col("fold") != i))
@@ -287,9 +287,9 @@ def tune_by_halving(data: DataFrame, make: Callable[[int, dict], Estimator], set
 
 
 def seed_average(data: DataFrame, makers: Sequence[Callable[[], Estimator]], k: int, name: str = "score") -> DataFrame:
-    """Mean of the out-of-fold scores of several seeds or models."""
-    total = None
+    """Mean of the out-of-fold scores of several seeds or models; the vector table is written once for all."""
+    data, total = cut_lineage(data), None
     for i, make in enumerate(makers):
-        scored, _ = oof_scores(data, make, k, f"_s{i}")
+        scored, _ = oof_scores(data, make, k, f"_s{i}", stored=True)
         total = scored if total is None else total.join(scored, A)
     return total.select(A, (total_of([F.col(f"_s{i}") for i in range(len(makers))]) / len(makers)).alias(name))

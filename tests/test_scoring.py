@@ -25,6 +25,16 @@ def test_oof_scores_every_row_once(spark, table):
     assert EV.auc(table.join(oof, "account_id"), "oof").first()["auc"] > 0.7
 
 
+def test_seed_average_writes_the_vectors_once(spark, table, monkeypatch):
+    written = []
+    plain = SC.cut_lineage
+    monkeypatch.setattr(SC, "cut_lineage", lambda df: written.append(df.columns) or plain(df))
+    makers = [SC.estimators(seed=s, trees=3)["forest"] for s in (1, 2)]
+    out = SC.seed_average(SC.vectorised(table, ["x", "z"]), makers, 2)
+    assert sum("features" in columns for columns in written) == 1
+    assert out.count() == table.filter("fold < 2").count()
+
+
 def test_red_herring_column_is_found(spark, table):
     assert SC.red_herring_columns(table.withColumn("leak", F.col("is_mule") * 2.0), ["x", "z", "leak"]) == ["leak"]
 
