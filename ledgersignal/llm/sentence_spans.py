@@ -14,6 +14,7 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,10 +47,14 @@ def runs_of(text: str, bounds: list[int], sentences: int = SENTENCES, words: int
     parts = [text[a:b].split() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
     joined = [" ".join(p).encode("utf-8", "replace") for p in parts]
     totals = [0, *accumulate(map(len, parts))]
+    different = [set(p) for p in parts]
+    sizes = [len(d) for d in different]
     n = len(parts)
 
     def various(start: int, end: int) -> bool:
-        return totals[end] - totals[start] >= ANY or len(set().union(*parts[start:end])) >= DIFFERENT
+        if totals[end] - totals[start] >= ANY or max(sizes[start:end], default=0) >= DIFFERENT:
+            return True
+        return sum(sizes[start:end]) >= DIFFERENT and len(set().union(*different[start:end])) >= DIFFERENT
 
     runs = set()
     for start in range(n):  # from every sentence: the first end with enough words, and on until they differ
@@ -81,19 +86,28 @@ def _keys() -> list[Column]:
 def all_runs(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS, long: int = LONG) -> DataFrame:
     """Runs of all documents: (a, b) digest, document, sentences covered, and whether the text had it before."""
 
+    def table(docs: list[int], marks: list[int], counts: list[int], runs: list[Run], again: list[bool]) -> pd.DataFrame:
+        starts, ends, digests = zip(*runs, strict=True) if runs else ((), (), ())
+        halves = np.array(digests, "V16").view(">i8").astype(np.int64).reshape(-1, 2)
+        places = {"start": np.array(starts, np.int32), "end": np.array(ends, np.int32), "again": np.array(again, bool)}
+        return pd.DataFrame({"a": halves[:, 0], "b": halves[:, 1], "doc": np.repeat(np.array(docs, np.int64), counts), "mark": np.repeat(np.array(marks, np.int64), counts), **places})
+
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
+            texts, marks, counts, found, again = [], [], [], [], []
             for doc, mark, text in zip(batch["doc"], batch["mark"], batch["text"], strict=True):
-                seen = set()
-                for start, end, digest in runs_of(text, sentence_bounds(text), sentences, words, long):
-                    a, b = int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
-                    rows.append((a, b, doc, mark, start, end, digest in seen))
+                runs, seen = runs_of(text, sentence_bounds(text), sentences, words, long), set()
+                texts.append(doc)
+                marks.append(mark)
+                counts.append(len(runs))
+                found += runs
+                for _, _, digest in runs:
+                    again.append(digest in seen)
                     seen.add(digest)
-                if len(rows) > 100_000:
-                    yield pd.DataFrame(rows, columns=["a", "b", "doc", "mark", "start", "end", "again"])
-                    rows = []
-            yield pd.DataFrame(rows, columns=["a", "b", "doc", "mark", "start", "end", "again"])
+                if len(found) > 100_000:
+                    yield table(texts, marks, counts, found, again)
+                    texts, marks, counts, found, again = [], [], [], [], []
+            yield table(texts, marks, counts, found, again)
 
     return docs.select(*_keys()).mapInPandas(find, "a long, b long, doc long, mark long, start int, end int, again boolean")
 

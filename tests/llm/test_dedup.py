@@ -7,6 +7,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 from conftest_rows import pairs
 
 from ledgersignal.llm import chosen_path, sentence_spans, suffix_cover
@@ -299,3 +300,29 @@ def test_runs_for_recall():
             ends.append(set(paths.tolist()))
         met += bool(ends[0] & ends[1])
     assert met >= 194
+
+
+def test_runs_leave_python_as_number_columns(monkeypatch):
+    class Docs:
+        def select(self, *_):
+            return self
+
+        def mapInPandas(self, find, _):  # noqa: N802
+            return find
+
+    monkeypatch.setattr(sentence_spans, "_keys", list)
+    text = "".join(f"word{i} " + ("" if i % 5 else ". ") for i in range(1, 61))
+    batch = pd.DataFrame({"doc": [3, 4, 5], "mark": [-1, -2, -3], "text": [text, "", text * 2]})
+    (got,) = sentence_spans.all_runs(Docs())(iter([batch]))
+    assert [str(t) for t in got.dtypes] == ["int64"] * 4 + ["int32"] * 2 + ["bool"]
+    at, seen = 0, set()
+    for doc, mark, t in batch.itertuples(index=False):
+        seen = set()
+        for start, end, digest in sentence_spans.runs_of(t, sentence_spans.sentence_bounds(t)):
+            a, b = (int.from_bytes(digest[i : i + 8], "big", signed=True) for i in (0, 8))
+            assert tuple(got.iloc[at]) == (a, b, doc, mark, start, end, digest in seen)
+            seen.add(digest)
+            at += 1
+    assert at == len(got) and got["again"].any()
+    (none,) = sentence_spans.all_runs(Docs())(iter([batch[1:2]]))
+    assert len(none) == 0
