@@ -104,6 +104,12 @@ def hot_accounts(txn: DataFrame, key: str = "account_id", ts: str = "ts", min_ro
     return HotAccounts(hot.select(key), 2 * -(-rows // min_rows)) if rows else HotAccounts(None)
 
 
+def most_rows(df: DataFrame, key: str) -> int:
+    """Rows of the most frequent key; 0 without any key."""
+    counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    return counts.agg(F.max("n")).first()[0] or 0
+
+
 def split_hot(txn: DataFrame, key: str, order: Sequence[str], hot: HotAccounts) -> tuple[DataFrame, DataFrame | None]:
     """(rows of ordinary accounts, rows of hot accounts with a ``_slice`` number or None).
 

@@ -12,7 +12,7 @@ from ledgersignal.operators import account as AC
 from ledgersignal.operators import derived as DE
 from ledgersignal.operators import encode as EN
 from ledgersignal.operators import sequence as SQ
-from ledgersignal.operators.skew import hot_accounts
+from ledgersignal.operators.skew import MIN_HOT_ROWS, HotAccounts, hot_accounts, most_rows
 from ledgersignal.session import cut_lineage
 from ledgersignal.sources import adapters as AD
 
@@ -47,6 +47,14 @@ STORED_ROWS = 500_000  # Rows of a task over the stored feature table, at most a
 LAID_ROWS = 250_000  # Rows of a task over the laid ledger, about: it holds the sorts and hash tables of all groups.
 
 
+def dealt_by_account(df: DataFrame, rows: int, key: str = A) -> DataFrame:
+    """Rows dealt by account as those of a ledger of ``rows`` are, so that what they give needs no further shuffle to be joined."""
+    spark = df.sparkSession
+    if rows > LAID_ROWS * spark.sparkContext.defaultParallelism:
+        return df.repartition(max(-(-rows // LAID_ROWS), int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+    return df.repartition(key)
+
+
 def laid_ledger(txn: DataFrame, rows: int = 0) -> DataFrame:
     """The ledger laid out once by account and in order, for all groups that read it.
 
@@ -56,12 +64,30 @@ def laid_ledger(txn: DataFrame, rows: int = 0) -> DataFrame:
     """
     spark = txn.sparkSession
     if rows > LAID_ROWS * spark.sparkContext.defaultParallelism:
-        txn = txn.repartition(max(-(-rows // LAID_ROWS), int(spark.conf.get("spark.sql.shuffle.partitions"))), A)
+        txn = dealt_by_account(txn, rows)
     parts = [f"txn_id.{f.name}" for f in txn.schema["txn_id"].dataType.fields]  # in the same order, without the struct
     position = F.row_number().over(Window.partitionBy(A).orderBy("ts", *parts))
     return txn.filter(F.col(A).isNotNull()).withColumn("txn_id", position).sortWithinPartitions(A, *SQ.ORDER).persist(StorageLevel.DISK_ONLY)
 
 
+def laid_orders(orders: DataFrame, rows: int) -> DataFrame:
+    """The orders dealt once by account, for the accounts' dates and the side ledger; kept on the executors' disks."""
+    read = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+    return dealt_by_account(orders.filter(F.col("o_custkey").isNotNull()).select(*read), rows, "o_custkey").persist(StorageLevel.DISK_ONLY)
+
+
+def laid_mcc_counts(spark: SparkSession, sf_dir: str, laid: DataFrame, rows: int) -> DataFrame:
+    """(account, ``mcc_nunique``, ``missing``: pairs of account and part without such a part) of a laid ledger with ``part_key``.
+
+    Only the different pairs of account and part are sent to the parts, and only their codes are sent back; whole
+    lines stay where they lie. Kept on the executors' disks.
+    """
+    pairs = laid.filter(F.col("part_key").isNotNull()).select(A, "part_key").distinct()
+    coded = AD.mcc_of_parts(spark, sf_dir, pairs).select(A, "mcc_code", "part_known")
+    missing = F.count_if(F.col("part_known").isNull()).alias("missing")
+    return dealt_by_account(coded, rows).groupBy(A).agg(F.count_distinct("mcc_code").alias("mcc_nunique"), missing).persist(StorageLevel.DISK_ONLY)
+
+
 def feature_groups(spark: SparkSession, sf_dir: str, wanted: Sequence[str], kept: list[DataFrame] | None = None) -> list[DataFrame]:
     """The wanted groups, each unique by account.
 
@@ -69,17 +95,27 @@ def feature_groups(spark: SparkSession, sf_dir: str, wanted: Sequence[str], kept
     with hot accounts is not laid out, as one of them would fill a task.
     """
     txn = AD.lineitem_ledger(spark, sf_dir)
-    accounts = AD.accounts(spark, sf_dir)
+    lines, orders = AD.table(spark, sf_dir, "lineitem"), AD.table(spark, sf_dir, "orders")
     labels = AD.labels(spark, sf_dir)
-    side = AD.side_ledger(spark, sf_dir)
 
-    hot = hot_accounts(txn) if ORDERED & set(wanted) else None
-    laid = None
+    hot, laid, rows, orders_each = None, None, 0, 0
+    if ORDERED & set(wanted):
+        # An account has at most the rows of its orders times those of the longest order: cheaper than to count them.
+        orders_each = most_rows(orders, "o_custkey")
+        hot = HotAccounts(None) if max(most_rows(lines, "l_orderkey"), 1) * orders_each <= MIN_HOT_ROWS else hot_accounts(txn)
     if kept is not None and hot is not None and hot.table is None:
-        laid = laid_ledger(AD.lineitem_ledger(spark, sf_dir, mcc_list="distinct" in wanted), AD.table(spark, sf_dir, "lineitem").count())
+        rows = lines.count()
+        deal = lambda joined: dealt_by_account(joined.filter(F.col(A).isNotNull()), rows)
+        laid = laid_ledger(AD.lineitem_ledger(spark, sf_dir, part_key="distinct" in wanted, deal=deal))
+        kept.append(laid)
+        txn = laid.drop("part_key")
+        if orders_each <= MIN_HOT_ROWS:
+            orders = laid_orders(orders, rows)
+            kept.append(orders)
+    accounts, side = AD.accounts(spark, sf_dir, orders), AD.side_ledger(spark, sf_dir, orders)
+    if laid is not None:
         accounts = accounts.persist(StorageLevel.DISK_ONLY)
-        kept += [laid, accounts]
-        txn = laid.drop("mcc_codes")
+        kept.append(accounts)
 
     def trigrams():
         counts = SQ.trigram_counts(SQ.trigrams(txn, hot=hot))
@@ -88,7 +124,13 @@ def feature_groups(spark: SparkSession, sf_dir: str, wanted: Sequence[str], kept
     def distinct():
         if laid is None:
             return AC.distinct_counts(AD.lineitem_ledger(spark, sf_dir, mcc=True))
-        return AC.distinct_counts(laid.filter(F.col("mcc_codes").isNotNull()), mcc=AD.listed_mcc(laid.select(A, "mcc_codes")))
+        counts = laid_mcc_counts(spark, sf_dir, laid, rows)
+        kept.append(counts)
+        known = laid.filter(F.col("part_key").isNotNull())
+        if counts.agg(F.sum("missing")).first()[0]:  # lines without their part count for nothing here
+            parts = AD.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part_key"))
+            known = known.join(parts, "part_key", "left_semi")
+        return AC.distinct_counts(known, mcc_counts=counts)
 
     builders = {
         "distinct": distinct,

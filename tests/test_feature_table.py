@@ -73,3 +73,41 @@ def test_calendar_is_dealt_by_its_days_not_by_the_active_ones(spark):
     assert WI._spread(daily, 5000).rdd.getNumPartitions() == 8
     assert WI._spread(daily.limit(0)).count() == 0
     assert WI.window_smoothed_v10(daily).count() == 40
+
+
+def _orders_and_parts(spark, folder):
+    """The tables above with all columns of the orders and a customer without orders."""
+    tables(spark, folder)
+    day = dt.datetime(2024, 1, 1)
+    orders = [(o, None if o == 8 else o % 3, "OFP"[o % 3], 1000.0 * o, day + dt.timedelta(o), ["1-URGENT", "5-LOW"][o % 2]) for o in range(1, 9)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string").write.mode("overwrite").parquet(f"{folder}/orders.parquet")
+    spark.createDataFrame([(c, c % 2, -5.0 * c, "BUILDING") for c in range(5)], "c_custkey long, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{folder}/customer.parquet")
+
+
+def test_codes_of_parts_come_back_by_account_without_the_lines(spark, scratch, monkeypatch):
+    """Parts twice, without a brand and missing: the counts are those of lines joined to parts; lines are dealt once, narrow."""
+    _orders_and_parts(spark, scratch)
+    monkeypatch.setattr(AD, "_SCHEMAS", {})
+    plain = rows(FT.features(spark, scratch))
+    kept = []
+    assert rows(FT.features(spark, scratch, kept=kept)) == plain
+    laid, orders = kept[0], kept[1]
+    plan = laid._jdf.queryExecution().optimizedPlan().toString()
+    assert "p_brand" not in plan and "mcc_codes" not in laid.columns and "part_key" in laid.columns
+    side = AC.balance_dynamics(AD.side_ledger(spark, scratch, orders))
+    assert "Exchange" not in side._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
+    for df in kept:
+        df.unpersist()
+
+
+def test_orders_and_their_longest_bound_the_rows_of_an_account(spark, scratch, monkeypatch):
+    """The exact count by account, with its join, is made only if the bound is above the floor."""
+    _orders_and_parts(spark, scratch)
+    monkeypatch.setattr(AD, "_SCHEMAS", {})
+    asked = []
+    monkeypatch.setattr(FT, "hot_accounts", lambda txn: asked.append(1) or FT.HotAccounts(None))
+    FT.feature_groups(spark, scratch, ["gaps"])
+    assert not asked
+    monkeypatch.setattr(FT, "MIN_HOT_ROWS", 3 * 6 - 1)  # three orders of six lines
+    FT.feature_groups(spark, scratch, ["gaps"])
+    assert asked
