@@ -201,13 +201,14 @@ DAMPEN_V10 = ((0.25, 0.35), (0.45, 0.65))
 def learned_dampen(df: DataFrame, features: Sequence[str], score: str, threshold: float, make: Callable[[], Estimator], screen: str = "oof", y: str = "is_mule", gate: float = 0.3, steps=DAMPEN_V9, min_class: int = 10) -> DataFrame:
     """Learn which labelled positives look genuine and dampen implausible high scores.
 
-    Skipped when either class has too few rows.
+    Skipped when either class has too few rows. Both tables are written once, as each pass of the fit reads them.
     """
+    df = cut_lineage(df)
     mules = df.filter(F.col(y) == 1).withColumn("_real", (F.col(screen) > 0.4).cast("int"))
     real, fake = mules.agg(F.coalesce(F.sum("_real"), F.lit(0)), F.coalesce(F.sum(1 - F.col("_real")), F.lit(0))).first()
     if real <= min_class or fake <= min_class:
         return df.withColumn("dampened", F.col(score))
-    model = pipeline(make()).fit(vectorised(mules, features, "_real").withColumn("weight", F.lit(1.0)))
+    model = pipeline(make()).fit(cut_lineage(vectorised(mules, features, "_real").withColumn("weight", F.lit(1.0))))
     plausible = probability(model.transform(vectorised(df.withColumn("_real", F.lit(0)), features, "_real")), "_p_real")
     joined = df.join(plausible, A)
     return joined.withColumn("dampened", dampen_steps(F.col(score), F.col("_p_real"), gate * threshold, steps)).drop("_p_real")

@@ -95,3 +95,17 @@ def test_halving_keeps_the_best_setting_and_repeats_itself(spark, table):
     last = [f for f in fits if f[0] == 4]
     assert settings[max(last, key=lambda f: (f[2], -f[1]))[1]] == best
     assert SC.tune_by_halving(data, make, settings, (2, 4), keep=2) == (best, fits)
+
+
+def test_learned_dampen_reads_its_table_once(spark):
+    """The table is made once and written, not once per pass of the fit."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def noted(i):
+        seen.add(1)
+        return float(i % 7)
+
+    made = F.udf(noted, "double").asNondeterministic()
+    df = spark.range(200).select(F.col("id").alias("account_id"), F.lit(1).alias("is_mule"), ((F.col("id") % 10) / 10).alias("oof"), made("id").alias("x"))
+    out = SC.learned_dampen(df, ["x"], "oof", 0.5, SC.estimators(trees=3)["forest"])
+    assert out.count() == 200 and seen.value == 200
