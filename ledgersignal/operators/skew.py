@@ -27,6 +27,7 @@ from ledgersignal.session import cut_lineage
 
 MIN_HOT_ROWS = 2_000_000
 MAX_HOT_KEYS = 1_000_000
+BOUND_BUCKETS = 65_536
 
 
 def hot_keys(counts: DataFrame, n: str = "n", min_rows: int = MIN_HOT_ROWS, max_hot: int = MAX_HOT_KEYS) -> DataFrame:
@@ -110,6 +111,14 @@ def most_rows(df: DataFrame, key: str) -> int:
     return counts.agg(F.max("n")).first()[0] or 0
 
 
+def most_rows_bound(df: DataFrame, key: str, buckets: int = BOUND_BUCKETS) -> int:
+    """No key has more rows than this: the rows of the fullest bucket of keys.
+
+    A task sends a row per bucket instead of a row per key, however many keys there are.
+    """
+    return most_rows(df.filter(F.col(key).isNotNull()).select(F.pmod(F.xxhash64(key), F.lit(buckets)).alias("_bucket")), "_bucket")
+
+
 def split_hot(txn: DataFrame, key: str, order: Sequence[str], hot: HotAccounts) -> tuple[DataFrame, DataFrame | None]:
     """(rows of ordinary accounts, rows of hot accounts with a ``_slice`` number or None).
 

@@ -12,7 +12,7 @@ from ledgersignal.operators import account as AC
 from ledgersignal.operators import derived as DE
 from ledgersignal.operators import encode as EN
 from ledgersignal.operators import sequence as SQ
-from ledgersignal.operators.skew import MIN_HOT_ROWS, HotAccounts, hot_accounts, most_rows
+from ledgersignal.operators.skew import MIN_HOT_ROWS, HotAccounts, hot_accounts, most_rows, most_rows_bound
 from ledgersignal.session import cut_lineage
 from ledgersignal.sources import adapters as AD
 
@@ -101,8 +101,10 @@ def feature_groups(spark: SparkSession, sf_dir: str, wanted: Sequence[str], kept
     hot, laid, rows, orders_each = None, None, 0, 0
     if ORDERED & set(wanted):
         # An account has at most the rows of its orders times those of the longest order: cheaper than to count them.
+        # Mostly a bound on the longest order will do, which sends no row per order.
         orders_each = most_rows(orders, "o_custkey")
-        hot = HotAccounts(None) if max(most_rows(lines, "l_orderkey"), 1) * orders_each <= MIN_HOT_ROWS else hot_accounts(txn)
+        few = any(max(most(lines, "l_orderkey"), 1) * orders_each <= MIN_HOT_ROWS for most in (most_rows_bound, most_rows))
+        hot = HotAccounts(None) if few else hot_accounts(txn)
     if kept is not None and hot is not None and hot.table is None:
         rows = lines.count()
         deal = lambda joined: dealt_by_account(joined.filter(F.col(A).isNotNull()), rows)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgersignal.operators import account as AC
 from ledgersignal.operators import sequence as SQ
+from ledgersignal.operators import skew as SK
 from ledgersignal.operators import windows as WI
 from ledgersignal.plans import feature_table as FT
 from ledgersignal.sources import adapters as AD
@@ -111,3 +112,37 @@ def test_orders_and_their_longest_bound_the_rows_of_an_account(spark, scratch, m
     monkeypatch.setattr(FT, "MIN_HOT_ROWS", 3 * 6 - 1)  # three orders of six lines
     FT.feature_groups(spark, scratch, ["gaps"])
     assert asked
+
+
+def test_longest_order_is_bounded_without_a_row_per_order(spark, scratch, monkeypatch):
+    """Lines are counted by order only if the bound by buckets of orders does not rule hot accounts out; null orders count for nothing."""
+    _orders_and_parts(spark, scratch)
+    monkeypatch.setattr(AD, "_SCHEMAS", {})
+    lines = spark.createDataFrame([(k,) for k in [1] * 7 + [2] * 5 + [None] * 90 + [*range(3, 20)]], "l_orderkey long")
+    assert SK.most_rows(lines, "l_orderkey") == 7 <= SK.most_rows_bound(lines, "l_orderkey")
+    assert SK.most_rows_bound(lines, "l_orderkey", 1) == 29 and SK.most_rows_bound(lines.limit(0), "l_orderkey") == 0
+    counted = []
+    monkeypatch.setattr(FT, "most_rows", lambda df, key: counted.append(key) or SK.most_rows(df, key))
+    FT.feature_groups(spark, scratch, ["gaps"])
+    assert counted == ["o_custkey"]
+    monkeypatch.setattr(FT, "most_rows_bound", lambda df, key: 48)  # all orders in one bucket
+    monkeypatch.setattr(FT, "MIN_HOT_ROWS", 3 * 6)
+    FT.feature_groups(spark, scratch, ["gaps"])
+    assert counted == ["o_custkey", "o_custkey", "l_orderkey"]
+
+
+def test_lines_move_with_a_flag_for_their_status(spark, scratch, monkeypatch):
+    """What is dealt has no status string; lines without a status are debits, as before."""
+    _orders_and_parts(spark, scratch)
+    monkeypatch.setattr(AD, "_SCHEMAS", {})
+    dealt = []
+    AD.lineitem_ledger(spark, scratch, deal=lambda df: dealt.append(df) or df)
+    assert dict(dealt[0].dtypes)["_credit"] == "boolean"
+    ledger = AD.lineitem_ledger(spark, scratch, deal=lambda df: df.repartition(3, A))
+    read = ledger._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    assert "l_linestatus" not in read and "_credit" in read
+    unknown = spark.read.parquet(f"{scratch}/lineitem.parquet").withColumn("l_linestatus", F.when(F.col("l_linenumber") != 2, F.col("l_linestatus")))
+    unknown.write.parquet(f"{scratch}/unknown/lineitem.parquet")
+    spark.read.parquet(f"{scratch}/orders.parquet").write.parquet(f"{scratch}/unknown/orders.parquet")
+    txn = AD.lineitem_ledger(spark, f"{scratch}/unknown").select("txn_id.l_linenumber", "txn_type", F.signum("amount").cast("int")).distinct()
+    assert rows(txn) == sorted((1 if t == "C" else -1, n, t) for n, t in enumerate("CDDDCD"))
